@@ -7,22 +7,41 @@ share of the catalog.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions import text as tx
 from stocklens.functions.keywords import audit_base_code
-from stocklens.operators.issues import ERROR, WARNING, AuditParams, as_issues, union_issues
+from stocklens.operators.issues import ERROR, WARNING, as_issues, union_issues
 from stocklens.operators.keyed import attach_groups
 from stocklens.operators.products import product_rows
 
 c = F.col
 
 
-def _keyed(rows: DataFrame, key: Column, usable: Column) -> DataFrame:
-    """Narrow rows with the md5 of the group value; texts are never shuffled."""
-    return rows.filter(usable).select(
-        "row_idx", "code", "name", "parent_code", F.md5(key).alias("group_id"))
+def group_keys(catalog: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One md5 per group value (NULL where the row takes no part), plus the columns to ``keep``.
+
+    Texts are never shuffled, only their md5.
+    """
+    rows = product_rows(catalog)
+    low = lambda col: tx.trim_ws(F.lower(tx.text(c(col))))
+    plain = F.lower(c("desc_plain"))
+    key = lambda value, usable: F.when(usable, F.md5(value))
+    ean = tx.trim_ws(tx.text(c("ean")))
+    return rows.select(
+        "row_idx", "code", "name", "parent_code", *(keep or []),
+        key(plain, F.length(plain) > 50).alias("duplicate_description"),
+        key(low("name"), low("name") != "").alias("duplicate_name"),
+        key(low("code"), low("code") != "").alias("duplicate_code"),
+        key(ean, ean != "").alias("duplicate_ean"),
+        key(low("meta_description"), ~c("is_variant") & (F.length(low("meta_description")) > 30)
+            ).alias("duplicate_meta_description"))
+
+
+def keyed_by(keys: DataFrame, issue_type: str) -> DataFrame:
+    return keys.filter(c(issue_type).isNotNull()).select(
+        "row_idx", "code", "name", "parent_code", c(issue_type).alias("group_id"))
 
 
 def group_sizes(keyed: DataFrame) -> DataFrame:
@@ -55,49 +74,22 @@ def _issues(members: DataFrame, family: str, kind: str, severity: str) -> DataFr
         "group_id", "group_size"))
 
 
-def description_key(rows: DataFrame) -> DataFrame:
-    """Normalised description longer than 50 characters."""
-    norm = F.lower(c("desc_plain"))
-    return _keyed(rows, norm, F.length(norm) > 50)
-
-
-def name_key(rows: DataFrame) -> DataFrame:
-    norm = tx.trim_ws(F.lower(tx.text(c("name"))))
-    return _keyed(rows, norm, norm != "")
-
-
-def code_key(rows: DataFrame) -> DataFrame:
-    norm = tx.trim_ws(F.lower(tx.text(c("code"))))
-    return _keyed(rows, norm, norm != "")
-
-
-def ean_key(rows: DataFrame) -> DataFrame:
-    norm = tx.trim_ws(tx.text(c("ean")))
-    return _keyed(rows, norm, norm != "")
-
-
-def meta_key(rows: DataFrame) -> DataFrame:
-    norm = tx.trim_ws(F.lower(tx.text(c("meta_description"))))
-    return _keyed(rows, norm, ~c("is_variant") & (F.length(norm) > 30))
-
-
-# family, type, severity, key, skips variant groups
+# family, type (also the key column), severity, whether variant groups are left out
 GROUP_RULES = [
-    ("content", "duplicate_description", WARNING, description_key, False),
-    ("data_quality", "duplicate_name", WARNING, name_key, True),
-    ("data_quality", "duplicate_code", ERROR, code_key, False),
-    ("data_quality", "duplicate_ean", ERROR, ean_key, False),
-    ("seo", "duplicate_meta_description", ERROR, meta_key, True),
+    ("content", "duplicate_description", WARNING, False),
+    ("data_quality", "duplicate_name", WARNING, True),
+    ("data_quality", "duplicate_code", ERROR, False),
+    ("data_quality", "duplicate_ean", ERROR, False),
+    ("seo", "duplicate_meta_description", ERROR, True),
 ]
 
 
-def group_issues(catalog: DataFrame, params: AuditParams, types: list[str] | None = None) -> DataFrame:
-    """C10, D03–D05, M09."""
-    rows = product_rows(catalog)
+def group_issues(keys: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """C10, D03–D05, M09 from the table of :func:`group_keys`."""
     picked = [r for r in GROUP_RULES if types is None or r[1] in types]
     return union_issues([
-        _issues(duplicate_members(key(rows), skip), family, kind, severity)
-        for family, kind, severity, key, skip in picked])
+        _issues(duplicate_members(keyed_by(keys, kind), skip), family, kind, severity)
+        for family, kind, severity, skip in picked])
 
 
 def description_groups(catalog: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from stocklens.functions import category as cg, markup, stock as st, text as tx
 from stocklens.functions import keywords as kw, values as vl
 from stocklens.operators import category_tree, duplicates, near_duplicates, report, row_rules, variants
 from stocklens.operators.issues import AuditParams
-from stocklens.operators.products import product_rows
 from stocklens.plans import duck as d
 from stocklens.plans.catalog_audit import audit_issues
+from stocklens.session import materialise
 
 P = AuditParams()
 QUERIES, ORACLES = {}, {}
@@ -219,7 +219,8 @@ _GROUPS = {
                            f"not is_variant and length({d.trim('lower(meta_description)')}) > 30", True),
 }
 for _key, _spec in _GROUPS.items():
-    QUERIES[_key] = lambda spark, sf, t=_spec[1]: _narrow(duplicates.group_issues(_cat(spark, sf), P, [t]))
+    QUERIES[_key] = lambda spark, sf, t=_spec[1]: _narrow(duplicates.group_issues(
+        duplicates.group_keys(_cat(spark, sf)), [t]))
     ORACLES[_key] = oracle(["catalog"], _T0 + _group_sql(*_spec))
 
 QUERIES["a13_description_groups"] = lambda spark, sf: duplicates.description_groups(_cat(spark, sf))
@@ -237,7 +238,8 @@ _SEPS = [s for s in variants.NAME_SEPARATORS]
 _MIXED = "case " + " ".join(
     f"when sum(case when contains(name, {d.q(s)}) then 1 else 0 end) > 0 then sum(case when contains(name, {d.q(s)}) then 1 else 0 end) < count(*)"
     for s in _SEPS) + " else false end"
-QUERIES["v01_v05_variants"] = lambda spark, sf: _narrow(variants.variant_issues(_cat(spark, sf), P))
+QUERIES["v01_v05_variants"] = lambda spark, sf: _narrow(variants.variant_issues(
+    materialise(variants.variant_rows(_cat(spark, sf)))))
 ORACLES["v01_v05_variants"] = oracle(["catalog"], _VAR + f"""
 select 'variants' as family, 'orphan_variant' as type, 'error' as severity, code as entity_key, row_idx, parent_code as details from v where not known
 union all select 'variants', 'variant_identical_names', 'warning', code, row_idx, '' from v where known and twins > 1
@@ -245,7 +247,8 @@ union all select 'variants', 'variant_no_diff_params', 'warning', code, row_idx,
 union all select 'variants', 'variant_no_image', 'warning', code, row_idx, '' from v where known and image = '' and image_count = 0
 union all select 'variants', 'variant_inconsistent_naming', 'warning', parent_code, null, '' from v where known
   group by parent_code having count(*) >= 3 and {_MIXED}""")
-QUERIES["n08_variant_stock"] = lambda spark, sf: variants.variant_stock_issues(_cat(spark, sf), P).select(
+QUERIES["n08_variant_stock"] = lambda spark, sf: variants.variant_stock_issues(
+    variants.variant_rows(_cat(spark, sf))).select(
     "family", "type", "severity", "entity_key", "entity_name", "group_size")
 ORACLES["n08_variant_stock"] = oracle(["catalog"], """, s as (select *, case when contains(lower(availability), 'skladem') or stock > 0 then 'in'
   when contains(lower(availability), 'vyprodán') or stock <= 0 then 'out' else 'unknown' end as state from catalog where parent_code <> '')
@@ -259,7 +262,7 @@ QUERIES["j02_parents_with_variants"] = lambda spark, sf: variants.parents_with_v
 ORACLES["j02_parents_with_variants"] = oracle(["catalog"], """select row_idx, code from catalog
 where parent_code = '' and code in (select parent_code from catalog where parent_code <> '')""")
 QUERIES["a15_variant_groups"] = lambda spark, sf: duplicates.group_sizes(
-    duplicates.name_key(product_rows(_cat(spark, sf))))
+    duplicates.keyed_by(duplicates.group_keys(_cat(spark, sf)), "duplicate_name"))
 ORACLES["a15_variant_groups"] = oracle(["catalog"], f"""select md5({d.trim('lower(name)')}) as group_id, count(*) as group_size,
  count(*) > 1 and ((count(nullif(parent_code, '')) = count(*) and count(distinct nullif(parent_code, '')) = 1)
   or (count({_BASECODE}) = count(*) and count(distinct {_BASECODE}) = 1)) as is_variants

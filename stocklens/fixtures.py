@@ -72,6 +72,10 @@ union all select distinct 'heureka', concat('ha-', b), concat(b, ' příslušens
 union all select distinct 'heureka', concat('hs-', b), concat(b, ' výprodej'), concat('Akce | ', b, ' výprodej') from w
 """
 
+# The taxonomy plus a platform whose categories match by path only, so that products need review.
+TAXONOMY_MORE = TAXONOMY + """union all select distinct 'glami', concat('gl-', b), 'Ostatni', concat('Zbozi | ', b, ' | Ostatni') from w
+"""
+
 STATUS_POLLS = """
 select event_id as poll_id, ts,
  concat('platform_', user_id % 4) as platform,
@@ -96,6 +100,7 @@ VIEWS = {
     "catalog": (CATALOG, ["part", "documents", "orders"]),
     "categories": (CATEGORIES, ["part"]),
     "taxonomy": (TAXONOMY, ["part"]),
+    "taxonomy_more": (TAXONOMY_MORE, ["part"]),
     "status_polls": (STATUS_POLLS, ["events"]),
     "fetches": (FETCHES, ["pages"]),
     "responses": (RESPONSES, ["part"]),

@@ -54,7 +54,7 @@ FILTER_LISTS = ["filterParams", "FILTER_PARAMS", "Parametry pro filtr"]
 PARAM_NAMES = ["paramName{i}", "PARAM_NAME_{i}", "Parametr {i} název"]
 PARAM_VALUES = ["paramValue{i}", "PARAM_VALUE_{i}", "Parametr {i} hodnota"]
 
-# Element names of each field in XML feeds, tried in upper and lower case in order.
+# Element names of each field in XML feeds (any case, without namespace), in order.
 XML_TAGS = {
     "code": ["ITEM_ID", "CODE", "ID", "PRODUCT_ID"],
     "name": ["PRODUCTNAME", "PRODUCT", "NAME", "TITLE"],
@@ -167,15 +167,13 @@ def filter_parameters(columns: list[str]) -> Column:
     return F.concat(*parts)
 
 
-def _both_cases(names: list[str]) -> list[str]:
-    return list(dict.fromkeys(v for n in names for v in (n, n.lower())))
-
-
 def xml_schema() -> T.StructType:
-    """All element names a product may use, as text; parameters as name and value pairs."""
-    fields = [T.StructField(t, T.StringType()) for tags in XML_TAGS.values() for t in _both_cases(tags)]
-    unique = {f.name: f for f in fields}
-    for t in _both_cases(XML_MORE_IMAGES):
+    """All element names a product may use, as text; parameters as name and value pairs.
+
+    Spark matches element names in any case unless spark.sql.caseSensitive is set.
+    """
+    unique = {t: T.StructField(t, T.StringType()) for tags in XML_TAGS.values() for t in tags}
+    for t in XML_MORE_IMAGES:
         unique[t] = T.StructField(t, T.ArrayType(T.StringType()))
     pair = T.StructType([T.StructField("PARAM_NAME", T.StringType()), T.StructField("VAL", T.StringType())])
     unique["PARAM"] = T.StructField("PARAM", T.ArrayType(pair))
@@ -188,13 +186,13 @@ def xml_products(records: DataFrame, record: str) -> DataFrame:
     Rows without code and name are dropped.
     """
     r = c(record)
-    first = lambda tags: F.coalesce(*[F.nullif(tx.trim_ws(tx.text(r[t])), F.lit("")) for t in _both_cases(tags)], F.lit(""))
+    first = lambda tags: F.coalesce(*[F.nullif(tx.trim_ws(tx.text(r[t])), F.lit("")) for t in tags], F.lit(""))
     pairs = F.filter(F.coalesce(r["PARAM"], F.array().cast("array<struct<PARAM_NAME:string,VAL:string>>")),
                      lambda p: ~tx.blank(p["PARAM_NAME"]) & ~tx.blank(p["VAL"]))
     params = F.array_join(F.transform(pairs, lambda p: F.concat(
         tx.trim_ws(p["PARAM_NAME"]), F.lit(":"), tx.trim_ws(p["VAL"]))), ",")
     none = F.array().cast("array<string>")
-    more = F.concat(*[F.coalesce(r[t], none) for t in _both_cases(XML_MORE_IMAGES)])
+    more = F.concat(*[F.coalesce(r[t], none) for t in XML_MORE_IMAGES])
     rest = [x for x in records.columns if x != record]
     out = records.select(*rest, *[first(tags).alias(k) for k, tags in XML_TAGS.items()], params.alias("filterParams"),
                          F.size(F.filter(more, lambda x: ~tx.blank(x))).alias("_more"))
@@ -205,7 +203,6 @@ def xml_products(records: DataFrame, record: str) -> DataFrame:
 def read_xml_products(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
     """An XML feed; without ``row_tag`` the usual row elements are tried in turn."""
     schema = xml_schema()
-    spark.conf.set("spark.sql.caseSensitive", "true")  # feeds mix upper- and lower-case names
     for tag in [row_tag] if row_tag else [v for t in XML_ROW_TAGS for v in dict.fromkeys((t, t.lower(), t.upper()))]:
         df = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
         if row_tag or not df.isEmpty():
@@ -232,7 +229,8 @@ def read_categories(spark: SparkSession, path: str, row_tag: str = "category") -
     """A category feed in CSV or (by file ending) XML."""
     if not path.lower().endswith(".xml"):
         return canonical_categories(read_csv(spark, path))
-    fields = dict.fromkeys(h for hs in CATEGORY_HEADERS.values() for h in hs if " " not in h)
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    fields: dict[str, str] = {}
+    for h in (h for hs in CATEGORY_HEADERS.values() for h in hs if " " not in h):
+        fields.setdefault(h.lower(), h)  # element names match in any case
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields.values()])
     return canonical_categories(spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path))

@@ -28,16 +28,19 @@ LIST_ROWS = 4_000
 def unique_texts(catalog: DataFrame) -> DataFrame:
     """Descriptions (normalised, over 50 characters) that exactly one product has.
 
-    Words travel as 64-bit hashes; the text itself is never shuffled.
+    The texts are read once; from then on words travel as 64-bit hashes and texts as md5. The
+    table is written before it is filtered, because a filter on the word set would be pushed
+    below the projection and compute it twice.
     """
     norm = F.lower(c("desc_plain"))
-    rows = product_rows(catalog).filter(F.length(norm) > 50)
-    once = rows.select(F.md5(norm).alias("h"), "row_idx").groupBy("h").agg(
+    tokens = F.array_sort(F.array_distinct(F.transform(
+        F.filter(tx.words(norm), lambda w: F.length(w) > 2), lambda w: F.xxhash64(w))))
+    long_enough = F.length(norm) > 50
+    rows = materialise(product_rows(catalog).select(
+        "row_idx", "code", "name", F.when(long_enough, F.md5(norm)).alias("h"), F.when(long_enough, tokens).alias("tokens")))
+    once = rows.filter("h is not null").groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("row_idx")).filter("n = 1").select("row_idx")
-    tokens = F.array_distinct(F.transform(
-        F.filter(tx.words(norm), lambda w: F.length(w) > 2), lambda w: F.xxhash64(w)))
-    return rows.select("row_idx", "code", "name", F.array_sort(tokens).alias("tokens")).join(
-        once, "row_idx", "left_semi").filter(F.size("tokens") > 0)
+    return rows.drop("h").join(once, "row_idx", "left_semi").filter(F.size("tokens") > 0)
 
 
 def word_classes(texts: DataFrame) -> DataFrame:

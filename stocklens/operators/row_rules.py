@@ -26,7 +26,9 @@ def content_columns() -> list[dict[str, Column]]:
     """Costly values that several content rules read, computed once per row, stage by stage."""
     longer = F.when(F.length("desc_plain") > F.length("short_plain"), c("desc_plain")).otherwise(c("short_plain"))
     return [{
-        "language_text": F.when(F.length(longer) > 50, F.lower(tx.strip_html(longer))),
+        # the text is plain already; only decoded tags or entities need another pass
+        "language_text": F.when(F.length(longer) > 50, F.lower(F.when(
+            longer.contains("<") | longer.contains("&"), tx.strip_html(longer)).otherwise(longer))),
         "low_long": F.lower(tx.text(c("description"))),
         "low_short": F.lower(tx.text(c("short_description"))),
     }, {

@@ -8,7 +8,7 @@ from stocklens.fixtures import load, oracle, table
 from stocklens.functions import category as cg, markup, stock as st, text as tx
 from stocklens.functions import keywords as kw, values as vl
 from stocklens.operators import category_tree, duplicates, near_duplicates, report, row_rules, variants
-from stocklens.operators.issues import AuditParams
+from stocklens.operators.issues import AuditParams, errors_first
 from stocklens.plans import duck as d
 from stocklens.plans.catalog_audit import audit_issues
 from stocklens.session import materialise
@@ -22,6 +22,10 @@ def _cat(spark, sf):
     return load(spark, sf, "catalog")
 
 
+def row_issues_all(spark, sf):
+    return row_rules.row_issues(_cat(spark, sf), P)
+
+
 def _narrow(issues):
     return issues.select(*ISSUE)
 
@@ -450,6 +454,10 @@ ORACLES["a11_health"] = _recursive(_CATS, _SCORES + f"""
 select overall, case when overall >= 90 then 'excellent' when overall >= 70 then 'good' when overall >= 50 then 'average' else 'critical' end as level,
  (select string_agg(k, ',' order by score, pos) from pick) as priorities from scores""")
 
+QUERIES["k02_errors_first"] = lambda spark, sf: errors_first(row_issues_all(spark, sf)).select(*ISSUE)
+ORACLES["k02_errors_first"] = oracle(["catalog"], _BASE + ", issues as (" + _family_sql(list(RULES)) + """)
+select * from issues order by severity <> 'error', family, type, row_idx, entity_key""")
+
 # ---- expressions over whole texts ----------------------------------------------------------
 
 

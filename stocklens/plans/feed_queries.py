@@ -245,14 +245,14 @@ _add("e08_remove_parameter", lambda s, f: _groups(en.remove_parameter(_grouped(s
 
 def _edits(s, f):
     empty = "array<struct<{k}:string,value:string>>"
-    e = _cat(s, f).filter("row_idx % 10 = 0").select(
+    e = _cat(s, f).filter("availability = 'Na dotaz'").select(
         "row_idx", F.array(F.struct(F.lit("Barva").alias("name"), F.lit("bílá").alias("value"))).alias("filtering"),
         F.array().cast(empty.format(k="key")).alias("text"))
     return _flat(en.edit_parameters(_params(s, f), e))
 
 
-_add("j13_edit_parameters", _edits, _PARAMS + """select row_idx, case when row_idx % 10 = 0 then 'Barva=bílá' else filtering end as filtering,
- case when row_idx % 10 = 0 then null else text end as text from par""", _RV)
+_add("j13_edit_parameters", _edits, _PARAMS + """select par.row_idx, case when availability = 'Na dotaz' then 'Barva=bílá' else filtering end as filtering,
+ case when availability = 'Na dotaz' then null else text end as text from par join catalog using (row_idx)""", ["catalog", "responses"])
 
 
 def _wide(s, f):

@@ -129,14 +129,13 @@ select * from ch union all select lm.* from lm where not exists (select 1 from c
 def _edited(spark, sf):
     cat, tax = _in(spark, sf)
     edits = cat.select("row_idx", "code", F.lit("google").alias("platform"),
-                       F.when(c("row_idx") % 7 == 0, " ").otherwise(F.concat(F.lit("m-"), c("row_idx"))).alias("value")).filter(
-        "row_idx % 5 = 0")
+                       F.when(c("row_idx") % 7 == 0, " ").otherwise(F.concat(F.lit("m-"), c("row_idx"))).alias("value"))
     return mapping.manual_overrides(mapping.long_mapping(mapping.map_products(cat, tax)[0]), edits)
 
 
 _add("j13_manual_overrides", _edited, """
-select * from lm where not (platform = 'google' and row_idx % 5 = 0)
-union all select row_idx, code, 'google', 'm-' || row_idx, 'Manual', 'Manual entry', 100 from catalog where row_idx % 5 = 0 and row_idx % 7 <> 0""")
+select * from lm where platform <> 'google'
+union all select row_idx, code, 'google', 'm-' || row_idx, 'Manual', 'Manual entry', 100 from catalog where row_idx % 7 <> 0""")
 _add("r06_simple_matches", lambda s, f: mapping.simple_matches(*_in(s, f)), """
 select row_idx, code, platform, id, k.name, full_path, 75 as confidence from pr join cand k on k.ctx = pr.ctx where rank = 1""")
 

@@ -69,8 +69,9 @@ _add("k03_sorted_categories", lambda s, d: tools.sorted_categories(
     _cat(s, d).groupBy(F.when(F.col("category_text") == "", "Bez kategorie").otherwise(F.col("category_text")).alias("category")).agg(
         F.count(F.lit(1)).alias("n"))), """
 select coalesce(nullif(category_text, ''), 'Bez kategorie') as category, count(*) as n from catalog group by 1""")
-_add("k04_seeded_order", lambda s, d: tools.seeded_order(_cat(s, d).select("row_idx", "code"), "row_idx", "fixture").limit(100), """
-select row_idx, code from catalog order by md5('fixture' || row_idx), row_idx limit 100""")
+_add("k04_seeded_order", lambda s, d: tools.seeded_order(_cat(s, d).select(
+    "row_idx", "code", F.md5(F.concat(F.lit("fixture"), F.col("row_idx").cast("string"))).alias("place")), "row_idx", "fixture"), """
+select row_idx, code, md5('fixture' || row_idx) as place from catalog order by place, row_idx""")
 _add("p11_path_prefixes", lambda s, d: _cat(s, d).select("row_idx", F.posexplode(path_prefixes(F.col("category_text")))).select(
     "row_idx", F.col("pos").alias("level"), F.col("col").alias("path")), """
 select row_idx, (i - 1)::integer as level, array_to_string(p[1:i], ' | ') as path from (select row_idx, p, unnest(range(1, len(p) + 1)) as i from

@@ -203,11 +203,12 @@ union all select site, 'invalid_robots', 'warning', 'no sitemap line' from rb wh
 
 
 def _sitemap_docs(s, f):
-    """One sitemap document per page of every site but each fifth."""
-    return _pages(s, f).filter("page_id % 5 <> 0").select(
-        ur.origin(c("url")).alias("site"), F.concat(
-            F.lit('<?xml version="1.0"?><urlset><url><loc> '), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc><lastmod>2024-01-"),
-            F.lpad((c("page_id") % 30 + 1).cast("string"), 2, "0"), F.lit("</lastmod></url></urlset>")).alias("xml"))
+    """One sitemap document per page; some documents list nothing."""
+    entry = F.concat(
+        F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc><lastmod>2024-01-"),
+        F.lpad((c("page_id") % 30 + 1).cast("string"), 2, "0"), F.lit("</lastmod></url>"))
+    return _pages(s, f).select(ur.origin(c("url")).alias("site"), F.concat(
+        F.lit('<?xml version="1.0"?><urlset>'), F.when(c("page_id") % 5 == 0, "").otherwise(entry), F.lit("</urlset>")).alias("xml"))
 
 
 def _sitemap_urls(s, f):

@@ -36,8 +36,10 @@ def unique_texts(catalog: DataFrame) -> DataFrame:
     tokens = F.array_sort(F.array_distinct(F.transform(
         F.filter(tx.words(norm), lambda w: F.length(w) > 2), lambda w: F.xxhash64(w))))
     long_enough = F.length(norm) > 50
-    rows = materialise(product_rows(catalog).select(
-        "row_idx", "code", "name", F.when(long_enough, F.md5(norm)).alias("h"), F.when(long_enough, tokens).alias("tokens")))
+    # 128 bits over the sorted word set name the class of texts with the same words
+    class_id = F.concat_ws("/", F.xxhash64("tokens"), F.xxhash64(F.lit(1), "tokens"))
+    rows = materialise(product_rows(catalog).withColumn("tokens", F.when(long_enough, tokens)).select(
+        "row_idx", "code", "name", F.when(long_enough, F.md5(norm)).alias("h"), "tokens", class_id.alias("class_id")))
     once = rows.filter("h is not null").groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("row_idx")).filter("n = 1").select("row_idx")
     return rows.drop("h").join(once, "row_idx", "left_semi").filter(F.size("tokens") > 0)
@@ -45,10 +47,9 @@ def unique_texts(catalog: DataFrame) -> DataFrame:
 
 def word_classes(texts: DataFrame) -> DataFrame:
     """Products with the same word set, each linked to the first product of its class."""
-    keyed = texts.select("row_idx", "code", "name", F.md5(F.array_join("tokens", ",")).alias("class_id"))
+    keyed = texts.select("row_idx", "class_id")
     sizes = keyed.groupBy("class_id").agg(
-        F.count(F.lit(1)).alias("class_size"), F.min("row_idx").alias("first_idx"),
-        F.min_by("code", "row_idx").alias("first_code"))
+        F.count(F.lit(1)).alias("class_size"), F.min("row_idx").alias("first_idx"))
     return attach_groups(keyed, sizes, "class_id", "class_size")
 
 
@@ -108,7 +109,7 @@ def near_duplicate_pairs(catalog: DataFrame) -> DataFrame:
     distinct texts, not with the square of a group of copies.
     """
     texts = materialise(unique_texts(catalog))
-    classes = word_classes(texts)
+    classes = materialise(word_classes(texts))
     firsts = classes.filter(c("row_idx") == c("first_idx")).select("row_idx")
     sets = materialise(ordered_sets(texts.join(firsts, "row_idx", "left_semi")))
     names = texts.select("row_idx", "code", "name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocklens.functions import category as cg, text as tx, values as vl
+from stocklens.session import materialise
 
 c = F.col
 
@@ -104,6 +105,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("ignoreTrailingWhiteSpace", True).csv(path).fillna(""))
 
 
+def with_row_index(df: DataFrame) -> DataFrame:
+    """Adds ``row_idx``, the input position that breaks ties; increasing, not dense.
+
+    The table is written once, so that a task that is run again cannot number its rows anew.
+    """
+    return materialise(df.withColumn("row_idx", F.monotonically_increasing_id()))
+
+
 def _cell(columns: list[str], headers: list[str]) -> Column | None:
     present = [F.nullif(tx.text(c(f"`{h}`")), F.lit("")) for h in headers if h in columns]
     return F.coalesce(*present, F.lit("")) if present else None

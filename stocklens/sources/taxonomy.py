@@ -43,6 +43,7 @@ def tree_paths(nodes: DataFrame, separator: str = " | ", max_depth: int = 64) ->
     Each round doubles the part of the path that is known, so a tree of depth n takes log2(n)
     equi-joins. A node with a path of its own starts a new path there.
     """
+    nodes = materialise(nodes)
     own = c("own_path") if "own_path" in nodes.columns else F.lit(None).cast("string")
     parents = nodes.select(c("parent_id").alias("id")).filter("id is not null").distinct().withColumn("inner", F.lit(True))
     known = nodes.select(c("id").alias("up"), F.lit(True).alias("known"))

@@ -23,6 +23,19 @@ def test_csv(spark, put):
     assert rows[0]["is_visible"] and not rows[0]["is_action"]
 
 
+def test_files_to_issues(spark, put):
+    """The whole way from files to the issue table."""
+    from stocklens.operators.issues import AuditParams
+    from stocklens.plans.catalog_audit import audit_issues
+    lines = "".join(f"P{i};Product {i};A > B{i % 2};{i};EAN{i % 3}\n" for i in range(6))
+    path = put("p.csv", "code;name;defaultCategory;price;ean\n" + lines)
+    catalog = sc.canonical_products(sc.with_row_index(sc.read_csv(spark, path)))
+    issues = audit_issues(catalog, AuditParams(), near=False)
+    found = {(r["type"], r["n"]) for r in issues.groupBy("type").agg(F.count("*").alias("n")).collect()}
+    assert {("duplicate_ean", 6), ("no_description", 6), ("no_image", 6), ("no_meta_description", 6)} <= found
+    assert ("zero_price", 2) in found  # once as a business and once as a completeness issue
+
+
 def test_csv_comma_and_aliases(spark, put):
     path = put("p.csv", "code,CODE2,brand,categoryText,categoryText2,paramName1,paramValue1,filterParams\nA,x,B,C,D,size,L,\"a, b\"\n")
     r = sc.canonical_products(sc.read_csv(spark, path)).first()

@@ -56,7 +56,7 @@ def lowercase_first(c: Column) -> Column:
     """First letter in lower case, unless the value starts with an acronym or a name."""
     first = F.regexp_extract(c, r"^([^\s,;\-]*)", 1)
     acronym = first.rlike("^[A-Z0-9]+$")
-    common = reduce(or_, [F.lower(first).endswith(e) for e in COMMON_ENDINGS])
+    common = F.lower(first).rlike(f"({'|'.join(COMMON_ENDINGS)})$")
     name = first.rlike(TITLE_CASE) & ~common
     kept = reduce(or_, [c.startswith(b) for b in KEPT_BEGINNINGS])
     lowered = F.concat(F.lower(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
@@ -65,8 +65,10 @@ def lowercase_first(c: Column) -> Column:
 
 def fix_acronyms(c: Column) -> Column:
     edge = "[A-Za-z0-9_]"
-    return reduce(lambda acc, kv: F.regexp_replace(
+    fixed = reduce(lambda acc, kv: F.regexp_replace(
         acc, f"(?i)(?<!{edge}){kv[0]}(?!{edge})", kv[1]), ACRONYMS.items(), c)
+    # one cheap look first: few values hold an acronym
+    return F.when(c.rlike(f"(?i){'|'.join(ACRONYMS)}"), fixed).otherwise(c)
 
 
 def parameter_name(c: Column) -> Column:

@@ -75,12 +75,17 @@ def clean_parameters(parsed: DataFrame) -> DataFrame:
     Of filtering parameters with equal values the first with a priority name stays, else the first.
     """
     split = F.flatten(F.transform(F.filter("filtering", lambda x: ~tx.blank(x["value"])), lambda x: F.transform(
-        pm.split_values(x["value"]), lambda v: F.struct(x["name"].alias("name"), v.alias("value")))))
-    spelled = F.transform(c("_split"), lambda x: F.struct(
-        pm.parameter_name(x["name"]).alias("name"), pm.parameter_value(x["value"]).alias("value")))
-    texts = F.transform(F.filter("text", lambda x: ~tx.empty(x["key"]) & ~tx.empty(x["value"])), lambda x: F.struct(
-        pm.parameter_name(x["key"]).alias("key"), pm.fix_acronyms(tx.trim_ws(x["value"])).alias("value")))
-    rows = parsed.withColumns({"_split": split, "_text": texts}).withColumn("_spelled", spelled)
+        pm.split_values(x["value"]), lambda v: F.struct(x["name"].alias("name"), tx.trim_ws(v).alias("value")))))
+    kept_texts = F.transform(F.filter("text", lambda x: ~tx.empty(x["key"]) & ~tx.empty(x["value"])), lambda x: F.struct(
+        x["key"].alias("key"), tx.trim_ws(x["value"]).alias("value")))
+    # stage by stage: inside one lambda every use of a value would compute it again
+    lowered = F.transform(c("_split"), lambda x: F.struct(
+        pm.parameter_name(x["name"]).alias("name"), pm.lowercase_first(x["value"]).alias("value")))
+    spelled = F.transform(c("_lowered"), lambda x: F.struct(x["name"].alias("name"), pm.fix_acronyms(x["value"]).alias("value")))
+    texts = F.transform(c("_kept"), lambda x: F.struct(
+        pm.parameter_name(x["key"]).alias("key"), pm.fix_acronyms(x["value"]).alias("value")))
+    rows = parsed.withColumns({"_split": split, "_kept": kept_texts}).withColumns(
+        {"_lowered": lowered, "_text": texts}).withColumn("_spelled", spelled)
     lower_equal = lambda a, b: F.lower(a["value"]) == F.lower(b["value"])
     return rows.select(
         "row_idx",

@@ -72,10 +72,10 @@ def test_taxonomies(spark, put):
     listed = tax.read_list(spark, put("g.txt", "# v\n1 - A > B\n\n2 - Q\nzz\n")).orderBy("id").collect()
     assert [(r["id"], r["name"], r["full_path"]) for r in listed] == [("1", "B", "A > B"), ("2", "Q", "Q")]
     node = lambda i, n, inner="": f"<CATEGORY><CATEGORY_ID>{i}</CATEGORY_ID><CATEGORY_NAME>{n}</CATEGORY_NAME>{inner}</CATEGORY>"
-    nested = tax.read_nested_xml(spark, put("h.xml", f"<HEUREKA>{node(1, 'A', node(2, 'B') + node(3, 'C', node(4, 'D')))}</HEUREKA>"))
+    nested = tax.read_nested_xml(spark, put("h.xml", f"<HEUREKA>{node(1, 'A', node(2, 'B') + node(3, 'C', node(4, 'D')))}</HEUREKA>"), levels=4)
     assert {(r["id"], r["full_path"]) for r in nested.collect()} == {("2", "A | B"), ("4", "A | C | D")}
     js = tax.read_nested_json(spark, put("z.json", '[{"id":1,"name":"A","children":[{"id":2,"name":"B","categoryText":"X | B","children":'
-                                                   '[{"id":5,"name":"E"}]},{"name":"nil","children":[{"id":4,"name":"D"}]}]}]'))
+                                                   '[{"id":5,"name":"E"}]},{"name":"nil","children":[{"id":4,"name":"D"}]}]}]'), levels=4)
     assert {(r["id"], r["full_path"]) for r in js.collect()} == {("1", "A"), ("2", "X | B"), ("5", "X | B | E"), ("4", "A | nil | D")}
     flat = tax.read_flat_xml(spark, put("f.xml", "<G><CATEGORY><CATEGORY_ID>1</CATEGORY_ID><CATEGORY_NAME>N</CATEGORY_NAME>"
                                                  "<CATEGORY_FULLNAME>A | N</CATEGORY_FULLNAME></CATEGORY></G>")).first()

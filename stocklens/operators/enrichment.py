@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from stocklens.functions import parameters as pm, text as tx
 from stocklens.functions.category import product_category, product_category_path
-from stocklens.operators.keyed import attach_groups
 
 c = F.col
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocklens.functions import category as cg, text as tx
+from stocklens.functions import category as cg
 from stocklens.functions.values import one_decimal, round_half_up
 from stocklens.operators.keyed import attach_groups
 from stocklens.session import materialise

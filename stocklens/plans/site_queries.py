@@ -6,10 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from stocklens.fixtures import load, oracle, table
+from stocklens.fixtures import load, table
 from stocklens.functions import url as ur
 from stocklens.operators import site_pages as sp, site_rules as sr
-from stocklens.operators.report import worst_status
 from stocklens.plans import duck as d
 
 QUERIES, ORACLES = {}, {}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # At most this many groups are treated as hot, which bounds what is broadcast.
-MAX_HOT_GROUPS = 256
+MAX_HOT_GROUPS = 1_000_000
 # A group below this size is never hot.
 MIN_HOT_ROWS = 20_000
 # Rows per block when a group is numbered or ordered.
@@ -20,8 +20,9 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Da
     """Left join of ``rows`` with one row per key (``groups``), safe for hot keys.
 
     ``groups[size]`` is the number of rows of the key. A key counts as hot when it holds more
-    than 1/MAX_HOT_GROUPS of all rows, so there are fewer than MAX_HOT_GROUPS hot keys whatever
-    the data size: only those are broadcast. Rows of hot keys are spread over all partitions of
+    than MIN_HOT_ROWS rows and more than 1/MAX_HOT_GROUPS of all rows, so there are fewer than
+    MAX_HOT_GROUPS hot keys whatever the data size: only those are broadcast. ``groups`` is read
+    three times; pass a written table where it is costly. Rows of hot keys are spread over all partitions of
     the shuffle join, which serves the other keys.
     """
     values = [c for c in groups.columns if c != key]

@@ -28,10 +28,15 @@ def build_session(app: str = "stocklens", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (tests, a laptop) a local folder is made.
+    Only a session that runs in one process (``local[...]``: tests, a laptop) gets a folder of its
+    own where none is set. On a cluster a missing setting is an error, because executors would write
+    to disks that the others cannot read.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="stocklens-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

@@ -3,14 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stocklens.llm.exact_dedup import exact_copies
+from stocklens.llm.mixing import mix_plan
+from stocklens.llm.piece_bpe import encode_documents
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their first training position; those that the mix leaves out come last."""
+    plan = mix_plan(documents(spark, sf_dir))
+    return plan.select(
+        "doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"),
+        F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"),
+        F.col("mix.copies").alias("copies"), F.get("mix.positions", F.lit(0)).alias("first_position"),
+    ).orderBy(F.col("first_position").asc_nulls_last())
+
+
+def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(documents(spark, sf_dir), piece_model_path())
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir), keep="max")
 
@@ -26,9 +53,39 @@ select doc_id, max(doc_id) over (partition by t) as keep_id,
 from d
 """
 
+_OP7 = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         md5('0:' || coalesce(doc_id::varchar, '')) as key from documents),
+t as (select source, sum(size)::bigint as source_size from d group by source),
+r as (select *, row_number() over (order by source nulls last) as rank from t),
+w as (select *, [5.0, 2.0, 1.0][1 + (rank - 1) % 3]::double as weight, source_size::double * 3 as cap from r),
+o as (select *, cap / weight as ratio from w),
+l as (select *, sum(source_size::double) over () - coalesce(sum(cap) over (
+             order by ratio, rank rows between unbounded preceding and 1 preceding), 0) as lft,
+           sum(weight) over (order by ratio, rank rows between current row and unbounded following) as share from o),
+v as (select max(case when lft * weight <= cap * share then lft / share end) as level from l),
+s as (select source, source_size, rank, least(cap, weight * level) as target from l, v),
+c as (select d.*, source_size, target, rank,
+             sum(size) over (partition by d.source order by key, size rows unbounded preceding) - size as start
+      from d join s on d.source is not distinct from s.source),
+k as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as rounds from c),
+n as (select *, (case when source_size > 0 then rounds + case when start + size / 2 < target - rounds * source_size
+                 then 1 else 0 end else 0 end)::bigint as copies from k),
+y as (select *, (1.5 - 0.5 * ((rank - 1) % 3)) as a, start::double / target as share from n),
+-- the schedules 1.5 1 0.5, 1 1 1 and 0.5 1 1.5 are straight lines: a + (2 - 2a) t, with integral a t + (1 - a) t^2
+f as (select *, least(1, case when a = 1 then share else 2 * share / (a + sqrt(greatest(a * a + 4 * (1 - a) * share, 0))) end) as p from y)
+select doc_id, size::bigint as size, source_size, target, (copies * size)::bigint as taken, copies,
+       case when copies > 0 then p end as first_position
+from f
+"""
+
 QUERIES = {
+    "op7_mixing": op7_mixing,
+    "op8_piece_bpe": op8_piece_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op7_mixing": _OP7,
     "op10_exact_dedup": _OP10,
 }

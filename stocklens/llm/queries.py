@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens.llm.exact_dedup import exact_copies
+from stocklens.llm.license_scan import COVERAGE, LICENSE_WORD, TEMPLATES, scan_licenses
 from stocklens.llm.mixing import mix_plan
+from stocklens.llm.order_minhash import fingerprint, fingerprint_documents
 from stocklens.llm.piece_bpe import encode_documents
 
 
@@ -20,6 +22,18 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir)).drop("alignments")
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_documents(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint("signature").alias("fingerprint"), fingerprint("edited_signature").alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their first training position; those that the mix leaves out come last."""
     plan = mix_plan(documents(spark, sf_dir))
@@ -45,6 +59,31 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lower-casing of A to Z as DuckDB writes it.
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+_TEMPLATE_WORDS = ", ".join(
+    f"({t}, {j}, '{w}', {j in tpl.key_places}, {len(tpl.words)}, {tpl.key_places[0]}, {len(tpl.key_places)}, '{tpl.label}', {tpl.base})"
+    for t, tpl in enumerate(TEMPLATES) for j, w in enumerate(tpl.words))
+_OP1 = f"""
+with tw(t, j, word, is_key, len, key_at, key_len, label, base) as (values {_TEMPLATE_WORDS}),
+d as (select doc_id, regexp_extract_all({_LOWER}, '{LICENSE_WORD}') as words from documents),
+w as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) - 1 as pos from d),
+h as (select * from w where word in (select word from tw)),
+df as (select v.word, count(distinct doc_id) as df from (select distinct word from tw) v left join h using (word) group by 1),
+an as (select t, arg_min(j, df * 1000 + j) as anchor from tw join df using (word) where is_key group by t),
+al as (select doc_id, t, pos - j as start, count(*) / any_value(len)::double as coverage,
+              sum(is_key::int) = any_value(key_len) as key, any_value(label) as label, any_value(base) as base,
+              pos - j + any_value(key_at) as place
+       from h join tw using (word) join an using (t) group by doc_id, t, pos - j having bool_or(j = anchor)),
+g as (select doc_id, count(*) filter (key and base) as n_base, min(place) filter (key and base) as first_word,
+             max(place) filter (key and base) as last_word,
+             string_agg(distinct label, ',' order by label) filter (key and base) as base_labels,
+             string_agg(distinct label, ',' order by label) filter (key and coverage >= {COVERAGE}) as labels,
+             max(coverage) as score from al group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+       last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       coalesce(score, 0.0) as score
+from d left join g using (doc_id)
+"""
+
 _OP10 = f"""
 with d as (select doc_id, {_LOWER} as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id,
@@ -81,11 +120,14 @@ from f
 """
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_order_minhash": op3_order_minhash,
     "op7_mixing": op7_mixing,
     "op8_piece_bpe": op8_piece_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op1_license_scan": _OP1,
     "op7_mixing": _OP7,
     "op10_exact_dedup": _OP10,
 }

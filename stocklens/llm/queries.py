@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens.llm.compression_quality import score_quality
 from stocklens.llm.exact_dedup import exact_copies
 from stocklens.llm.license_scan import COVERAGE, LICENSE_WORD, TEMPLATES, scan_licenses
 from stocklens.llm.mixing import mix_plan
 from stocklens.llm.order_minhash import fingerprint, fingerprint_documents
 from stocklens.llm.piece_bpe import encode_documents
+from stocklens.llm.subword_toxicity import score_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +24,22 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("alignments")
 
 
+def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_documents(documents(spark, sf_dir))
     return found.select(
@@ -41,7 +55,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"),
         F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"),
         F.col("mix.copies").alias("copies"), F.get("mix.positions", F.lit(0)).alias("first_position"),
-    ).orderBy(F.col("first_position").asc_nulls_last())
+    ).orderBy(F.col("first_position").asc_nulls_last(), F.xxhash64("doc_id"))
 
 
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +135,11 @@ from f
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_subword_toxicity": op2_subword_toxicity,
     "op3_order_minhash": op3_order_minhash,
     "op7_mixing": op7_mixing,
     "op8_piece_bpe": op8_piece_bpe,
+    "op9_compression_quality": op9_compression_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {

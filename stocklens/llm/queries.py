@@ -12,6 +12,7 @@ from stocklens.llm.mixing import mix_plan
 from stocklens.llm.order_minhash import fingerprint, fingerprint_documents
 from stocklens.llm.piece_bpe import encode_documents
 from stocklens.llm.subword_toxicity import score_toxicity
+from stocklens.llm.trie_lm import score_documents
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op4_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their first training position; those that the mix leaves out come last."""
     plan = mix_plan(documents(spark, sf_dir))
@@ -137,6 +142,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_subword_toxicity": op2_subword_toxicity,
     "op3_order_minhash": op3_order_minhash,
+    "op4_trie_lm": op4_trie_lm,
     "op7_mixing": op7_mixing,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_compression_quality": op9_compression_quality,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stocklens.llm.compression_quality import score_quality
 from stocklens.llm.exact_dedup import exact_copies
+from stocklens.llm.jaccard_join import similar_components
 from stocklens.llm.license_scan import COVERAGE, LICENSE_WORD, TEMPLATES, scan_licenses
 from stocklens.llm.mixing import mix_plan
 from stocklens.llm.order_minhash import fingerprint, fingerprint_documents
@@ -53,6 +54,10 @@ def op4_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their first training position; those that the mix leaves out come last."""
     plan = mix_plan(documents(spark, sf_dir))
@@ -111,6 +116,19 @@ select doc_id, max(doc_id) over (partition by t) as keep_id,
 from d
 """
 
+# All pairs that share a shingle are compared, then the smallest reachable id is found.
+_OP5 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, len(w) as m, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+             else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as sh from d),
+n as (select doc_id, len(sh) as n from s),
+e as (select doc_id, unnest(sh) as sh from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from e a join e b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+r(doc_id, c) as (select doc_id, doc_id from d union select l.b, r.c from r join l on l.a = r.doc_id where r.c < l.b)
+select d.doc_id, n.n::bigint as n_shingles, min(c) as component_id from d join n using (doc_id) join r using (doc_id) group by 1, 2
+"""
+
 _OP7 = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
@@ -143,12 +161,14 @@ QUERIES = {
     "op2_subword_toxicity": op2_subword_toxicity,
     "op3_order_minhash": op3_order_minhash,
     "op4_trie_lm": op4_trie_lm,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_compression_quality": op9_compression_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op5_jaccard_join": _OP5,
     "op1_license_scan": _OP1,
     "op7_mixing": _OP7,
     "op10_exact_dedup": _OP10,

@@ -13,6 +13,7 @@ from stocklens.llm.mixing import mix_plan
 from stocklens.llm.order_minhash import fingerprint, fingerprint_documents
 from stocklens.llm.piece_bpe import encode_documents
 from stocklens.llm.subword_toxicity import score_toxicity
+from stocklens.llm.suffix_dedup import remove_repeats
 from stocklens.llm.trie_lm import score_documents
 
 
@@ -58,6 +59,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(documents(spark, sf_dir))
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their first training position; those that the mix leaves out come last."""
     plan = mix_plan(documents(spark, sf_dir))
@@ -162,6 +170,7 @@ QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_trie_lm": op4_trie_lm,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_compression_quality": op9_compression_quality,

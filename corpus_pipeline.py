@@ -3,19 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stocklens.llm.compression_quality import keep_good
 from stocklens.llm.exact_dedup import drop_copies
+from stocklens.llm.jaccard_join import keep_one_of_each
+from stocklens.llm.mixing import in_training_order, mix_plan
+from stocklens.llm.piece_bpe import encode_documents
+from stocklens.llm.queries import piece_model_path
 from stocklens.session import materialise
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier holds for bad go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return drop_copies(docs, keep="max")
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by similar word shingles the one with the smallest id stays."""
+    return keep_one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, as often as the weights of their sources ask for; some are left out."""
+    return in_training_order(mix_plan(docs))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every row."""
+    return encode_documents(docs, piece_model_path()).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
 
-# Trained models and seeded orders have no SQL; the pipeline is tested against brute force.
+# The trained classifier has no SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 

@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.labelled import held_out, labelled_sample, logistic
@@ -65,19 +65,16 @@ def compressed_sizes(text: str, good: bytes, bad: bytes) -> tuple[int, int, int]
     return (len(data), *(sum(len(c.compress(b)) for b in blocks) for c in (_compressor(good), _compressor(bad))))
 
 
-def with_sizes(texts: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """A table whose last column is ``text``: that column gives way to ``n, size_good, size_bad``."""
-    kept = texts.columns[:-1]
-    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+def sizes_of(good: bytes, bad: bytes):
+    """A column function: text -> struct ``n, size_good, size_bad``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [compressed_sizes(t or "", good, bad) for t in batch.column(len(kept)).to_pylist()]
-            columns = [pa.array([s[i] for s in sizes], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns,
-                                             [*kept, "n", "size_good", "size_bad"])
+    @F.pandas_udf("n long, size_good long, size_bad long")
+    def sizes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            yield pd.DataFrame([compressed_sizes(t or "", good, bad) for t in texts],
+                               columns=["n", "size_good", "size_bad"], dtype="int64")
 
-    return texts.mapInArrow(run, f"{schema}, n long, size_good long, size_bad long")
+    return sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS,
@@ -92,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows_p
     pieces = sample.filter("part > 0").select("label", "id", F.substring("text", place, F.lit(PIECE_BYTES)).alias("piece")).filter(
         "piece <> ''").orderBy(F.xxhash64("id", F.lit(3)), "id").collect()
     good, bad = (dictionary([r["piece"].encode() for r in pieces if r["label"] == k]) for k in (1, 0))
-    sizes = with_sizes(sample.filter("part = 0").select("label", "text"), good, bad).toPandas()
+    sizes = sample.filter("part = 0").select("label", sizes_of(good, bad)("text").alias("s")).select("label", "s.*").toPandas()
     n, g, b, y = (sizes[c].to_numpy(float) for c in ("n", "size_good", "size_bad", "label"))
     clean = (y == 1) & (n > 0)
     typical = float(np.median((b - g)[clean] / n[clean])) if clean.any() else 0.0
@@ -100,6 +97,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows_p
     return CompressionModel(good, bad, typical, *logistic(x, y))
 
 
+def score_column(model: CompressionModel, text: Column) -> Column:
+    """Probability of label 1 for a column of texts without nulls."""
+    s = sizes_of(model.good, model.bad)(text)
+    evidence = (s["size_bad"] - s["size_good"] + model.typical * PRIOR_BYTES) / (s["n"] + PRIOR_BYTES)
+    x = F.greatest(F.least(evidence * model.slope + model.intercept, F.lit(30.0)), F.lit(-30.0))
+    return 1 / (1 + F.exp(-x))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.5,
                   rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, score, predicted`` for every row; score: probability of label 1.
@@ -110,10 +115,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     is the share of the other. An empty table gives an empty result.
     """
     model = train(docs, labels, label_col, rows_per_class, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), whole(text_col).alias("text"))
-    sizes = with_sizes(rows, model.good, model.bad)
-    evidence = (F.col("size_bad") - F.col("size_good") + model.typical * PRIOR_BYTES) / (F.col("n") + PRIOR_BYTES)
-    x = F.greatest(F.least(evidence * model.slope + model.intercept, F.lit(30.0)), F.lit(-30.0))
-    score = 1 / (1 + F.exp(-x))
-    return sizes.select(F.col("id").alias(id_col), "held_out", score.alias("score")).withColumn(
+    return docs.select(
+        F.col(id_col), held_out(id_col).alias("held_out"), score_column(model, whole(text_col)).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.5,
+              rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, all columns as they were; see ``score_quality``."""
+    model = train(docs, labels, label_col, rows_per_class, id_col, text_col)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    score = score_column(model, whole(names[docs.columns.index(text_col)]))
+    return docs.toDF(*names).withColumn("_score", score).filter(F.col("_score") >= threshold).select(*names).toDF(*docs.columns)

@@ -391,6 +391,19 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     return _result(own, classes, found, id_col)
 
 
+def keep_one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each component, all columns as they were.
+
+    Rows without id and rows without words are linked with nothing and stay. See ``similar_components``.
+    """
+    found = similar_components(docs, words, percent, id_col, text_col)
+    gone = materialise(found.filter(c(id_col) != c("component_id")).select(c(id_col).cast("bigint").alias("_gone")).distinct())
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    mine = c(names[docs.columns.index(id_col)]).cast("bigint")
+    return docs.toDF(*names).join(gone, mine == c("_gone"), "left_anti").toDF(*docs.columns)
+
+
 def _same_ids(own: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes that rows with one id belong to (a, b)."""
     full = own.filter("n > 0 and id is not null").select("id", "n", "k1", "k2").distinct()

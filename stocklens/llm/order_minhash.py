@@ -105,22 +105,24 @@ def _blocks(docs: DataFrame, id_col: str, block_rows: int) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, values: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` with a struct ``_next`` of ``values`` of the next row by id; after the last comes the first.
+    """``docs`` with columns ``_next_<value>`` of the next row by id; after the last comes the first.
 
-    Rows move once, into blocks of ids; a block's last row finds the first row of the next block.
+    The first of ``values`` holds no nulls. Rows move once, into blocks of ids; a block's last row finds the first row
+    of the next block. All branches read one exchange, so the windows run over plain columns.
     """
     blocks = docs.withColumn("_block", _blocks(docs, id_col, block_rows))
     order = Window.partitionBy("_block").orderBy(F.col(id_col).asc_nulls_first(), *[F.col(v) for v in values])
-    ranked = blocks.select(*docs.columns, "_block", F.lead(F.struct(*values)).over(order).alias("_next"),
+    next_ = [f"_next_{v}" for v in values]
+    ranked = blocks.select(*docs.columns, "_block", *[F.lead(v).over(order).alias(n) for v, n in zip(values, next_)],
                            F.lag(F.lit(1)).over(order).isNull().alias("_is_first"))
-    inner = ranked.filter(F.col("_next").isNotNull()).select(*docs.columns, "_next")
-    lasts = ranked.filter(F.col("_next").isNull())
+    inner = ranked.filter(F.col(next_[0]).isNotNull()).select(*docs.columns, *next_)
+    lasts = ranked.filter(F.col(next_[0]).isNull()).select(*docs.columns, "_block")
     by_block = Window.orderBy("_block")  # one row per block
     following = lasts.select("_block").select("_block", F.coalesce(
         F.lead("_block").over(by_block), F.first("_block").over(by_block)).alias("_then"))
-    firsts = ranked.filter("_is_first").select(F.col("_block").alias("_then"), F.struct(*values).alias("_first"))
-    ends = lasts.drop("_next").join(following, "_block").join(firsts, "_then")
-    return inner.unionByName(ends.select(*docs.columns, F.col("_first").alias("_next")))
+    firsts = ranked.filter("_is_first").select(F.col("_block").alias("_then"), *[F.col(v).alias(n) for v, n in zip(values, next_)])
+    ends = lasts.join(following, "_block").join(firsts, "_then")
+    return inner.unionByName(ends.select(*docs.columns, *next_))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -139,8 +141,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     placed = with_next(with_signature(rows, "_text", "_sig"), "_id", ["_text", "_sig"], block_rows)
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left(F.col("_text"), n - half), F.left(F.col("_next._text"), half))
-    d = placed.select("_id", n.cast("bigint").alias("n_chars"), "_sig", F.col("_next._sig").alias("_next_sig"),
+    edited = F.concat(F.left(F.col("_text"), n - half), F.left(F.col("_next__text"), half))
+    d = placed.select("_id", n.cast("bigint").alias("n_chars"), "_sig", F.col("_next__sig").alias("_next_sig"),
                       edited.alias("_edited"))
     d = with_signature(d, "_edited", "_edited_sig")
     return d.select(

@@ -60,7 +60,7 @@ def _with_collisions(hashed: DataFrame, groups: DataFrame, clean: DataFrame, pic
     """Rows whose hash belongs to several texts are grouped by the text itself."""
     mixed = groups.filter("not _same").select(_KEY, F.lit(True).alias("_mixed"), "group_size")
     marked = attach_groups(hashed, mixed, _KEY, "group_size").withColumn(
-        _PART, F.when("_mixed", F.col(_TEXT)))
+        _PART, F.when(F.col("_mixed"), F.col(_TEXT)))
     parts = _groups(marked.filter("_mixed"), [_KEY, _PART], pick).select(
         _KEY, _PART, "group_size", "keep_id")
     sha = F.sha2(F.col(_TEXT).cast("binary"), 256).alias("text_sha256")

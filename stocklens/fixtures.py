@@ -83,6 +83,33 @@ select event_id as poll_id, ts,
 from events
 """
 
+# Crawled pages with what the raw ones lack: heads with stylesheets, scripts and fonts, images, external links,
+# home pages, skipped headings, pages without title and headings, large pages.
+_SITE_URL = "case when page_id % 25 = 3 then concat('https://shop', page_id, '.example/') else url end"
+SITE_PAGES = f"""
+select page_id, url, concat('<head>',
+  case when page_id % 7 = 0 then repeat('<link rel="stylesheet" href="/s.css">', 6) else '<link rel="stylesheet" href="/t.css">' end,
+  case when page_id % 11 = 0 then repeat('<link rel="preload" href="https://fonts.googleapis.com/css">', 4) else '' end,
+  case when page_id % 13 = 0 then repeat('<script src="/a.js"></script>', 11) when page_id % 5 = 0 then '<script src="/b.js"></script>' else '' end,
+  case when page_id % 3 = 1 then '<script async src="https://cdn.jsdelivr.net/y.js"></script>' else '' end,
+  case when page_id % 9 = 0 then '<script src="https://evil.example/z.js"></script>' else '' end,
+  case when page_id % 2 = 0 then '<meta name="description" content="d">' else '' end,
+  case when page_id % 50 = 3 then concat(repeat('<meta property="og:title" content="o">', 3), repeat('<meta name="twitter:card" content="t">', 2)) else '' end,
+  '</head>',
+  case when page_id % 4 = 0 then repeat('<img src="/p.png">', 12) when page_id % 4 = 1 then '<img src="/q.png" alt="ok" loading="lazy" srcset="/m.png 1x, /n.png 2x">' else '' end,
+  case when page_id % 6 = 0 then concat('<img alt="x" src="http://', regexp_extract(url, '^https?://([^/?#]+)', 1), '/i.png">') else '' end,
+  case when page_id % 8 = 0 then '<h1>A</h1><h3>B</h3>' else '' end,
+  case when page_id % 12 = 0 then repeat('<a href="#">x</a>', 12) else '' end,
+  case when page_id % 3 = 0 then concat('<a href="https://social.example/p">s</a><a href="https://gone', page_id % 7, '.example/', page_id, '">g</a>') else '' end,
+  case when page_id % 60 = 0 then repeat('<p>filler text</p>', 30000) else '' end,
+  case when page_id % 10 = 7 then '<p>plain</p>' else html end) as html
+from (select page_id, {_SITE_URL} as url, html from pages) p
+"""
+
+SITE_FETCHES = f"""
+select {_SITE_URL} as url, case when page_id % 17 = 0 then 404 when page_id % 23 = 0 then 0 when page_id % 29 = 0 then 301 else 200 end as status from pages
+"""
+
 FETCHES = """
 select url, case when page_id % 17 = 0 then 404 when page_id % 23 = 0 then 0 when page_id % 29 = 0 then 301 else 200 end as status,
  length(html) as n_bytes from pages
@@ -103,6 +130,8 @@ VIEWS = {
     "taxonomy_more": (TAXONOMY_MORE, ["part"]),
     "status_polls": (STATUS_POLLS, ["events"]),
     "fetches": (FETCHES, ["pages"]),
+    "site_pages": (SITE_PAGES, ["pages"]),
+    "site_fetches": (SITE_FETCHES, ["pages"]),
     "responses": (RESPONSES, ["part"]),
 }
 
@@ -114,18 +143,9 @@ def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return spark.sql(sql_over(sql, tables), **{t: table(spark, sf_dir, t) for t in tables})
 
 
-# Tables with long texts and their keys.
-WIDE_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table. A wide table that comes in fewer files than there are cores is spread
-    over them first; a table of many files is read as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in WIDE_TABLES and len(df.inputFiles()) < cores:
-        return df.repartition(cores, WIDE_TABLES[name])
-    return df
+    """A Parquet table, read as it is; ``spark.sql.files.maxPartitionBytes`` sets the size of the parts."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql_over(sql: str, tables: list[str]) -> str:

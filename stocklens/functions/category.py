@@ -27,7 +27,7 @@ def main_category(c: Column) -> Column:
 def sub_category(c: Column) -> Column:
     """Everything after the first part, NULL when there is nothing."""
     parts = _parts(c, ">")
-    return F.nullif(F.array_join(F.slice(parts, 2, 1000), " > "), F.lit(""))
+    return F.nullif(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " > "), F.lit(""))
 
 
 def category_text_columns(columns: list[str]) -> list[str]:

@@ -93,10 +93,11 @@ def strip_html_ext(c: Column) -> Column:
     return collapse_ws(_decode(F.regexp_replace(text(c), "<[^>]*>", " "), ENTITIES_EXT))
 
 
-def review_text(description: Column, short: Column, limit: int = 500) -> Column:
-    """Plain text shown to a reviewer, first ``limit`` characters (a display rule)."""
+def review_text(description: Column, short: Column, limit: int | None = None) -> Column:
+    """Plain text shown to a reviewer; a display may cut it to its first ``limit`` characters."""
     source = F.when(~empty(description), description).otherwise(text(short))
-    return F.substring(collapse_ws(F.regexp_replace(source, "<[^>]*>?", "")), 1, limit)
+    plain = collapse_ws(F.regexp_replace(source, "<[^>]*>?", ""))
+    return plain if limit is None else F.substring(plain, 1, limit)
 
 
 def any_match(low: Column, patterns: list[tuple[str, str]]) -> Column:

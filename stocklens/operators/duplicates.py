@@ -92,10 +92,11 @@ def group_issues(keys: DataFrame, types: list[str] | None = None) -> DataFrame:
         for family, kind, severity, skip in picked])
 
 
-def description_groups(catalog: DataFrame) -> DataFrame:
-    """A13 as a table: one row per member with the group's size and a 200-character preview."""
+def description_groups(catalog: DataFrame, preview_chars: int | None = None) -> DataFrame:
+    """A13 as a table: one row per member with the group's size and its text, which a display may cut."""
     norm = F.lower(c("desc_plain"))
-    preview = F.when(F.length(norm) > 200, F.concat(F.substring(norm, 1, 200), F.lit("..."))).otherwise(norm)
+    preview = norm if preview_chars is None else F.when(F.length(norm) > preview_chars, F.concat(
+        F.substring(norm, 1, preview_chars), F.lit("..."))).otherwise(norm)
     rows = product_rows(catalog).filter(F.length(norm) > 50).select(
         "row_idx", "code", F.md5(norm).alias("group_id"), preview.alias("preview"))
     groups = rows.groupBy("group_id").agg(

@@ -11,7 +11,6 @@ c = F.col
 
 # Hrefs that lead nowhere.
 EMPTY_HREFS = ["", "#", "javascript:void(0)", "javascript:;"]
-LIST_LIMIT = 10  # listed images and links per page, a report rule
 
 
 def clean_html(html: Column) -> Column:
@@ -79,11 +78,10 @@ def page_features(pages: DataFrame) -> DataFrame:
         F.nullif(tx.trim_ws(F.coalesce(F.get(element_texts(c("clean"), "title"), F.lit(0)), F.lit(""))), F.lit("")).alias("title"),
         F.size(F.filter("headings", lambda h: h == 1)).alias("h1_count"),
         element_texts(c("clean"), "h1").alias("h1_texts"), "headings",
-        F.slice(F.transform(shown_src, lambda s: F.substr(s, F.lit(1), F.lit(100))), 1, LIST_LIMIT).alias("images_without_alt"),
-        F.slice(F.transform(empty_anchor, lambda a: F.concat(
-            F.when(inner_text(a) == "", "[no text]").otherwise(F.substr(inner_text(a), F.lit(1), F.lit(50))), F.lit(" -> "),
-            F.when(attr(opening(a), "href") == "", "[no href]").otherwise(attr(opening(a), "href")))),
-            1, LIST_LIMIT).alias("empty_links"),
+        shown_src.alias("images_without_alt"), F.size(alt_missing).alias("images_without_alt_count"),
+        F.transform(empty_anchor, lambda a: F.concat(
+            F.when(inner_text(a) == "", "[no text]").otherwise(inner_text(a)), F.lit(" -> "),
+            F.when(attr(opening(a), "href") == "", "[no href]").otherwise(attr(opening(a), "href")))).alias("empty_links"),
         F.size("scripts").alias("js_files"), F.size(F.filter("links", stylesheet)).alias("css_files"),
         F.size(F.filter(head_scripts, lambda t: ~has_attr(t, "async") & ~has_attr(t, "defer"))).alias("blocking_scripts"),
         F.size(F.filter("links", lambda t: attr(t, "href").contains("fonts.googleapis.com")
@@ -130,12 +128,14 @@ def crawlable(links: DataFrame, link: str = "link", site: str = "page_url") -> D
 
 
 def sample_pages(urls: DataFrame, seed: str, limit: int = 500, first: int = 100, last: int = 50) -> DataFrame:
-    """beyond ``limit`` urls the first 100, the last 50 and seeded picks from between."""
-    n = urls.count()
-    if n <= limit:
-        return urls.select("url")
+    """the first 100 urls, the last 50 and seeded picks from between, ``limit`` in all.
+
+    Three top-k reports over the same table; fewer than ``limit`` urls are all taken. Crawls that are to be read
+    whole do not call it.
+    """
     head = urls.orderBy("page_id").limit(first)
     tail = urls.orderBy(c("page_id").desc()).limit(last)
-    rest = urls.join(head.unionByName(tail).select("page_id"), "page_id", "left_anti")
+    ends = head.unionByName(tail).select("page_id").distinct()  # at most first + last rows
+    rest = urls.join(F.broadcast(ends), "page_id", "left_anti")
     picked = rest.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "url")), "page_id").limit(limit - first - last)
     return head.unionByName(picked).unionByName(tail).select("url").distinct()

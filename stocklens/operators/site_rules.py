@@ -13,6 +13,7 @@ from stocklens.functions import text as tx, url as ur
 from stocklens.functions.values import days_between, round_half_up
 from stocklens.operators.keyed import attach_groups
 from stocklens.operators.site_pages import clean_html, element_texts
+from stocklens.session import materialise
 
 c = F.col
 ERROR, WARNING = "error", "warning"
@@ -51,7 +52,7 @@ SITE_PENALTIES = {"performance": (10, 3), "html": (10, 3), "config": (15, 5), "s
 def skipped_heading(headings: Column) -> Column:
     """``h1 -> h3`` at the first skipped level, else NULL."""
     pairs = F.arrays_zip(F.slice(headings, F.lit(1), F.greatest(F.size(headings) - 1, F.lit(0))).alias("a"),
-                         F.slice(headings, 2, 100000).alias("b"))
+                         F.slice(headings, F.lit(2), F.greatest(F.size(headings) - 1, F.lit(0))).alias("b"))
     skips = F.filter(pairs, lambda p: p["b"] > p["a"] + 1)
     first = F.get(skips, F.lit(0))
     return F.concat(F.lit("h"), first["a"].cast("string"), F.lit(" -> h"), first["b"].cast("string"))
@@ -64,7 +65,7 @@ def is_trusted_host(host: Column) -> Column:
 def page_issues(features: DataFrame) -> DataFrame:
     """Every rule over one scan of the features; resource rules give one row per resource."""
     n = lambda x, s: F.concat(x.cast("string"), F.lit(s))
-    no_alt, no_target = F.size("images_without_alt"), F.size("empty_links")
+    no_alt, no_target = c("images_without_alt_count"), F.size("empty_links")
     home = c("url").rlike(r"^https?://[^/?#]+/?$")
     skip = skipped_heading(c("headings"))
     rules = [
@@ -135,13 +136,16 @@ def robots_issues(robots: DataFrame) -> DataFrame:
     return _site_rows(robots.select("site", F.inline(found)), "config", WARNING, F.concat(c("site"), F.lit("/robots.txt")))
 
 
-def sitemap_issues(sites: DataFrame, lastmods: DataFrame, as_of: datetime) -> DataFrame:
+def sitemap_issues(sites: DataFrame, documents: DataFrame, as_of: datetime) -> DataFrame:
     """Sites without a sitemap, and sitemaps whose newest date is over seven days old.
 
-    ``lastmods`` has (site, lastmod text); a site without any row there has no sitemap.
+    ``documents`` has (site, status, xml) of the fetched sitemap files. A site whose file was fetched (status 2xx) has a
+    sitemap, even one that lists nothing; dates count wherever they stand in it, also in an index.
     """
     now = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-    newest = lastmods.groupBy("site").agg(F.max("lastmod").alias("newest"))
+    dates = F.regexp_extract_all("xml", F.lit(r"(?i)<(?:\w+:)?lastmod(?:\s[^>]*)?>([^<]*)</"), F.lit(1))
+    newest = documents.filter("status between 200 and 299").groupBy("site").agg(
+        F.max(F.array_max(F.transform(dates, tx.trim_ws))).alias("newest"))
     age = days_between(now, c("newest").try_cast("timestamp"))
     joined = sites.join(newest.withColumn("known", F.lit(True)), "site", "left")
     missing = joined.filter("known is null").select("site", F.lit("missing_sitemap").alias("type"), F.lit("").alias("details"))
@@ -191,27 +195,31 @@ def script_class(src: Column) -> Column:
 
 def collapse_repeated(issues: DataFrame, scanned_pages: DataFrame) -> DataFrame:
     """A10: one row per signature and normalised URL; a signature on more than 70 % of a site's
-    pages (and more than two pages) keeps its first row, marked with the number of pages.
+    pages (and more than two pages) keeps its first row, marked with the number of pages. Link rows are
+    facts about single targets and stay as they are.
 
     ``scanned_pages`` has (site, pages).
     """
-    rows = issues.withColumns({
+    links = issues.filter(c("family") == "links").select(*SITE_COLUMNS)
+    rows = issues.filter(c("family") != "links").withColumns({
         "sig": F.concat_ws(":", "type", F.coalesce("details", F.lit(""))),
         "norm": F.coalesce(ur.normalize_page_url(c("url")), F.lit(""))})
     key = F.concat_ws("\u0001", "site", "sig")
     first = rows.groupBy("site", "sig", "norm").agg(F.min_by(
         F.struct("family", "type", "severity", "url", "page_id", "details", "source"),
-        F.coalesce("page_id", F.lit(-1))).alias("i"))
+        F.struct(F.coalesce("page_id", F.lit(-1)), "url")).alias("i"))
     single = first.select("site", key.alias("k"), "sig", "norm", "i.*")
-    sigs = single.groupBy("k").agg(F.first("site").alias("site"), F.count(F.lit(1)).alias("n"),
-                                   F.min(F.coalesce("page_id", F.lit(-1))).alias("first_page")).join(
-        scanned_pages, "site", "left").select("k", "n", "first_page", (
-            (c("n") > c("pages") * 0.7) & (c("pages") > 2)).alias("collapse"))
+    sigs = materialise(single.groupBy("k").agg(
+        F.min("site").alias("site"), F.count(F.lit(1)).alias("n"),
+        F.min(F.struct(F.coalesce("page_id", F.lit(-1)).alias("p"), "norm")).alias("first_row")).join(
+        scanned_pages, "site", "left").select("k", "n", "first_row", (
+            (c("n") > c("pages") * 0.7) & (c("pages") > 2)).alias("collapse")))
     joined = attach_groups(single, sigs, "k", "n")
-    keep = ~F.coalesce("collapse", F.lit(False)) | (F.coalesce("page_id", F.lit(-1)) == c("first_page"))
+    first_row = (F.coalesce("page_id", F.lit(-1)) == c("first_row.p")) & (c("norm") == c("first_row.norm"))
+    keep = ~F.coalesce("collapse", F.lit(False)) | first_row
     text = F.when(c("collapse"), tx.trim_ws(F.concat("details", F.lit(" [on "), c("n").cast("string"), F.lit(" pages]")))
                   ).otherwise(c("details"))
-    return joined.filter(keep).withColumn("details", text).select(*SITE_COLUMNS)
+    return joined.filter(keep).withColumn("details", text).select(*SITE_COLUMNS).unionByName(links)
 
 
 def site_scores(issues: DataFrame, sites: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def _csv_round_trip(s, f):
     folder = f"{scratch_dir(s)}/csv-{uuid.uuid4().hex}"
     _sheet(s, f).withColumn("row_idx", c("row_idx").cast("string")).write.option("header", True).option("sep", ";").option(
         "quoteAll", True).option("escape", '"').csv(folder)
-    return _canonical(sc.canonical_products(sc.read_csv(s, folder)).withColumn("row_idx", c("row_idx").cast("bigint")))
+    return _canonical(sc.canonical_products(sc.read_csv(s, folder, line_breaks=True)).withColumn("row_idx", c("row_idx").cast("bigint")))
 
 
 _add("s01_csv_catalog", _csv_round_trip, _SHEET_SQL.replace("name, description, short", f"name, {d.trim('description')} as description, {d.trim('short_description')} as short", 1)

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from stocklens.fixtures import load, table
+from stocklens.fixtures import SITE_FETCHES, SITE_PAGES, load, table
 from stocklens.functions import url as ur
 from stocklens.operators import site_pages as sp, site_rules as sr
 from stocklens.plans import duck as d
@@ -18,7 +18,7 @@ _STATUS = "case when length({x}) % 5 = 0 then 404 when length({x}) % 5 = 1 then
 
 
 def _pages(s, f):
-    return table(s, f, "pages")
+    return load(s, f, "site_pages")
 
 
 def _sites(s, f):
@@ -26,11 +26,11 @@ def _sites(s, f):
 
 
 def _link_fetches(s, f):
-    """A fetch result for every link and page."""
-    links = sp.page_links(_pages(s, f)).select(c("link").alias("url")).distinct().withColumn(
+    """A fetch result for every page, link and image."""
+    found = sp.page_links(_pages(s, f)).select(c("link").alias("url")).unionByName(
+        sp.page_images(_pages(s, f)).select(c("image").alias("url"))).distinct().withColumn(
         "status", F.expr(_STATUS.format(x="url")))
-    return load(s, f, "fetches").select("url", "status").unionByName(
-        links.join(_pages(s, f).select("url"), "url", "left_anti"))
+    return load(s, f, "site_fetches").unionByName(found.join(_pages(s, f).select("url"), "url", "left_anti"))
 
 
 def _probes(s, f, paths):
@@ -56,17 +56,30 @@ def _origin(x):
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'),
  '(?i)(<script\b[^>]*>)[\s\S]*?</script\s*>', '\1</script>', 'g'), '(?i)(<style\b[^>]*>)[\s\S]*?</style\s*>', '\1</style>', 'g')"""
 _INNER = lambda x: d.trim(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
-_PG = f"""with pg as (select page_id, url, html, {_CLEAN} as clean, {_origin('url')} as site from pages)
+_HAS = lambda t, name: f"regexp_matches({t}, " + d.q(rf"(?i)\s{name}(\s*=|\s|/?>)") + ")"
+_HOST = lambda x: f"regexp_replace(lower(regexp_extract({x}, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\\.', '')"
+_ABS = lambda h: (f"case when starts_with({h}, 'http://') or starts_with({h}, 'https://') then {h} when starts_with({h}, '//') then 'https:' || {h} "
+                  f"when starts_with({h}, '/') then site || {h} end")
+_PG = f"""with site_pages as ({SITE_PAGES})
+, pg as (select page_id, url, html, {_CLEAN} as clean, {_origin('url')} as site from site_pages)
 , ft as (select *, {d.trim("regexp_replace(regexp_extract(clean, '(?i)<title(?:" + chr(92) + "s[^>]*)?>([" + chr(92) + "s" + chr(92) + "S]*?)</title" + chr(92) + "s*>', 1), '<[^>]*>', '', 'g')")} as ttl,
   list_transform(regexp_extract_all(clean, '(?i)<h1(?:\\s[^>]*)?>([\\s\\S]*?)</h1\\s*>', 1), lambda x: {_INNER('x')}) as h1s,
   list_transform({_tags('clean', 'h[1-6]')}, lambda t: t[3]) as hs,
   list_filter({_tags('clean', 'img')}, lambda t: {_attr('t', 'alt')} = '') as noalt,
   list_filter(regexp_extract_all(clean, '(?i)<a(?:\\s[^>]*)?>(?:[\\s\\S]*?)</a\\s*>'), lambda a: {_attr("regexp_extract(a, '^<[^>]*>', 0)", 'href')} in {d.in_list(sp.EMPTY_HREFS)}) as empt,
-  len(list_filter({_tags('clean', 'script')}, lambda t: {_attr('t', 'src')} <> '')) as js,
-  len(list_filter({_tags('clean', 'link')}, lambda t: lower({_attr('t', 'rel')}) = 'stylesheet')) as css,
+  list_transform(list_filter({_tags('clean', 'script')}, lambda t: {_HAS('t', 'src')}), lambda t: {_attr('t', 'src')}) as scr,
+  len(list_filter({_tags("regexp_extract(clean, '(?i)<head" + chr(92) + "b[^>]*>([" + chr(92) + "s" + chr(92) + "S]*?)</head" + chr(92) + "s*>', 1)", 'script')},
+   lambda t: {_HAS('t', 'src')} and not {_HAS('t', 'async')} and not {_HAS('t', 'defer')})) as blk,
+  list_transform(list_filter({_tags('clean', 'link')}, lambda t: lower({_attr('t', 'rel')}) = 'stylesheet'), lambda t: {_attr('t', 'href')}) as sheets,
+  len(list_filter({_tags('clean', 'link')}, lambda t: contains({_attr('t', 'href')}, 'fonts.googleapis.com') or contains({_attr('t', 'href')}, 'fonts.gstatic.com'))) as fonts,
+  len(list_filter({_tags('clean', 'img')}, lambda t: {_attr('t', 'loading')} = 'lazy' or {_HAS('t', 'data-src')} or {_HAS('t', 'data-lazy')})) > 0 as lazy,
+  list_transform({_tags('clean', 'img|script|iframe|embed|object|audio|video|source')}, lambda t: coalesce(nullif({_attr('t', 'src')}, ''), {_attr('t', 'data')})) as media,
   len(list_filter({_tags('clean', 'meta')}, lambda t: {_attr('t', 'name')} = 'description' and {_attr('t', 'content')} <> '')) > 0 as md,
+  len(list_filter({_tags('clean', 'meta')}, lambda t: starts_with({_attr('t', 'name')}, 'twitter:'))) >= 2 as tw,
   len(list_filter({_tags('clean', 'meta')}, lambda t: starts_with({_attr('t', 'property')}, 'og:'))) >= 3 as og
  from pg)
+, fu as (select *, case when starts_with(url, 'https://') then list_filter(list_concat(media, sheets), lambda u: starts_with(u, 'http://') and {_HOST('u')} = {_HOST('url')}) else [] end as mixed,
+  list_filter(list_transform(scr, lambda h: {_ABS('h')}), lambda u: u is not null and {_origin('u')} <> site) as ext from ft)
 """
 _HREFS = (", lk as (select distinct page_id, url as page_url, site, case when starts_with(h, 'http://') or starts_with(h, 'https://') then h "
           "when starts_with(h, '//') then 'https:' || h when starts_with(h, '/') then site || h end as link from "
@@ -85,48 +98,60 @@ def _features(s, f):
     return x.select(
         "page_id", "url", "origin", "page_size", "title", "h1_count", F.array_join("h1_texts", "|").alias("h1_texts"),
         F.array_join(F.transform("headings", lambda h: h.cast("string")), ",").alias("headings"),
-        F.size("images_without_alt").alias("images_without_alt"), F.array_join("empty_links", "|").alias("empty_links"),
-        "js_files", "css_files", "has_meta_description", "has_og", F.size("external_scripts").alias("external_scripts"),
-        F.size("mixed_content").alias("mixed_content"))
+        "images_without_alt_count", F.array_join("images_without_alt", "|").alias("images_without_alt"),
+        F.array_join("empty_links", "|").alias("empty_links"), "js_files", "css_files", "blocking_scripts", "webfonts", "lazy_loading",
+        "has_meta_description", "has_og", "has_twitter", F.array_join("external_scripts", "|").alias("external_scripts"),
+        F.array_join("mixed_content", "|").alias("mixed_content"))
 
 
 _add("x01_page_features", _features, _PG + f"""select page_id, url, site as origin, length(html) as page_size, nullif(ttl, '') as title, len(list_filter(hs, lambda h: h = '1')) as h1_count,
- array_to_string(h1s, '|') as h1_texts, array_to_string(hs, ',') as headings, least(10, len(noalt)) as images_without_alt,
- array_to_string(list_transform(empt[1:10], lambda a: coalesce(nullif(substr({_INNER('a')}, 1, 50), ''), '[no text]') || ' -> ' ||
+ array_to_string(h1s, '|') as h1_texts, array_to_string(hs, ',') as headings, len(noalt) as images_without_alt_count,
+ array_to_string(list_filter(list_transform(noalt, lambda t: coalesce(nullif({_attr('t', 'src')}, ''), {_attr('t', 'data-src')})), lambda x: x <> ''), '|') as images_without_alt,
+ array_to_string(list_transform(empt, lambda a: coalesce(nullif({_INNER('a')}, ''), '[no text]') || ' -> ' ||
   coalesce(nullif({_attr("regexp_extract(a, '^<[^>]*>', 0)", 'href')}, ''), '[no href]')), '|') as empty_links,
- js as js_files, css as css_files, md as has_meta_description, og as has_og, js as external_scripts, 0 as mixed_content from ft""")
+ len(scr) as js_files, len(sheets) as css_files, blk as blocking_scripts, fonts as webfonts, lazy as lazy_loading, md as has_meta_description, og as has_og, tw as has_twitter,
+ array_to_string(ext, '|') as external_scripts, array_to_string(mixed, '|') as mixed_content from fu""")
 _add("x02_p25_links", lambda s, f: sp.page_links(_pages(s, f)), _PG + _HREFS + "select page_id, page_url, link from ln")
-_add("x03_images", lambda s, f: sp.page_images(_pages(s, f)), _PG + f"""select page_id, url as page_url, unnest(list_transform(
- {_tags('clean', 'img')}, lambda t: {_attr('t', 'src')})) as image from pg""")
+_IMAGES = f""", im as (select distinct page_id, url as page_url, site, {_ABS('h')} as image from (select page_id, url, site, unnest(list_concat(
+  list_transform({_tags('clean', 'img')}, lambda t: {_attr('t', 'src')}),
+  flatten(list_transform(list_transform({_tags('clean', 'img|source')}, lambda t: {_attr('t', 'srcset')}),
+   lambda s: list_transform(string_split(s, ','), lambda x: string_split({d.trim('x')}, ' ')[1]))))) as h from pg) where h <> '')
+"""
+_add("x03_images", lambda s, f: sp.page_images(_pages(s, f)), _PG + _IMAGES + "select page_id, page_url, image from im where image is not null")
 _add("w02_first_sources", lambda s, f: sp.first_sources(sp.page_links(_pages(s, f)), "link"), _PG + _HREFS + """
 select link, min(page_id) as page_id, arg_min(page_url, page_id) as source, count(*) as pages from ln group by 1""")
 _add("f11_crawlable_links", lambda s, f: sp.crawlable(sp.page_links(_pages(s, f))), _PG + _HREFS + f"""
 select page_id, page_url, link from ln where regexp_replace({_origin('link')}, '^[a-z]+://', '') = regexp_replace(site, '^[a-z]+://', '')
  and not regexp_matches(lower(link), {d.q(ur.ASSET_PATTERN)})""")
-_add("f10_page_sample", lambda s, f: sp.sample_pages(_pages(s, f).select("page_id", "url"), "fixture"), """
-with n as (select count(*) as n from pages)
-, r as (select url, page_id, row_number() over (order by page_id) as a, row_number() over (order by page_id desc) as z from pages)
-, m as (select url, row_number() over (order by md5('fixture|' || url), page_id) as k from r where a > 100 and z > 50)
-select url from r, n where n.n <= 500 or a <= 100 or z <= 50 union select url from m, n where n.n > 500 and k <= 350""")
+_add("f10_page_sample", lambda s, f: sp.sample_pages(_pages(s, f).select("page_id", "url"), "fixture", 120, 30, 20), _PG + """
+, r as (select url, row_number() over (order by page_id) as a, row_number() over (order by page_id desc) as z, page_id from pg)
+, m as (select url, row_number() over (order by md5('fixture|' || url), page_id) as k from r where a > 30 and z > 20)
+select url from r where a <= 30 or z <= 20 union select url from m where k <= 70""")
 _add("p27_normalized_urls", lambda s, f: _pages(s, f).select(
-    "page_id", ur.normalize_page_url(c("url")).alias("norm"), ur.host(c("url")).alias("host"), ur.is_asset(c("url")).alias("asset")), f"""
+    "page_id", ur.normalize_page_url(c("url")).alias("norm"), ur.host(c("url")).alias("host"), ur.is_asset(c("url")).alias("asset")), f"""with site_pages as ({SITE_PAGES})
 select page_id, regexp_replace(regexp_replace(url, '^(https?://[^/?#]+)([?#].*)?$', '\\1/\\2'), '^(https?://[^/?#]+/[^?#]*)/([?#].*)?$', '\\1\\2') as norm,
- regexp_replace({_origin('url')}, '^[a-z]+://', '') as host, regexp_matches(lower(url), {d.q(ur.ASSET_PATTERN)}) as asset from pages""")
-
-_ISSUES = """, iss as (
- select site, 'performance' as family, 'large_page_size' as type, 'warning' as severity, url, page_id, cast(floor(length(html) / 1024 + 0.5) as bigint) || 'KB' as details from ft where length(html) > 500000
- union all select site, 'performance', 'too_many_js', 'warning', url, page_id, js || ' scripts' from ft where js > 10
- union all select site, 'performance', 'too_many_css', 'warning', url, page_id, css || ' stylesheets' from ft where css > 5
- union all select site, 'html', 'missing_h1', 'error', url, page_id, '' from ft where not list_contains(hs, '1')
- union all select site, 'html', 'duplicate_h1', 'warning', url, page_id, len(list_filter(hs, lambda h: h = '1')) || ': ' || array_to_string(h1s, ', ') from ft where len(list_filter(hs, lambda h: h = '1')) > 1
+ regexp_replace({_origin('url')}, '^[a-z]+://', '') as host, regexp_matches(lower(url), {d.q(ur.ASSET_PATTERN)}) as asset from site_pages""")
+
+_TRUSTED = " or ".join(f"{_HOST('u').replace(chr(94) + 'www', chr(94) + 'www')} = {d.q(t)} or ends_with({_HOST('u')}, {d.q('.' + t)})" for t in sr.TRUSTED_DOMAINS)
+_ISSUES = f""", iss as (
+ select site, 'performance' as family, 'large_page_size' as type, 'warning' as severity, url, page_id, cast(floor(length(html) / 1024 + 0.5) as bigint) || 'KB' as details from fu where length(html) > 500000
+ union all select site, 'performance', 'too_many_js', 'warning', url, page_id, len(scr) || ' scripts' from fu where len(scr) > 10
+ union all select site, 'performance', 'too_many_css', 'warning', url, page_id, len(sheets) || ' stylesheets' from fu where len(sheets) > 5
+ union all select site, 'performance', 'render_blocking_script', 'warning', url, page_id, blk || ' blocking scripts' from fu where blk > 0
+ union all select site, 'performance', 'too_many_webfonts', 'warning', url, page_id, fonts || ' webfonts' from fu where fonts > 3
+ union all select site, 'performance', 'missing_lazy_loading', 'warning', url, page_id, '' from fu where not lazy and len(noalt) > 5
+ union all select site, 'html', 'missing_h1', 'error', url, page_id, '' from fu where not list_contains(hs, '1')
+ union all select site, 'html', 'duplicate_h1', 'warning', url, page_id, len(list_filter(hs, lambda h: h = '1')) || ': ' || array_to_string(h1s, ', ') from fu where len(list_filter(hs, lambda h: h = '1')) > 1
  union all select site, 'html', 'heading_hierarchy', 'warning', url, page_id, 'h' || hs[i] || ' -> h' || hs[i + 1] from (
-   select *, list_filter(range(1, len(hs)), lambda k: hs[k + 1]::int > hs[k]::int + 1)[1] as i from ft) where i is not null
- union all select site, 'html', 'missing_alt', 'warning', url, page_id, least(10, len(noalt)) || ' images' from ft where len(noalt) > 0
- union all select site, 'html', 'empty_link', 'warning', url, page_id, least(10, len(empt)) || ' links' from ft where len(empt) > 0
- union all select site, 'html', 'missing_meta_description', 'warning', url, page_id, '' from ft where not md
- union all select site, 'html', 'missing_title', 'error', url, page_id, '' from ft where ttl = ''
- union all select site, 'config', 'missing_og_tags', 'warning', url, page_id, '' from ft where regexp_matches(url, '^https?://[^/?#]+/?$') and not og
- union all select site, 'config', 'missing_twitter_cards', 'warning', url, page_id, '' from ft where regexp_matches(url, '^https?://[^/?#]+/?$'))
+   select *, list_filter(range(1, len(hs)), lambda k: hs[k + 1]::int > hs[k]::int + 1)[1] as i from fu) where i is not null
+ union all select site, 'html', 'missing_alt', 'warning', url, page_id, len(noalt) || ' images' from fu where len(noalt) > 0
+ union all select site, 'html', 'empty_link', 'warning', url, page_id, len(empt) || ' links' from fu where len(empt) > 0
+ union all select site, 'html', 'missing_meta_description', 'warning', url, page_id, '' from fu where not md
+ union all select site, 'html', 'missing_title', 'error', url, page_id, '' from fu where ttl = ''
+ union all select site, 'config', 'missing_og_tags', 'warning', url, page_id, '' from fu where regexp_matches(url, '^https?://[^/?#]+/?$') and not og
+ union all select site, 'config', 'missing_twitter_cards', 'warning', url, page_id, '' from fu where regexp_matches(url, '^https?://[^/?#]+/?$') and not tw
+ union all select site, 'security', 'mixed_content', 'error', url, page_id, u from (select *, unnest(mixed) as u from fu)
+ union all select site, 'security', 'untrusted_scripts', 'warning', url, page_id, lower(regexp_extract(u, '^[a-zA-Z]+://([^/?#:]+)', 1)) from (select *, unnest(ext) as u from fu) where not ({_TRUSTED}))
 """
 _COLS = ["site", "family", "type", "severity", "url", "page_id", "details"]
 
@@ -136,13 +161,15 @@ def _page_issues(s, f):
 
 
 _add("x04_x12_page_issues", lambda s, f: _page_issues(s, f).select(*_COLS), _PG + _ISSUES + "select * from iss")
-_FX = _HREFS + f""", fx as (select url, case when page_id % 17 = 0 then 404 when page_id % 23 = 0 then 0 when page_id % 29 = 0 then 301 else 200 end as status from pages
- union all select link, {_STATUS.format(x='link')} from (select distinct link from ln) where link not in (select url from pages))
+_FX = _HREFS + _IMAGES + f""", fx as (select url, status from ({SITE_FETCHES})
+ union all select l, {_STATUS.format(x='l')} from (select link as l from ln union select image from im where image is not null) where l not in (select url from pg))
 , tg as (select site, link as url, min(page_id) as page_id, arg_min(page_url, page_id) as source from ln group by 1, 2)
 , ext as (select tg.*, regexp_replace({_origin('url')}, '^[a-z]+://', '') <> regexp_replace(site, '^[a-z]+://', '') as external from tg)
+, ti as (select site, image as url, min(page_id) as page_id from im where image is not null group by 1, 2)
 , brk as (select site, 'links' as family, 'page_404' as type, 'error' as severity, pg.url, page_id, '404' as details from pg join fx on fx.url = pg.url where status = 404
- union all select site, 'links', 'internal_link_404', 'error', ext.url, page_id, '404' from ext join fx on fx.url = ext.url where not external and status = 404 and ext.url not in (select url from pages)
- union all select site, 'links', 'external_link_404', 'error', ext.url, page_id, '404' from ext join fx on fx.url = ext.url where external and status in (0, 404))
+ union all select site, 'links', 'internal_link_404', 'error', ext.url, page_id, '404' from ext join fx on fx.url = ext.url where not external and status = 404 and ext.url not in (select url from pg)
+ union all select site, 'links', 'external_link_404', 'error', ext.url, page_id, '404' from ext join fx on fx.url = ext.url where external and status in (0, 404)
+ union all select site, 'links', 'broken_image', 'error', ti.url, page_id, '404' from ti join fx on fx.url = ti.url where status in (0, 404))
 """
 
 
@@ -162,12 +189,13 @@ def _scanned(s, f):
     return _pages(s, f).groupBy(ur.origin(c("url")).alias("site")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-_A10 = """, al as (select * from iss union all select * from brk)
-, si as (select *, type || ':' || details as sig, regexp_replace(regexp_replace(url, '^(https?://[^/?#]+)([?#].*)?$', '\\1/\\2'), '^(https?://[^/?#]+/[^?#]*)/([?#].*)?$', '\\1\\2') as norm from al)
-, s1 as (select * from si qualify row_number() over (partition by site, sig, norm order by page_id) = 1)
-, s2 as (select *, count(*) over (partition by site, sig) as n, min(page_id) over (partition by site, sig) as fp from s1)
+# Link rows are facts about single targets: they are neither deduplicated nor collapsed.
+_A10 = """, si as (select *, type || ':' || details as sig, regexp_replace(regexp_replace(url, '^(https?://[^/?#]+)([?#].*)?$', '\\1/\\2'), '^(https?://[^/?#]+/[^?#]*)/([?#].*)?$', '\\1\\2') as norm from iss)
+, s1 as (select * from si qualify row_number() over (partition by site, sig, norm order by page_id, url) = 1)
+, s2 as (select *, count(*) over (partition by site, sig) as n, row_number() over (partition by site, sig order by page_id, norm) as nth from s1)
 , s3 as (select s2.*, n > 0.7 * pages and pages > 2 as coll from s2 join (select site, count(*) as pages from pg group by 1) k using (site))
-, ded as (select site, family, type, severity, url, page_id, case when coll then trim(details || ' [on ' || n || ' pages]') else details end as details from s3 where not coll or page_id = fp)
+, ded as (select site, family, type, severity, url, page_id, case when coll then trim(details || ' [on ' || n || ' pages]') else details end as details from s3 where not coll or nth = 1
+ union all select * from brk)
 """
 
 
@@ -216,10 +244,20 @@ def _sitemap_urls(s, f):
 
 
 _add("s16_sitemap_entries", _sitemap_urls, _PG + """select site, url as loc, '2024-01-' || lpad(cast(page_id % 30 + 1 as varchar), 2, '0') as lastmod from pg where page_id % 5 <> 0""")
-_add("x14_sitemap_health", lambda s, f: sr.sitemap_issues(_sites(s, f), _sitemap_urls(s, f), AS_OF).select(
+def _sitemap_files(s, f):
+    """What was fetched as sitemap of each site: lists of pages, empty lists, an index, or nothing."""
+    docs = _sitemap_docs(s, f).select("site", F.when(F.length("site") % 6 == 0, 404).otherwise(200).alias("status"), "xml")
+    index = _sites(s, f).filter(F.length("site") % 7 == 0).select("site", F.lit(200).alias("status"), F.lit(
+        "<sitemapindex><sitemap><loc>/a.xml</loc><lastmod>2024-01-05</lastmod></sitemap></sitemapindex>").alias("xml"))
+    return docs.unionByName(index)
+
+
+_add("x14_sitemap_health", lambda s, f: sr.sitemap_issues(_sites(s, f), _sitemap_files(s, f), AS_OF).select(
     "site", "type", "severity", "details"), _PG + """
-, nw as (select site, max(case when page_id % 5 <> 0 then page_id % 30 + 1 end) as dd from pg group by 1)
-select site, 'missing_sitemap' as type, 'error' as severity, '' as details from nw where dd is null
+, dc as (select site, case when length(site) % 6 = 0 then 404 else 200 end as status, case when page_id % 5 <> 0 then page_id % 30 + 1 end as dd from pg
+ union all select distinct site, 200, 5 from pg where length(site) % 7 = 0)
+, nw as (select site, count(*) filter (status = 200) as files, max(dd) filter (status = 200) as dd from dc group by 1)
+select site, 'missing_sitemap' as type, 'error' as severity, '' as details from nw where files = 0
 union all select site, 'outdated_sitemap', 'warning', (32 - dd) || ' days' from nw where 32 - dd > 7""")
 _FAV = ", ".join(f"({d.q(p)})" for p in sr.FAVICON_PATHS)
 _add("x15_favicon", lambda s, f: sr.favicon_issues(_sites(s, f), _probes(s, f, sr.FAVICON_PATHS)).select("site", "type", "severity", "url"), _PG + f"""
@@ -235,7 +273,7 @@ def _https(s, f):
 _add("x15_https_redirect", lambda s, f: _https(s, f).select("site", "type", "severity"), _PG + """
 select distinct site, 'no_https_redirect' as type, case when starts_with(site, 'http://') then 'error' else 'warning' end as severity from pg
 where length(site) % 3 = 1 or (length(site) % 3 = 0 and length(site) % 2 = 1)""")
-_add("x17_script_classes", lambda s, f: sr.script_classes(sp.page_features(_pages(s, f).select(
+_add("x17_script_classes", lambda s, f: sr.script_classes(sp.page_features(table(s, f, "pages").select(
     "page_id", "url", F.concat(F.lit('<script src="https://'), F.when(c("page_id") % 3 == 0, "cdn.jsdelivr.net/a.js").when(
         c("page_id") % 3 == 1, "cdn.myshoptet.com/b.js").otherwise("files.example.com/user/c.js"), F.lit('"></script>'), "html").alias("html")))), """
 select case when page_id % 3 = 0 then 'trusted' when page_id % 3 = 1 then 'shoptet' else 'custom' end as source_class, count(*) as scripts from pages group by 1""")

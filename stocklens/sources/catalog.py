@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,15 +96,16 @@ CATEGORY_HEADERS = {
 CATEGORY_ROW_TAGS = ["category", "CATEGORY", "item", "ITEM", "SHOPITEM"]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Header row; ``;`` as separator when the first line has one, else ``,``.
 
-    Cells are trimmed, quoted separators and line breaks are honoured, blank lines are skipped.
+    Cells are trimmed, quoted separators are honoured, blank lines are skipped. With ``line_breaks`` quoted line
+    breaks are honoured as well; Spark then reads each file in one task, so such feeds come in many files.
     """
     first = spark.read.text(path).filter(~tx.blank(c("value"))).limit(1).collect()
     sep = ";" if first and ";" in first[0][0] else ","
     return (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("ignoreLeadingWhiteSpace", True)
+            .option("multiLine", line_breaks).option("ignoreLeadingWhiteSpace", True)
             .option("ignoreTrailingWhiteSpace", True).csv(path).fillna(""))
 
 
@@ -143,17 +147,23 @@ def canonical_products(df: DataFrame) -> DataFrame:
     return df.select(*kept, *[v.alias(k) for k, v in out.items()]).filter(c("code") != "")
 
 
+def _numbers(columns: list[str], patterns: list[str]) -> list[int]:
+    """Numbers that the columns carry in the place of ``{i}``, ascending; however many there are."""
+    stems = [re.compile(re.escape(p).replace(r"\{i\}", r"([1-9][0-9]*)")) for p in patterns]
+    found = {int(m[1]) for x in columns for stem in stems if (m := stem.fullmatch(x))}
+    return sorted(found)
+
+
 def image_count(columns: list[str]) -> Column:
-    """Main image, images 2 to 20, listed images; an own count of the feed if greater."""
+    """Main image, numbered images from 2 on, listed images; an own count of the feed if greater."""
     def one(headers: list[str]) -> Column:
         cell = _cell(columns, headers)
         return F.lit(0) if cell is None else (cell != "").cast("int")
 
     total = one(PRODUCT_HEADERS["image"])
-    for i in range(2, 21):
-        headers = [h.format(i=i) for h in IMAGE_HEADERS]
-        if any(h in columns for h in headers):
-            total = total + one(headers)
+    for i in _numbers(columns, IMAGE_HEADERS):
+        if i >= 2:
+            total = total + one([h.format(i=i) for h in IMAGE_HEADERS])
     listed = _cell(columns, IMAGE_LISTS)
     if listed is not None:
         total = total + F.size(F.filter(F.split(listed, ","), lambda x: ~tx.blank(x)))
@@ -167,7 +177,7 @@ def filter_parameters(columns: list[str]) -> Column:
     listed = _cell(columns, FILTER_LISTS)
     parts = [F.filter(F.transform(F.split(listed, ","), tx.trim_ws), lambda x: x != "") if listed is not None
              else F.array().cast("array<string>")]
-    for i in range(1, 21):
+    for i in _numbers(columns, PARAM_NAMES):
         name = _cell(columns, [h.format(i=i) for h in PARAM_NAMES])
         value = _cell(columns, [h.format(i=i) for h in PARAM_VALUES])
         if name is not None and value is not None:
@@ -210,13 +220,17 @@ def xml_products(records: DataFrame, record: str) -> DataFrame:
 
 
 def read_xml_products(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
-    """An XML feed; without ``row_tag`` the usual row elements are tried in turn."""
+    """An XML feed; without ``row_tag`` products of all usual row elements are read."""
     schema = xml_schema()
-    for tag in [row_tag] if row_tag else [v for t in XML_ROW_TAGS for v in dict.fromkeys((t, t.lower(), t.upper()))]:
+    tags = [row_tag] if row_tag else [v for t in XML_ROW_TAGS for v in dict.fromkeys((t, t.lower(), t.upper()))]
+    found = []
+    for tag in tags:
         df = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
         if row_tag or not df.isEmpty():
-            break
-    return xml_products(df.select(F.struct(*[c(f"`{x}`") for x in df.columns]).alias("r")), "r")
+            found.append(df.select(F.struct(*[c(f"`{x}`") for x in df.columns]).alias("r")))
+    records = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame(
+        [], T.StructType([T.StructField("r", schema)]))
+    return xml_products(records, "r")
 
 
 def canonical_categories(df: DataFrame) -> DataFrame:
@@ -234,12 +248,17 @@ def canonical_categories(df: DataFrame) -> DataFrame:
         (c("code") != "") | (c("name") != ""))
 
 
-def read_categories(spark: SparkSession, path: str, row_tag: str = "category") -> DataFrame:
-    """A category feed in CSV or (by file ending) XML."""
+def read_categories(spark: SparkSession, path: str, row_tag: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """A category feed in CSV or (by file ending) XML. Without ``row_tag`` all usual row elements are read."""
     if not path.lower().endswith(".xml"):
-        return canonical_categories(read_csv(spark, path))
+        return canonical_categories(read_csv(spark, path, line_breaks))
     fields: dict[str, str] = {}
     for h in (h for hs in CATEGORY_HEADERS.values() for h in hs if " " not in h):
         fields.setdefault(h.lower(), h)  # element names match in any case
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields.values()])
-    return canonical_categories(spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path))
+    found = []
+    for tag in [row_tag] if row_tag else CATEGORY_ROW_TAGS:
+        df = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        if row_tag or not df.isEmpty():
+            found.append(df)
+    return canonical_categories(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema))

@@ -11,9 +11,6 @@ from stocklens.session import materialise
 
 c = F.col
 
-MAX_LEVELS = 12  # deepest nesting read from a tree file
-
-
 def parse_list(lines: DataFrame, value: str = "value") -> DataFrame:
     """``id - A > B > C`` lines; comments and blank lines are skipped."""
     pattern = r"^(\d+)\s*-\s*(.+)$"
@@ -37,11 +34,12 @@ def read_flat_xml(spark: SparkSession, path: str) -> DataFrame:
                      tx.trim_ws(c("CATEGORY_FULLNAME")).alias("full_path")).filter("id is not null")
 
 
-def tree_paths(nodes: DataFrame, separator: str = " | ", max_depth: int = 64) -> DataFrame:
+def tree_paths(nodes: DataFrame, separator: str = " | ") -> DataFrame:
     """(id, name, parent_id[, own_path]) to (id, name, full_path, is_leaf).
 
     Each round doubles the part of the path that is known, so a tree of depth n takes log2(n)
-    equi-joins. A node with a path of its own starts a new path there.
+    equi-joins, however deep it is. A node with a path of its own starts a new path there. Nodes that lead
+    into a cycle of parents are an error.
     """
     nodes = materialise(nodes)
     own = c("own_path") if "own_path" in nodes.columns else F.lit(None).cast("string")
@@ -50,8 +48,10 @@ def tree_paths(nodes: DataFrame, separator: str = " | ", max_depth: int = 64) ->
     steps = materialise(nodes.select(
         "id", "name", F.when(own.isNull(), c("parent_id")).alias("up"), F.coalesce(own, c("name")).alias("path")).join(
         known, "up", "left").withColumn("up", F.when(c("known"), c("up"))).drop("known"))
-    covered = 1
-    while covered < max_depth and not steps.filter("up is not null").isEmpty():
+    count, covered = steps.count(), 1
+    while not steps.filter("up is not null").isEmpty():
+        if covered > count:
+            raise ValueError("the parents of some nodes form a cycle")
         above = steps.select(c("id").alias("up"), c("up").alias("up2"), c("path").alias("path2"))
         moved = steps.filter("up is not null").join(above, "up").select(
             "id", "name", c("up2").alias("up"), F.concat("path2", F.lit(separator), "path").alias("path"))
@@ -83,22 +83,43 @@ def _levels(df: DataFrame, child: str, levels: int, id_of, name_of, path_of=None
     return out
 
 
-def read_nested_xml(spark: SparkSession, path: str, root_tag: str = "HEUREKA", levels: int = MAX_LEVELS) -> DataFrame:
-    """Nested CATEGORY elements; leaves only, path joined by `` | ``."""
-    node = _nested("CATEGORY_ID:string,CATEGORY_NAME:string", "CATEGORY", levels)
-    df = spark.read.format("xml").option("rowTag", root_tag).schema(f"CATEGORY array<{node}>").load(path)
-    nodes = _levels(df.select(F.explode("CATEGORY").alias("node")), "CATEGORY", levels,
-                    lambda n: n["CATEGORY_ID"], lambda n: tx.trim_ws(n["CATEGORY_NAME"]))
+def _depth(read, child: str, levels: int = 8) -> int:
+    """Levels of nested arrays in a document: the schema is deepened until its last level is empty.
+
+    ``read(levels)`` gives rows with a struct ``node`` that is nested so deep.
+    """
+    while True:
+        current, depth = read(levels), 0
+        while depth < levels and not current.isEmpty():
+            depth += 1
+            if depth < levels:
+                current = current.select(F.explode(c("node")[child]).alias("node"))
+        if depth < levels:
+            return max(depth, 1)
+        levels *= 2
+
+
+def read_nested_xml(spark: SparkSession, path: str, root_tag: str = "HEUREKA") -> DataFrame:
+    """Nested CATEGORY elements, as deep as the file goes; leaves only, path joined by `` | ``."""
+    def read(levels: int) -> DataFrame:
+        node = _nested("CATEGORY_ID:string,CATEGORY_NAME:string", "CATEGORY", levels)
+        df = spark.read.format("xml").option("rowTag", root_tag).schema(f"CATEGORY array<{node}>").load(path)
+        return df.select(F.explode("CATEGORY").alias("node"))
+
+    levels = _depth(read, "CATEGORY")
+    nodes = _levels(read(levels), "CATEGORY", levels, lambda n: n["CATEGORY_ID"], lambda n: tx.trim_ws(n["CATEGORY_NAME"]))
     return tree_paths(nodes).filter("is_leaf").drop("is_leaf")
 
 
-def read_nested_json(spark: SparkSession, path: str, levels: int = MAX_LEVELS) -> DataFrame:
-    """Nested ``children``; a node's categoryText replaces its path; nodes without id are
-    skipped, their children are kept."""
-    node = _nested("id:string,name:string,categoryText:string", "children", levels)
-    df = spark.read.option("multiLine", True).schema(StructType.fromDDL(node)).json(path)
-    nodes = _levels(df.select(F.struct(*df.columns).alias("node")), "children", levels, lambda n: n["id"],
+def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
+    """Nested ``children``, as deep as the file goes; a node's categoryText replaces its path; nodes
+    without id are skipped, their children are kept."""
+    def read(levels: int) -> DataFrame:
+        node = _nested("id:string,name:string,categoryText:string", "children", levels)
+        df = spark.read.option("multiLine", True).schema(StructType.fromDDL(node)).json(path)
+        return df.select(F.struct(*df.columns).alias("node"))
+
+    levels = _depth(read, "children")
+    nodes = _levels(read(levels), "children", levels, lambda n: n["id"],
                     lambda n: n["name"], lambda n: F.nullif(tx.text(n["categoryText"]), F.lit("")))
     return tree_paths(nodes).filter(~c("id").startswith("~")).drop("is_leaf")
-
-

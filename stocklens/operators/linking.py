@@ -1,9 +1,9 @@
 """Related and alternative products.
 
-A candidate list never holds a whole category. Products of a group (main category, or category
-text) are spread over hash buckets of about BUCKET_ROWS products; a product meets its own bucket,
-so links are varied, plus a pool of the first POOL products of the group, so lists reach the full
-length whenever the group allows it. Buckets and pools are arrays of bounded size.
+The products of a group (main category, subcategory or category text) stand on a ring in seeded order. A
+product's candidates are those that follow it, so links are drawn from the whole group and every
+product is linked about equally often, in groups of any size. Rings are cut into blocks of bounded size; a
+product meets its own block and the next one, never its whole group.
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from stocklens.functions import category as cg
 from stocklens.functions.values import one_decimal, round_half_up
-from stocklens.operators.keyed import attach_groups
 from stocklens.session import materialise
 
 c = F.col
 
-MAX_LINKS = 10
-POOL = 2 * MAX_LINKS + 1  # each picked code uses up one candidate, and the product itself is skipped
-BUCKET_ROWS = 24
+MAX_LINKS = 10  # links of a full list
+RING_BLOCK = 256  # members of a ring block, at least; a block has fewer than twice as many
+NUMBER_ROWS = 20_000  # rows that one task numbers, about
 
 
 @dataclass(frozen=True)
@@ -33,13 +32,22 @@ class LinkSettings:
     alternative_count: int = MAX_LINKS
     seed: str = "fixture"
 
+    def __post_init__(self):
+        if not (1 <= self.related_count <= RING_BLOCK // 8 and 1 <= self.alternative_count <= RING_BLOCK // 8):
+            raise ValueError(f"link counts lie between 1 and {RING_BLOCK // 8}")
+
     @property
     def r(self) -> int:
-        return min(MAX_LINKS, max(1, self.related_count)) if self.related else 0
+        return self.related_count if self.related else 0
 
     @property
     def a(self) -> int:
-        return min(MAX_LINKS, max(1, self.alternative_count)) if self.alternative else 0
+        return self.alternative_count if self.alternative else 0
+
+    @property
+    def pool(self) -> int:
+        """Candidates of a kind that are enough: each pick uses up one, and the product itself is skipped."""
+        return self.r + self.a + 1
 
 
 def link_rows(products: DataFrame, default_category: str = "default_category") -> DataFrame:
@@ -49,25 +57,71 @@ def link_rows(products: DataFrame, default_category: str = "default_category") -
         F.array_distinct(cg.category_texts(products.columns)).alias("texts"))
 
 
-def _bucketed(members: DataFrame, group: str, seed: str) -> tuple[DataFrame, DataFrame]:
-    """Members with the bucket count of their group, and the bucket arrays.
+def ring_neighbours(rows: DataFrame, group: str, seed: str, want: int) -> DataFrame:
+    """``rows`` with ``near``: the next ``want`` members of the group after each row, around the ring.
 
-    ``members`` has one row per (group, sub, code).
+    ``rows`` has (group, code, sub, member); members are distinct. Rows that are no members stand at their place
+    on the ring without being a neighbour of others. Places are numbered by blocks of a hash range whose sizes are
+    added up first, so no task orders a whole group.
     """
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
-    buckets = F.greatest(F.lit(1), F.floor(c("group_size") / BUCKET_ROWS)).cast("bigint")
-    placed = attach_groups(members, sizes, group, "group_size").withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed), c("code")), buckets))
-    arrays = placed.groupBy(group, "bucket").agg(
-        F.collect_list(F.struct("code", "sub")).alias("near"))
-    return sizes, arrays
-
-
-def _pool(members: DataFrame, partition: list[str], seed: str) -> DataFrame:
-    """First POOL members per key in seeded order (a top-k, cut before the shuffle)."""
-    order = F.md5(F.concat(F.lit(seed), c("code")))
-    w = Window.partitionBy(*partition).orderBy(order, "code")
-    return members.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= POOL)
+    rows = materialise(rows.withColumn("key", F.md5(F.concat(F.lit(seed), c("code")))))
+    ranges = max(1, -(-rows.count() // NUMBER_ROWS))
+    rows = rows.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32 * ranges).cast("bigint"))
+    of_group = Window.partitionBy(group)
+    sizes = rows.groupBy(group, "range").agg(F.sum(c("member").cast("int")).alias("m")).withColumns({
+        "n": F.sum("m").over(of_group),
+        "before": F.coalesce(F.sum("m").over(of_group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    inside = Window.partitionBy(group, "range").orderBy("key", "code", c("sub").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialise(rows.join(sizes.drop("m"), [group, "range"]).withColumn(
+        "place", c("before") + F.coalesce(F.sum(c("member").cast("int")).over(inside), F.lit(0))).filter("n > 0").select(
+        group, "code", "sub", "member", "n", "place", F.expr(f"greatest(1, n div {RING_BLOCK})").alias("blocks")))
+    blocks = materialise(placed.filter("member").groupBy(group, F.expr("place * blocks div n").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "code", "sub"))).alias("of_block")))
+    start = F.when(c("member"), (c("place") + 1) % c("n")).otherwise(c("place") % c("n"))
+    asked = placed.withColumn("start", start).withColumn("block", F.expr("start * blocks div n"))
+    asked = asked.withColumn("after", (c("block") + 1) % c("blocks"))
+    joined = asked.join(blocks, [group, "block"]).join(
+        blocks.select(group, c("block").alias("after"), c("of_block").alias("of_next")), [group, "after"])
+    head = F.filter("of_block", lambda x: x["place"] >= c("start"))
+    tail = F.when(c("blocks") == 1, F.filter("of_block", lambda x: x["place"] < c("start"))).otherwise(c("of_next"))
+    return joined.select(group, "code", "sub", F.transform(F.slice(F.concat(head, tail), 1, want), lambda x: F.struct(
+        x["code"].alias("code"), x["sub"].alias("sub"))).alias("near"))
+
+
+_NEAR = "array<struct<code:string,sub:string>>"
+
+
+def related_candidates(rows: DataFrame, settings: LinkSettings) -> DataFrame:
+    """(row_idx, related): other subcategories of the main category first, then the own one.
+
+    The neighbours on the ring of the main category give both. Where one subcategory is the largest of its main
+    category, its products also see the ring of all others, and every product sees the ring of its own.
+    """
+    listed = rows.filter(c("main").isNotNull())
+    members = materialise(listed.select("main", "sub", "code").distinct())
+    per_sub = members.filter(c("sub").isNotNull()).groupBy("main", "sub").agg(F.count(F.lit(1)).alias("k"))
+    largest = per_sub.groupBy("main").agg(F.max_by("sub", F.struct("k", "sub")).alias("largest"))
+    flagged = materialise(members.join(largest, "main", "left"))
+    seed, want, wide = settings.seed, settings.pool, 8 * settings.pool
+    ring = ring_neighbours(flagged.select("main", "code", "sub", F.lit(True).alias("member")), "main", seed, wide)
+    is_largest = c("sub").eqNullSafe(c("largest")) & c("sub").isNotNull()
+    others = ring_neighbours(flagged.filter(c("sub").isNotNull()).select("main", "code", "sub", (~is_largest).alias("member")),
+                             "main", seed, want)
+    own = ring_neighbours(flagged.select(F.concat_ws("\u0001", "main", F.coalesce("sub", F.lit("\u0002"))).alias("ms"), "code", "sub",
+                                         F.lit(True).alias("member")), "ms", seed, want)
+    key = [F.coalesce("sub", F.lit("\u0002")).alias("s"), "code"]
+    side = lambda df, name: df.select("main", *key, c("near").alias(name))
+    own = own.select(F.split_part("ms", F.lit("\u0001"), F.lit(1)).alias("main"), *key, c("near").alias("own"))
+    far = others.join(largest.withColumnRenamed("largest", "sub"), ["main", "sub"])
+    found = side(ring, "ring").join(side(far, "far"), ["main", "s", "code"], "left").join(own, ["main", "s", "code"], "left")
+    none = F.array().cast(_NEAR)
+    every = F.filter(F.concat("ring", F.coalesce("far", none), F.coalesce("own", none)), lambda x: x["code"] != c("code"))
+    mine = F.nullif(c("s"), F.lit("\u0002"))
+    other = lambda x: F.coalesce(x["sub"] != mine, F.lit(False))
+    codes = lambda xs: F.slice(F.array_distinct(F.transform(xs, lambda x: x["code"])), 1, want)
+    lists = found.select("main", "s", "code", F.array_distinct(F.concat(
+        codes(F.filter(every, other)), codes(F.filter(every, lambda x: ~other(x))))).alias("related"))
+    return listed.withColumn("s", F.coalesce("sub", F.lit("\u0002"))).join(lists, ["main", "s", "code"]).select("row_idx", "related")
 
 
 def _ordered(seed: str, candidates: Column) -> Column:
@@ -77,54 +131,16 @@ def _ordered(seed: str, candidates: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["code"])
 
 
-def related_candidates(rows: DataFrame, seed: str) -> DataFrame:
-    """(row_idx, related): other subcategories of the main category first, then the own one."""
-    listed = rows.filter(c("main").isNotNull())
-    members = listed.select("main", "sub", "code").distinct()
-    sizes, near = _bucketed(members, "main", seed)
-    # pool per (main, sub); its first POOL rows per main, sub by sub, still hold POOL products of
-    # other subcategories after any one subcategory is taken out
-    per_sub = materialise(_pool(members, ["main", "sub"], seed))
-    order = F.md5(F.concat(F.lit(seed), c("code")))
-    mixed = per_sub.filter(c("sub").isNotNull()).withColumn("_rk", F.row_number().over(
-        Window.partitionBy("main").orderBy("_rn", order, "code"))).filter(c("_rk") <= 2 * POOL).groupBy("main").agg(
-        F.collect_list(F.struct("code", "sub")).alias("mixed"))
-    own = per_sub.withColumn("ms", F.concat_ws("\u0001", "main", F.coalesce("sub", F.lit("\u0002")))).groupBy("ms").agg(
-        F.collect_list(F.struct("code", "sub")).alias("own"))
-    unknown = per_sub.filter(c("sub").isNull()).groupBy("main").agg(
-        F.collect_list(F.struct("code", "sub")).alias("unknown"))
-    mains = sizes.join(mixed, "main", "left").join(unknown, "main", "left")
-    ms_sizes = listed.groupBy(F.concat_ws("\u0001", "main", F.coalesce("sub", F.lit("\u0002"))).alias("ms")).agg(
-        F.count(F.lit(1)).alias("ms_size")).join(own, "ms", "left")
-    buckets = F.greatest(F.lit(1), F.floor(c("group_size") / BUCKET_ROWS)).cast("bigint")
-    p = attach_groups(listed.select("row_idx", "code", "main", "sub"), mains, "main", "group_size").withColumns({
-        "bucket": F.pmod(F.xxhash64(F.lit(seed), c("code")), buckets),
-        "ms": F.concat_ws("\u0001", "main", F.coalesce("sub", F.lit("\u0002")))})
-    p = attach_groups(p, ms_sizes, "ms", "ms_size").join(near, ["main", "bucket"], "left")
-    every = F.filter(F.concat(*[F.coalesce(x, F.array().cast("array<struct<code:string,sub:string>>"))
-                                for x in ("near", "mixed", "own", "unknown")]), lambda x: x["code"] != c("code"))
-    other = lambda x: F.coalesce(c("sub").isNotNull() & x["sub"].isNotNull() & (x["sub"] != c("sub")), F.lit(False))
-    diff = F.transform(F.filter(every, other), lambda x: x["code"])
-    same = F.transform(F.filter(every, lambda x: ~other(x)), lambda x: x["code"])
-    return p.select("row_idx", F.slice(F.array_distinct(F.concat(
-        F.slice(_ordered(seed, diff), 1, POOL), F.slice(_ordered(seed, same), 1, POOL))), 1, 2 * POOL).alias("related"))
-
-
-def alternative_candidates(rows: DataFrame, seed: str) -> DataFrame:
+def alternative_candidates(rows: DataFrame, settings: LinkSettings) -> DataFrame:
     """(row_idx, alternative): products that share a category text."""
-    exploded = rows.select("row_idx", "code", F.explode("texts").alias("text"))
-    members = exploded.select("text", F.lit(None).cast("string").alias("sub"), "code").distinct()
-    sizes, near = _bucketed(members, "text", seed)
-    pool = _pool(members, ["text"], seed).groupBy("text").agg(F.collect_list("code").alias("pool"))
-    buckets = F.greatest(F.lit(1), F.floor(c("group_size") / BUCKET_ROWS)).cast("bigint")
-    p = attach_groups(exploded, sizes.join(pool, "text", "left"), "text", "group_size").withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed), c("code")), buckets)).join(near, ["text", "bucket"], "left")
-    codes = F.concat(F.transform(c("near"), lambda x: x["code"]), c("pool"))
-    per_text = p.withColumn("cand", F.slice(_ordered(seed, F.filter(codes, lambda x: x != c("code"))), 1, POOL))
+    exploded = materialise(rows.select("row_idx", "code", F.explode("texts").alias("text")))
+    members = exploded.select("text", "code", F.lit(None).cast("string").alias("sub"), F.lit(True).alias("member")).distinct()
+    near = ring_neighbours(members, "text", settings.seed, settings.pool).select(
+        "text", "code", F.transform("near", lambda x: x["code"]).alias("near"))
     # a product has as many rows here as it has category texts
-    merged = per_text.groupBy("row_idx").agg(
-        F.first("code").alias("code"), F.flatten(F.collect_list("cand")).alias("cand"))
-    return merged.select("row_idx", F.slice(_ordered(seed, c("cand")), 1, 2 * POOL).alias("alternative"))
+    merged = exploded.join(near, ["text", "code"]).groupBy("row_idx").agg(
+        F.first("code").alias("code"), F.flatten(F.collect_list("near")).alias("near"))
+    return merged.select("row_idx", F.slice(_ordered(settings.seed, F.filter("near", lambda x: x != c("code"))), 1, settings.pool).alias("alternative"))
 
 
 def assign(related: Column, alternative: Column, r: int, a: int) -> Column:
@@ -156,9 +172,9 @@ def link_products(products: DataFrame, settings: LinkSettings = LinkSettings())
     none = F.array().cast("array<string>")
     out = rows
     if settings.r:
-        out = out.join(related_candidates(rows, settings.seed), "row_idx", "left")
+        out = out.join(related_candidates(rows, settings), "row_idx", "left")
     if settings.a:
-        out = out.join(alternative_candidates(rows, settings.seed), "row_idx", "left")
+        out = out.join(alternative_candidates(rows, settings), "row_idx", "left")
     rel = F.coalesce("related", none) if settings.r else none
     alt = F.coalesce("alternative", none) if settings.a else none
     picked = out.select("row_idx", "code", rel.alias("_r"), alt.alias("_a")).withColumn(

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from stocklens.fixtures import load, oracle, table
 from stocklens.functions import parameters as pm
 from stocklens.functions import url as ur
-from stocklens.operators import enrichment as en
+from stocklens.operators import enrichment as en, tools
 from stocklens.operators.issues import AuditParams, issue_codes
 from stocklens.operators.report import worst_status
 from stocklens.operators.row_rules import row_issues
 from stocklens.plans import duck as d
 from stocklens.plans.audit_queries import ORACLES as AUDIT
 from stocklens.session import scratch_dir
-from stocklens.sources import catalog as sc, gates, taxonomy as tax
+from stocklens.sources import catalog as sc, gates, sinks, taxonomy as tax
 from stocklens.streaming import status as st
 
 QUERIES, ORACLES = {}, {}
@@ -75,18 +76,35 @@ _add("s01_csv_catalog", _csv_round_trip, _SHEET_SQL.replace("name, description,
      .replace("code, name,", "code, trim(name) as name,", 1))
 
 
-def _xml_records(s, f):
+def _xml_items(s, f, element="SHOPITEM"):
+    """Products with an XML element each; ``element`` is its name."""
+    element = F.lit(element) if isinstance(element, str) else element
     tag = lambda t, x: F.concat(F.lit(f"<{t}>"), x, F.lit(f"</{t}>"))
     cdata = lambda x: F.concat(F.lit("<![CDATA["), x, F.lit("]]>"))
     cat = _cat(s, f)
     xml = F.concat(
-        F.lit("<SHOPITEM>"), tag("item_id", c("code")), tag("PRODUCTNAME", cdata(c("name"))), tag("DESCRIPTION", cdata(c("description"))),
+        F.lit("<"), element, F.lit(">"), tag("item_id", c("code")), tag("PRODUCTNAME", cdata(c("name"))), tag("DESCRIPTION", cdata(c("description"))),
         F.coalesce(tag("PRICE_VAT", c("price").cast("string")), F.lit("")), tag("EAN", c("ean")), tag("BRAND", c("manufacturer")),
         tag("IMGURL", c("image")), tag("IMGURL_ALTERNATIVE", F.lit("https://img.example/2.jpg")), tag("ITEMGROUP_ID", c("parent_code")),
-        F.lit("<PARAM><PARAM_NAME>size</PARAM_NAME><VAL>"), c("stock").cast("string"), F.lit("</VAL></PARAM><PARAM><PARAM_NAME>empty</PARAM_NAME><VAL></VAL></PARAM></SHOPITEM>"))
+        F.lit("<PARAM><PARAM_NAME>size</PARAM_NAME><VAL>"), c("stock").cast("string"), F.lit("</VAL></PARAM><PARAM><PARAM_NAME>empty</PARAM_NAME><VAL></VAL></PARAM></"), element, F.lit(">"))
+    return cat.select("row_idx", xml.alias("xml"))
+
+
+def _folder(s, kind):
+    return f"{scratch_dir(s)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _write_xml(s, rows, xml, path, root="SHOP"):
+    """Rows with one XML element each as files of some thousand elements, each with a root element around them."""
+    part = F.pmod(F.xxhash64(xml), F.lit(max(4, rows.count() // 5000)))
+    rows.select(part.alias("part"), xml.alias("x")).groupBy("part").agg(F.array_join(F.collect_list("x"), "\n").alias("x")).select(
+        "part", F.concat(F.lit(f"<{root}>"), "x", F.lit(f"</{root}>")).alias("value")).write.partitionBy("part").text(path)
+
+
+def _xml_records(s, f):
     # explode keeps the parsed struct as one value; otherwise each field would parse the text again
-    return cat.select("row_idx", F.explode(F.array(
-        F.from_xml(xml, sc.xml_schema().simpleString(), {"ignoreNamespace": "true"}))).alias("r"))
+    return _xml_items(s, f).select("row_idx", F.explode(F.array(
+        F.from_xml("xml", sc.xml_schema().simpleString(), {"ignoreNamespace": "true"}))).alias("r"))
 
 
 _add("s02_s03_xml_products", lambda s, f: sc.canonical_products(sc.xml_products(_xml_records(s, f), "r")).select(
@@ -94,6 +112,130 @@ _add("s02_s03_xml_products", lambda s, f: sc.canonical_products(sc.xml_products(
     F.array_join("filter_parameters", "|").alias("filter_parameters")), f"""
 select row_idx, code, trim(name) as name, md5({d.trim('description')}) as description, price, ean, manufacturer, (1 + (image <> '')::int)::integer as image_count, parent_code,
  'size:' || stock as filter_parameters from catalog""")
+def _xml_file(s, f):
+    """Products written as XML with two kinds of elements, and read back from the files."""
+    folder = _folder(s, "xml")
+    items = _xml_items(s, f, F.when(c("row_idx") % 3 == 0, "item").otherwise("SHOPITEM"))
+    _write_xml(s, items, c("xml"), folder)
+    return sc.canonical_products(sc.read_xml_products(s, folder)).select(
+        "code", "name", F.md5("description").alias("description"), "price", "ean", "manufacturer", "image_count", "parent_code",
+        F.array_join("filter_parameters", "|").alias("filter_parameters"))
+
+
+_add("s02_xml_product_files", _xml_file, f"""
+select code, trim(name) as name, md5({d.trim('description')}) as description, price, ean, manufacturer, (1 + (image <> '')::int)::integer as image_count, parent_code,
+ 'size:' || stock as filter_parameters from catalog""")
+
+
+def _category_files(s, f):
+    """The category feed as CSV and as XML files, both read back."""
+    cats = load(s, f, "categories").select("code", "name", F.coalesce("parent_code", F.lit("")).alias("parent_code"), "path", "description")
+    csv, xml = _folder(s, "categories"), _folder(s, "categories") + ".xml"
+    sinks.write_csv(cats.select(c("code").alias("GUID"), c("name").alias("Název"), c("parent_code").alias("PARENT_ID"),
+                                c("path").alias("CATEGORY_FULLNAME"), c("description").alias("Popis")), csv)
+    tag = lambda t, x: F.concat(F.lit(f"<{t}>"), c(x), F.lit(f"</{t}>"))
+    element = F.when(F.length("code") % 2 == 0, "item").otherwise("category")
+    _write_xml(s, cats, F.concat(F.lit("<"), element, F.lit(">"), tag("id", "code"), tag("TITLE", "name"), tag("parentId", "parent_code"),
+                                 tag("CATEGORY_FULLNAME", "path"), tag("description", "description"), F.lit("</"), element, F.lit(">")), xml)
+    read = lambda path, kind: sc.read_categories(s, path).select(
+        F.lit(kind).alias("kind"), "code", "name", "parent_code", "path", "description")
+    return read(csv, "csv").unionByName(read(xml, "xml"))
+
+
+_add("s04_category_files", _category_files, """
+select kind, code, name, coalesce(parent_code, '') as parent_code, path, description from categories, (select unnest(['csv', 'xml']) as kind)""", ["categories"])
+
+
+def _nested_nodes(s, f):
+    """The taxonomy's paths as a tree of three levels: platform, first and last name of the path."""
+    parts = F.split("full_path", r" \| | > ")
+    rows = load(s, f, "taxonomy").select("platform", F.element_at(parts, 1).alias("top"), F.element_at(parts, -1).alias("leaf")).distinct()
+    return rows.select("platform", "top", "leaf", F.md5(F.concat_ws("/", "platform", "top", "leaf")).alias("id"),
+                       F.md5(F.concat_ws("/", "platform", "top")).alias("top_id"), F.md5("platform").alias("platform_id"))
+
+
+_NODES = """
+, w as (select distinct platform, regexp_split_to_array(full_path, ' [|>] ') as p from taxonomy)
+, n as (select distinct platform, p[1] as top, p[-1] as leaf from w)
+"""
+
+
+def _nested_xml_files(s, f):
+    folder, open_ = _folder(s, "tree"), lambda i, n: F.concat(
+        F.lit("<CATEGORY><CATEGORY_ID>"), c(i), F.lit("</CATEGORY_ID><CATEGORY_NAME>"), c(n), F.lit("</CATEGORY_NAME>"))
+    close = F.lit("</CATEGORY>")
+    tops = _nested_nodes(s, f).withColumn("x", F.concat(open_("id", "leaf"), close)).groupBy("platform", "platform_id", "top", "top_id").agg(
+        F.array_join(F.collect_list("x"), "").alias("inner"))
+    roots = tops.withColumn("x", F.concat(open_("top_id", "top"), c("inner"), close)).groupBy("platform", "platform_id").agg(
+        F.array_join(F.collect_list("x"), "").alias("inner"))
+    roots.select("platform", F.concat(F.lit("<HEUREKA>"), open_("platform_id", "platform"), c("inner"), close, F.lit("</HEUREKA>")).alias(
+        "value")).write.partitionBy("platform").text(folder)
+    return tax.read_nested_xml(s, folder)
+
+
+_add("s13_nested_xml_files", _nested_xml_files, _NODES + """
+select md5(platform || '/' || top || '/' || leaf) as id, leaf as name, platform || ' | ' || top || ' | ' || leaf as full_path from n""", ["taxonomy"])
+
+
+def _nested_json_files(s, f):
+    """One document per platform; a node of its own path starts there, and one without id is skipped."""
+    folder = _folder(s, "tree")
+    leaf = F.struct("id", c("leaf").alias("name"), F.when(F.length("leaf") % 3 == 0, F.concat(F.lit("Own | "), c("leaf"))).alias("categoryText"))
+    tops = _nested_nodes(s, f).groupBy("platform", "platform_id", "top", "top_id").agg(F.collect_list(leaf).alias("children"))
+    roots = tops.groupBy("platform", "platform_id").agg(F.collect_list(F.struct(c("top_id").alias("id"), c("top").alias("name"), "children")).alias("children"))
+    roots.select(F.to_json(F.struct(F.when(F.length("platform") % 2 == 0, c("platform_id")).alias("id"), c("platform").alias("name"), "children")).alias(
+        "value"), "platform").write.partitionBy("platform").text(folder)
+    read = [tax.read_nested_json(s, f"{folder}/platform={r['platform']}") for r in load(s, f, "taxonomy").select("platform").distinct().collect()]
+    return reduce(lambda a, b: a.unionByName(b), read)
+
+
+_add("s14_nested_json_files", _nested_json_files, _NODES + """
+select md5(platform || '/' || top || '/' || leaf) as id, leaf as name, case when length(leaf) % 3 = 0 then 'Own | ' || leaf else platform || ' | ' || top || ' | ' || leaf end as full_path from n
+union all select distinct md5(platform || '/' || top), top, platform || ' | ' || top from n
+union all select distinct md5(platform), platform, platform from n where length(platform) % 2 = 0""", ["taxonomy"])
+
+
+def _flat_xml_files(s, f):
+    folder, tag = _folder(s, "flat"), lambda t, x: F.concat(F.lit(f"<{t}>"), x, F.lit(f"</{t}>"))
+    _write_xml(s, load(s, f, "taxonomy"), tag("CATEGORY", F.concat(
+        F.when(F.length("id") % 4 != 0, tag("CATEGORY_ID", c("id"))).otherwise(""), tag("CATEGORY_NAME", F.concat(F.lit(" "), c("name"))),
+        tag("CATEGORY_FULLNAME", F.replace("full_path", F.lit(">"), F.lit("&gt;"))))), folder)
+    return tax.read_flat_xml(s, folder)
+
+
+_add("s15_flat_xml_files", _flat_xml_files, "select id, trim(name) as name, trim(full_path) as full_path from taxonomy where length(id) % 4 <> 0", ["taxonomy"])
+
+
+def _list_files(s, f):
+    folder = _folder(s, "list")
+    load(s, f, "taxonomy").select(
+        F.concat(F.when(F.length("id") % 5 == 0, "# ").otherwise(""), F.length("id").cast("string"), F.lit(" - "), c("full_path"))).write.text(folder)
+    return tax.read_list(s, folder)
+
+
+_add("s12_list_files", _list_files, """
+select cast(length(id) as varchar) as id, full_path, trim(string_split(full_path, ' > ')[-1]) as name from taxonomy where length(id) % 5 <> 0""", ["taxonomy"])
+
+
+def _price_list_files(s, f):
+    folder = _folder(s, "prices")
+    sinks.write_price_lists(tools.wholesale_prices(_cat(s, f)), folder)
+    return s.read.option("header", True).csv(folder).select(
+        "code", c("discountPercent").cast("int").alias("discountPercent"), c("wholesalePrice").cast("double").alias("wholesalePrice"))
+
+
+_add("f02_price_list_files", _price_list_files, """
+select code, p as discountPercent, floor(price * (1 - p / 100.0::double) * 100.0 + 0.5) / 100.0 as wholesalePrice from catalog, (select unnest([10, 20, 30]) as p)""")
+
+
+def _code_files(s, f):
+    folder = _folder(s, "codes")
+    sinks.write_issue_codes(row_issues(_cat(s, f), AuditParams(), ["business"]), "suspicious_discount", folder)
+    return sc.read_csv(s, folder)
+
+
+_add("s22_issue_code_files", _code_files)
+ORACLES["s22_issue_code_files"] = "select distinct entity_key as code from (" + AUDIT["b01_b10_business"] + ") where type = 'suspicious_discount'"
 _add("s04_p12_category_feed", lambda s, f: sc.canonical_categories(load(s, f, "categories").select(
     c("code").alias("GUID"), F.when(F.length("code") % 2 == 0, c("name")).otherwise("").alias("Název"), c("parent_code").alias("PARENT_ID"),
     c("path").alias("CATEGORY_FULLNAME"), c("description").alias("Popis"), F.when(c("is_active"), "ano").otherwise("ne").alias("Aktivní"))).select(

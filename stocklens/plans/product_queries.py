@@ -105,11 +105,66 @@ def _counts(s, d):
     return linking.with_link_counts(linking.link_rows(cat), rel.join(alt, "row_idx"))
 
 
-_add("l01_link_products", lambda s, d: linking.link_products(_cat(s, d)).select(
-    "row_idx", "code", F.array_join("related", ",").alias("related"), F.array_join("alternative", ",").alias("alternative")))
-_add("l02_s20_wide_links", lambda s, d: linking.wide_links(
+def _ring_sql(name, members, group, want, asked=None):
+    """Neighbours on a ring: (group, code, sub, j, c2, s2) for the j-th member after each row."""
+    order = "md5('fixture' || code), code, sub nulls first"
+    asked = asked or f"{name}_p"
+    return f"""
+, {name}_m as ({members})
+, {name}_p as (select *, row_number() over (partition by {group} order by {order}) - 1 as place, count(*) over (partition by {group}) as n from {name}_m)
+, {name} as (select a.{group}, a.code, a.sub, j, b.code as c2, b.sub as s2 from {asked} a cross join range(1, {want + 1}) t(j)
+   join {name}_p b on b.{group} = a.{group} and b.place = (a.place + j) % b.n where j <= a.n)
+"""
+
+
+_PICKS = _LINKS + ", mm as (select distinct main, sub, code from r where main is not null)" + _ring_sql(
+    "rg", "select main, sub, code from mm", "main", 168) + """
+, lg as (select main, arg_max(sub, k * 1000000 + rk) as largest from (
+   select main, sub, count(*) as k, row_number() over (partition by main order by sub) as rk from mm where sub is not null group by 1, 2) group by 1)
+, fa as (select m.main, m.code, m.sub, (select count(*) from mm x join lg l on l.main = x.main where x.main = m.main and x.sub <> l.largest
+     and (md5('fixture' || x.code), x.code, x.sub) < (md5('fixture' || m.code), m.code, m.sub)) - 1 as place,
+   (select count(*) from mm x join lg l on l.main = x.main where x.main = m.main and x.sub <> l.largest) as n from mm m join lg on lg.main = m.main and lg.largest = m.sub)
+""" + _ring_sql("fr", "select mm.main, sub, code from mm join lg on lg.main = mm.main where sub <> largest", "main", 21, "fa") + _ring_sql(
+    "ow", "select main || '|' || coalesce(sub, '') as ms, main, sub, code from mm", "ms", 21).replace("select a.ms, a.code", "select a.main, a.ms, a.code") + """
+, ca as (select main, code, sub, 0 as src, j, c2, s2 from rg union all select main, code, sub, 1, j, c2, s2 from fr union all select main, code, sub, 2, j, c2, s2 from ow)
+, cb as (select main, code, sub, coalesce(sub <> s2, false) as other, c2, min(src * 1000 + j) as far from ca where c2 <> code group by 1, 2, 3, 4, 5)
+, cc as (select *, row_number() over (partition by main, code, sub, other order by far) as k from cb)
+, cd as (select main, code, sub, c2, min(case when other then k else 1000 + k end) as k from cc where k <= 21 group by 1, 2, 3, 4)
+, ce as (select main, code, sub, list(c2 order by k) as related from cd group by 1, 2, 3)
+""" + _ring_sql("tr", "select t, null::varchar as sub, code from tx", "t", 21) + """
+, ta as (select distinct r.row_idx, r.code, tr.c2 from r, (select unnest(texts) as t, row_idx as i from r) u join tr on tr.t = u.t where u.i = r.row_idx and tr.code = r.code and tr.c2 <> r.code)
+, tb as (select row_idx, list(c2 order by md5('fixture' || code || '|' || c2))[1:21] as alternative from ta group by 1)
+, ready as (select r.row_idx, r.code, coalesce(ce.related, []) as cr, coalesce(tb.alternative, []) as ct from r
+   left join ce on ce.main = r.main and ce.code = r.code and ce.sub is not distinct from r.sub left join tb on tb.row_idx = r.row_idx)
+"""
+# turns: related, alternative, related, ...; each code once; then both lists are filled up
+_ASSIGN = """
+, turns(row_idx, code, cr, ct, i, rel, alt) as (
+   select row_idx, code, cr, ct, 0, []::varchar[], []::varchar[] from ready
+   union all
+   select row_idx, code, cr, ct, i + 1,
+     case when i % 2 = 0 and len(rel) < 10 then rel || list_filter(cr, lambda x: not list_contains(rel || alt, x))[1:1] else rel end,
+     case when i % 2 = 1 and len(alt) < 10 then alt || list_filter(ct, lambda x: not list_contains(rel || alt, x))[1:1] else alt end
+   from turns where i < 20)
+, filled as (select *, rel || list_filter(cr, lambda x: not list_contains(rel || alt, x))[1:greatest(10 - len(rel), 0)] as rel2 from turns where i = 20)
+, links as (select row_idx, code, rel2 as related, alt || list_filter(ct, lambda x: not list_contains(rel2 || alt, x))[1:greatest(10 - len(alt), 0)] as alternative from filled)
+"""
+
+
+def _add_links(name, fn, sql):
+    _add(name, fn, _PICKS + _ASSIGN + sql)
+    ORACLES[name] = ORACLES[name].replace("with ", "with recursive ", 1)
+
+
+_add_links("l01_link_products", lambda s, d: linking.link_products(_cat(s, d)).select(
+    "row_idx", "code", F.array_join("related", ",").alias("related"), F.array_join("alternative", ",").alias("alternative")),
+    "select row_idx, code, array_to_string(related, ',') as related, array_to_string(alternative, ',') as alternative from links")
+_add_links("l02_s20_wide_links", lambda s, d: linking.wide_links(
     _cat(s, d).select("row_idx", "code", "pair_code", "name", "default_category", "category_text", "category_text2"),
-    linking.link_products(_cat(s, d))))
+    linking.link_products(_cat(s, d))), """
+select cast(c.row_idx as varchar) as row_idx, c.code, pair_code, name, default_category, category_text, category_text2, """ + ", ".join(
+        f"coalesce({arr}[{i}], '') as {base}{i if i > 1 else ''}" for base, arr in (("relatedProduct", "related"), ("alternativeProduct", "alternative"))
+        for i in range(1, 11)) + " from catalog c join links l on l.row_idx = c.row_idx")
 _add("j07_j08_link_counts", lambda s, d: _counts(s, d).select("row_idx", "code", "n_related", "n_alternative"),
      _LINKS + "select row_idx, code, n_related, n_alternative from k")
 

@@ -124,10 +124,27 @@ def test_link_settings(spark):
     df = catalog(spark, 100)
     only = linking.link_products(df, LinkSettings(alternative=False, related_count=3)).collect()
     assert all(r["alternative"] == [] and len(r["related"]) <= 3 for r in only)
-    links = linking.link_products(df, LinkSettings(related_count=2, alternative_count=99))
-    wide = linking.wide_links(df, links, LinkSettings(related_count=2, alternative_count=99))
+    many = LinkSettings(related_count=2, alternative_count=14)
+    wide = linking.wide_links(df, linking.link_products(df, many), many)
     assert wide.columns == df.columns + ["relatedProduct", "relatedProduct2", "alternativeProduct"] + [
-        f"alternativeProduct{i}" for i in range(2, 11)]
+        f"alternativeProduct{i}" for i in range(2, 15)]
+    for bad in (0, 99):
+        with pytest.raises(ValueError):
+            LinkSettings(related_count=bad)
+
+
+def test_links_are_spread_over_a_large_category(spark):
+    """20,000 products of one category, nine tenths of them in one subcategory."""
+    df = spark.range(20_000).select(
+        F.col("id").alias("row_idx"), F.concat(F.lit("P"), "id").alias("code"), F.lit("").alias("category_text"),
+        F.concat(F.lit("A > "), F.when(F.col("id") % 10 == 0, F.concat(F.lit("S"), F.col("id") % 70)).otherwise("big")).alias("default_category"))
+    links = linking.link_products(df, LinkSettings(alternative=False))
+    per_target = links.select(F.explode("related").alias("t")).groupBy("t").count()
+    assert links.agg(F.min(F.size("related"))).first()[0] == 10
+    assert per_target.count() > 1900 and per_target.agg(F.max("count")).first()[0] < 400
+    even = linking.link_products(df.withColumn("default_category", F.concat(F.lit("A > S"), F.col("row_idx") % 7)), LinkSettings(alternative=False))
+    spread = even.select(F.explode("related").alias("t")).groupBy("t").count().agg(F.max("count"), F.count("*")).first()
+    assert spread[0] < 40 and spread[1] == 20_000
 
 
 def test_assign_takes_turns(spark):

@@ -123,6 +123,13 @@ def test_category_cycle_ends(spark):
     assert depth["C"] == 1 and depth["D"] == 2 and depth["A"] > 4
 
 
+def test_deep_chain_of_categories(spark):
+    rows = [(f"C{i}", f"C{i}", f"C{i - 1}" if i else None, "") for i in range(60)] + [("L", "L", "C59", ""), ("A", "A", "B", ""), ("B", "B", "A", "")]
+    cats = spark.createDataFrame(rows, "code string, name string, parent_code string, path string")
+    depth = {r["code"]: r["depth"] for r in category_tree.category_depths(cats).collect()}
+    assert depth["C59"] == 60 and depth["L"] == 61 and depth["C0"] == 1 and depth["A"] == depth["B"] == 64
+
+
 def test_scores(spark):
     rows = [("completeness", "no_image", "error")] * 3 + [("content", "near_duplicate", "warning")] * 2 + [("variants", "orphan_variant", "error")] * 9
     issues = spark.createDataFrame(rows, "family string, type string, severity string")

@@ -69,6 +69,33 @@ def test_collapse(spark):
     assert sr.collapse_repeated(_issue_rows(spark, 7), scanned).count() == 7
 
 
+def test_link_rows_are_not_collapsed(spark):
+    links = spark.createDataFrame([("s", "links", "internal_link_404", "error", f"http://s/x{i}", i // 2, "404", f"http://s/{i // 2}") for i in range(6)],
+                                  _issue_rows(spark, 1).schema)
+    scanned = spark.createDataFrame([("s", 5)], "site string, pages long")
+    kept = sr.collapse_repeated(links.unionByName(_issue_rows(spark, 5)), scanned)
+    assert sorted(r["url"] for r in kept.filter("family = 'links'").collect()) == [f"http://s/x{i}" for i in range(6)]
+    assert kept.filter("family = 'html'").count() == 1
+    assert sr.site_scores(kept, scanned).first()["links"] == 70
+
+
+def test_one_row_per_collapsed_signature(spark):
+    rows = spark.createDataFrame([("s", "html", "t", "error", u, i, "", None) for i, u in ((1, "http://s/b"), (1, "http://s/a"), (2, "http://s/c"), (3, "http://s/d"))],
+                                 _issue_rows(spark, 1).schema)
+    got = sr.collapse_repeated(rows, spark.createDataFrame([("s", 4)], "site string, pages long")).collect()
+    assert [(r["url"], r["details"]) for r in got] == [("http://s/a", "[on 4 pages]")]
+
+
+def test_lists_are_complete(spark):
+    html = "<h1>x</h1>" + "".join(f'<img src="/{i}-{"p" * 120}.png"><a href="#">{"t" * 60}{i}</a>' for i in range(40)) + "<img>"
+    pages = spark.createDataFrame([(1, "https://a.cz/", html)], "page_id long, url string, html string")
+    r = sp.page_features(pages).first()
+    assert r["images_without_alt_count"] == 41 and len(r["images_without_alt"]) == 40 and len(r["empty_links"]) == 40
+    assert r["images_without_alt"][39] == f"/39-{'p' * 120}.png" and r["empty_links"][39] == "t" * 60 + "39 -> #"
+    details = {(x["type"], x["details"]) for x in sr.page_issues(sp.page_features(pages)).collect()}
+    assert {("missing_alt", "41 images"), ("empty_link", "40 links")} <= details
+
+
 def test_scores_and_summary(spark):
     issues = _issue_rows(spark, 8)
     sites = spark.createDataFrame([("s",), ("t",)], "site string")
@@ -83,9 +110,13 @@ def test_site_level_checks(spark):
     assert {(r["site"], r["type"], r["details"]) for r in sr.robots_issues(robots).collect()} == {
         ("a", "missing_robots", "status 404"), ("b", "invalid_robots", "no sitemap line")}
     sites = spark.createDataFrame([("a",), ("b",), ("c",)], "site string")
-    mods = spark.createDataFrame([("a", "2024-01-25"), ("b", "2024-01-20"), ("b", "2024-01-01")], "site string, lastmod string")
-    assert {(r["site"], r["type"], r["details"]) for r in sr.sitemap_issues(sites, mods, datetime(2024, 2, 1)).collect()} == {
-        ("b", "outdated_sitemap", "12 days"), ("c", "missing_sitemap", "")}
+    files = spark.createDataFrame([
+        ("a", 200, "<urlset><url><lastmod>2024-01-25</lastmod></url></urlset>"), ("b", 200, "<urlset><lastmod> 2024-01-20 </lastmod><lastmod>2024-01-01</lastmod></urlset>"),
+        ("c", 404, "<urlset/>"), ("d", 200, "<urlset></urlset>"), ("e", 200, "<sitemapindex><sitemap><lastmod>2024-01-11</lastmod></sitemap></sitemapindex>")],
+        "site string, status int, xml string")
+    sites = spark.createDataFrame([(x,) for x in "abcdef"], "site string")
+    assert {(r["site"], r["type"], r["details"]) for r in sr.sitemap_issues(sites, files, datetime(2024, 2, 1)).collect()} == {
+        ("b", "outdated_sitemap", "12 days"), ("e", "outdated_sitemap", "21 days"), ("c", "missing_sitemap", ""), ("f", "missing_sitemap", "")}
     probes = spark.createDataFrame([("http://a", 200, None), ("https://b", 301, "https://b/"), ("https://c", 302, "http://c"), ("https://d", 0, None)],
                                    "site string, status int, location string")
     assert {(r["site"], r["severity"]) for r in sr.https_issues(probes).collect()} == {("http://a", "error"), ("https://c", "warning")}

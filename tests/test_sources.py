@@ -16,7 +16,7 @@ def put(tmp_path):
 def test_csv(spark, put):
     path = put("p.csv", 'Kód;Název;Popis;Cena;Sklad;Obrázek;Obrázek 2;Další obrázky;Konec akce\n'
                         'P1;"a; b";"x ""y""\nz";12,5;3;i;j;k, ,l;2024-01-05\n\nP2;c;;;;;;;bad\n;no code;;;;;;;\n')
-    rows = sc.canonical_products(sc.read_csv(spark, path)).orderBy("code").collect()
+    rows = sc.canonical_products(sc.read_csv(spark, path, line_breaks=True)).orderBy("code").collect()
     assert [(r["code"], r["name"], r["description"], r["price"], r["stock"], r["image_count"]) for r in rows] == [
         ("P1", "a; b", 'x "y"\nz', 12.5, 3.0, 4), ("P2", "c", "", None, None, 0)]
     assert str(rows[0]["action_end_date"])[:10] == "2024-01-05" and rows[1]["action_end_date"] is None
@@ -55,6 +55,34 @@ def test_xml_products(spark, put):
         ("1", "A & B", 6.5, 3, ["c:red"])]
 
 
+def test_xml_with_several_row_elements(spark, put):
+    path = put("m.xml", "<r><SHOPITEM><ITEM_ID>1</ITEM_ID></SHOPITEM><item><id>2</id></item><entry><id>3</id></entry><PRODUCT><code>4</code></PRODUCT></r>")
+    assert sorted(r["code"] for r in sc.canonical_products(sc.read_xml_products(spark, path)).collect()) == ["1", "2", "3", "4"]
+    path = put("k.xml", "<r><category><id>1</id><name>A</name></category><item><id>2</id><name>B</name></item></r>")
+    assert sorted(r["code"] for r in sc.read_categories(spark, path).collect()) == ["1", "2"]
+
+
+def test_many_numbered_columns(spark):
+    columns = ["code", "image", *[f"image{i}" for i in range(2, 26)], *[f"paramName{i}" for i in range(1, 31)], *[f"paramValue{i}" for i in range(1, 31)]]
+    row = ["x"] + ["i"] * 25 + [f"n{i}" for i in range(1, 31)] + [f"v{i}" for i in range(1, 31)]
+    r = sc.canonical_products(spark.createDataFrame([row], ", ".join(f"`{x}` string" for x in columns))).first()
+    assert r["image_count"] == 25 and r["filter_parameters"] == [f"n{i}:v{i}" for i in range(1, 31)]
+
+
+def test_deep_trees(spark, put):
+    xml, js = "", ""
+    for i in range(15, 0, -1):
+        xml = f"<CATEGORY><CATEGORY_ID>{i}</CATEGORY_ID><CATEGORY_NAME>N{i}</CATEGORY_NAME>{xml}</CATEGORY>"
+        js = f'{{"id":{i},"name":"N{i}","children":[{js}]}}'
+    leaf = " | ".join(f"N{i}" for i in range(1, 16))
+    assert [tuple(r) for r in tax.read_nested_xml(spark, put("d.xml", f"<HEUREKA>{xml}</HEUREKA>")).collect()] == [("15", "N15", leaf)]
+    assert {r["id"]: r["full_path"] for r in tax.read_nested_json(spark, put("d.json", f"[{js}]")).collect()} == {
+        str(i): " | ".join(f"N{k}" for k in range(1, i + 1)) for i in range(1, 16)}
+    ring = spark.createDataFrame([("a", "A", "b"), ("b", "B", "a")], "id string, name string, parent_id string")
+    with pytest.raises(ValueError):
+        tax.tree_paths(ring)
+
+
 def test_xml_other_row_tag_and_namespace(spark, put):
     path = put("g.xml", '<rss xmlns:g="http://base.google.com/ns/1.0"><item><g:id>7</g:id><title>T</title><g:price>3</g:price></item></rss>')
     r = sc.canonical_products(sc.read_xml_products(spark, path)).first()
@@ -72,10 +100,10 @@ def test_taxonomies(spark, put):
     listed = tax.read_list(spark, put("g.txt", "# v\n1 - A > B\n\n2 - Q\nzz\n")).orderBy("id").collect()
     assert [(r["id"], r["name"], r["full_path"]) for r in listed] == [("1", "B", "A > B"), ("2", "Q", "Q")]
     node = lambda i, n, inner="": f"<CATEGORY><CATEGORY_ID>{i}</CATEGORY_ID><CATEGORY_NAME>{n}</CATEGORY_NAME>{inner}</CATEGORY>"
-    nested = tax.read_nested_xml(spark, put("h.xml", f"<HEUREKA>{node(1, 'A', node(2, 'B') + node(3, 'C', node(4, 'D')))}</HEUREKA>"), levels=4)
+    nested = tax.read_nested_xml(spark, put("h.xml", f"<HEUREKA>{node(1, 'A', node(2, 'B') + node(3, 'C', node(4, 'D')))}</HEUREKA>"))
     assert {(r["id"], r["full_path"]) for r in nested.collect()} == {("2", "A | B"), ("4", "A | C | D")}
     js = tax.read_nested_json(spark, put("z.json", '[{"id":1,"name":"A","children":[{"id":2,"name":"B","categoryText":"X | B","children":'
-                                                   '[{"id":5,"name":"E"}]},{"name":"nil","children":[{"id":4,"name":"D"}]}]}]'), levels=4)
+                                                   '[{"id":5,"name":"E"}]},{"name":"nil","children":[{"id":4,"name":"D"}]}]}]'))
     assert {(r["id"], r["full_path"]) for r in js.collect()} == {("1", "A"), ("2", "X | B"), ("5", "X | B | E"), ("4", "A | nil | D")}
     flat = tax.read_flat_xml(spark, put("f.xml", "<G><CATEGORY><CATEGORY_ID>1</CATEGORY_ID><CATEGORY_NAME>N</CATEGORY_NAME>"
                                                  "<CATEGORY_FULLNAME>A | N</CATEGORY_FULLNAME></CATEGORY></G>")).first()

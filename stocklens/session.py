@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -25,6 +26,19 @@ def build_session(app: str = "stocklens", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Puts the folder of this library on the module path of Python workers that start from now on.
+
+    Where the library is not installed and the session was started elsewhere, tasks would not find it. On a cluster
+    whose machines do not share the folder, ship it with ``--py-files``.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *[p for p in known if p]])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 

@@ -11,11 +11,12 @@ from stocklens.llm.jaccard_join import keep_one_of_each
 from stocklens.llm.mixing import in_training_order, mix_plan
 from stocklens.llm.piece_bpe import encode_documents
 from stocklens.llm.queries import piece_model_path
-from stocklens.session import materialise
+from stocklens.session import let_workers_import, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier holds for bad go."""
+    let_workers_import(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -26,6 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by similar word shingles the one with the smallest id stays."""
+    let_workers_import(spark)
     return keep_one_of_each(docs)
 
 
@@ -36,6 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` of every row."""
+    let_workers_import(spark)
     return encode_documents(docs, piece_model_path()).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -15,9 +15,11 @@ from stocklens.llm.piece_bpe import encode_documents
 from stocklens.llm.subword_toxicity import score_toxicity
 from stocklens.llm.suffix_dedup import remove_repeats
 from stocklens.llm.trie_lm import score_documents
+from stocklens.session import let_workers_import
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -16,33 +16,41 @@ select
  case when p.p_partkey % 10 in (1,2,3) then concat('P', p.p_partkey - p.p_partkey % 10)
       when p.p_partkey % 97 = 5 then concat('GONE', p.p_partkey)
       else '' end as parent_code,
- case when p.p_partkey % 83 = 0 then repeat(concat(p.p_name, ' '), 8) when p.p_partkey % 89 = 0 then substr(p.p_name, 1, 6)
+ case when p.p_partkey % 110 in (2, 3) then concat('Twin ', p.p_partkey - p.p_partkey % 10)
+      when p.p_partkey % 83 = 0 then repeat(concat(p.p_name, ' '), 8) when p.p_partkey % 89 = 0 then substr(p.p_name, 1, 6)
       when p.p_partkey % 10 = 1 then concat(p.p_name, ' - ', p.p_size) else concat(p.p_name, ' ', p.p_brand) end as name,
- case when p.p_partkey % 71 = 0 then '' else concat(p.p_type, ' > ', split_part(p.p_name, ' ', 2), case when p.p_size > 40 then ' > big > huge > giant' else '' end) end as default_category,
- case when p.p_partkey % 71 = 0 then '' else concat(p.p_type, ' | ', split_part(p.p_name, ' ', 2)) end as category_text,
+ case when p.p_partkey = 77 then 'Solo' when p.p_partkey % 71 = 0 then '' else concat(p.p_type, ' > ', split_part(p.p_name, ' ', 2), case when p.p_size > 40 then ' > big > huge > giant' else '' end) end as default_category,
+ case when p.p_partkey = 77 then 'Solo' when p.p_partkey % 71 = 0 then '' else concat(p.p_type, ' | ', split_part(p.p_name, ' ', 2)) end as category_text,
  case when p.p_partkey % 5 = 0 then split_part(p.p_name, ' ', 1) else '' end as category_text2,
- case when p.p_partkey % 101 = 0 then concat('Lorem ipsum dolor sit amet ', d.text)
+ case when p.p_partkey % 113 = 5 then concat('Test popis ', d.text)
+      when p.p_partkey % 113 = 11 then concat(repeat('<div>', 10), d.text, repeat('</div>', 10))
+      when p.p_partkey % 113 = 17 then concat(d.text, repeat('<p></p>', 7))
+      when p.p_partkey % 113 = 23 then concat(repeat(concat(repeat('<br>', 4), 'x'), 5), d.text)
+      when p.p_partkey % 113 = 29 then concat(d.text, ' viz https://example.com/page')
+      when p.p_partkey % 113 = 31 then concat(d.text, repeat('😀', 7))
+      when p.p_partkey % 101 = 0 then concat('Lorem ipsum dolor sit amet ', d.text)
       when p.p_partkey % 103 = 0 then concat('<div style="x"><b>', d.text, '</div>')
       when p.p_partkey % 107 = 0 then ''
       when p.p_partkey % 3 = 0 then concat('<p>', d.text, '</p>') else d.text end as description,
  case when p.p_partkey % 11 = 0 then '' when p.p_partkey % 13 = 0 then d.text else substr(d.text, 1, 120) end as short_description,
- case when p.p_partkey % 6 = 0 then '' else substr(d.text, 1, 40 + p.p_size * 4) end as meta_description,
+ case when p.p_partkey % 127 = 3 then concat(p.p_name, ' ', p.p_brand) when p.p_partkey % 127 = 7 then concat(p.p_name, ' ', p.p_brand, ' x')
+      when p.p_partkey % 6 = 0 then '' else substr(d.text, 1, 40 + p.p_size * 4) end as meta_description,
  cast(case when p.p_partkey % 50 = 9 then 0.0 when p.p_partkey % 333 = 4 then -1.0 when p.p_partkey % 41 = 7 then 2000.0 when p.p_partkey % 61 = 8 then null else p.p_retailprice end as double) as price,
  cast(case when p.p_partkey % 4 = 0 then round(p.p_retailprice * (0.9 + (p.p_partkey % 17) / 10.0), 2) end as double) as price_before_discount,
  cast(case when p.p_partkey % 7 = 0 then 0 when p.p_partkey % 91 = 3 then -2 else p.p_size end as int) as stock,
  case when p.p_partkey % 7 = 0 then 'Vyprodáno' when p.p_partkey % 19 = 0 then 'Na dotaz' else 'Skladem' end as availability,
- case when p.p_partkey % 23 = 0 then '' else 'Skladem' end as availability_in_stock,
- case when p.p_partkey % 29 = 0 then '' else 'Vyprodáno' end as availability_out_of_stock,
+ case when p.p_partkey % 23 = 0 then '' when p.p_partkey % 37 = 0 then 'Na dotaz' else 'Skladem' end as availability_in_stock,
+ case when p.p_partkey % 29 = 0 then '' when p.p_partkey % 37 = 1 then 'Skladem' else 'Vyprodáno' end as availability_out_of_stock,
  cast(p.p_partkey % 8 as int) as delivery_days,
  case when p.p_partkey % 15 = 0 then '' else concat('859', lpad(cast(p.p_partkey % 1950 as string), 10, '0')) end as ean,
  case when p.p_partkey % 31 = 0 then '' else p.p_brand end as manufacturer,
- cast(p.p_partkey % 5 as int) as image_count,
+ cast(case when p.p_partkey % 30 = 21 then 0 else p.p_partkey % 5 end as int) as image_count,
  p.p_partkey % 9 = 0 as is_action,
  p.p_partkey % 14 = 0 as is_new,
  cast(case when p.p_partkey % 45 = 0 then timestamp '2024-01-15 00:00:00' when p.p_partkey % 27 = 0 then timestamp '2024-06-01 00:00:00' end as timestamp) as action_end_date,
  cast(case when p.p_partkey % 3 = 0 then timestamp '2024-01-10 00:00:00' else o.o_orderdate end as timestamp) as created_at,
  cast(case when p.p_partkey % 2 = 0 then timestamp '2024-01-20 00:00:00' else timestamp '2023-11-01 00:00:00' end as timestamp) as updated_at,
- case when p.p_partkey % 5 = 0 then '' else concat('https://img.example/', p.p_partkey, '.jpg') end as image,
+ case when p.p_partkey % 5 = 0 or p.p_partkey % 30 = 21 then '' else concat('https://img.example/', p.p_partkey, '.jpg') end as image,
  case when p.p_partkey % 16 = 0 then '' else concat('size:', p.p_size) end as filter_params,
  case when p.p_partkey % 10 in (1,2,3) then concat('P', p.p_partkey - p.p_partkey % 10) else '' end as pair_code
 from (select part.*, p_partkey % (select count(*) from documents) as doc_ref from part) p
@@ -59,6 +67,7 @@ union all
 select concat(t, '/', w), w, t, concat(t, ' | ', w), case when w = 'ring' then '' else concat('About ', w) end, not (t = 'SMALL' and w = 'bolt')
 from c
 union all select 'X1', 'Lost', 'NOPE', 'Nope | Lost', 'lost', true
+union all select 'X3', 'Solo', cast(null as string), 'Solo', 'one', true
 union all select 'X2', 'Empty', cast(null as string), 'Empty', '', true
 union all select concat('D', n), concat('Deep ', n), case when n > 1 then concat('D', n - 1) end, concat('Deep ', n), 'deep', true
 from (select 1 as n union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) d

@@ -263,7 +263,8 @@ def trust_analysis(sites: DataFrame, fetches: DataFrame, homepages: DataFrame, y
     flags = [f"has_{k}" for k in TRUST_PATHS]
     joined = sites.select("site").join(present, "site", "left").join(texts, "site", "left")
     out = joined.select(
-        "site", *[(F.coalesce(f, F.lit(0)) == 1).alias(f) for f in flags], "copyright_year",
+        "site", *[(F.coalesce(f, F.lit(0)) == 1).alias(f) for f in flags],
+        (F.coalesce("has_shipping", F.lit(0)) == 1).alias("has_payment"), "copyright_year",  # the shipping pages tell both
         *[F.coalesce(f, F.lit(False)).alias(f) for f in ("has_phone", "has_email", "has_address", "has_company")])
     stale = F.coalesce(c("copyright_year") < year - 1, F.lit(False))
     off = lambda cond, points: F.when(cond, points).otherwise(0)

@@ -293,7 +293,7 @@ def _trust_sql():
                      f") t(p) where {_STATUS.format(x='(h.site || p)')} = 200)")
     return _PG + f""", h0 as (select site, arg_min(html, page_id) as html from pg group by 1)
 , h as (select site, case when length(site) % 2 = 0 then html || '<footer>© 2021 tel. +420 123 456 789, IČO: 12345678</footer>' else html end as html from h0)
-, t as (select site, {', '.join(f'{has(k)} as has_{k}' for k in sr.TRUST_PATHS)},
+, t as (select site, {', '.join(f'{has(k)} as has_{k}' for k in sr.TRUST_PATHS)}, {has('shipping')} as has_payment,
  cast(nullif(regexp_extract(lower(array_to_string(list_transform(regexp_extract_all({_CLEAN}, '(?i)<footer(?:\\s[^>]*)?>([\\s\\S]*?)</footer\\s*>', 1), lambda x: {_INNER('x')}), '')), {d.q(sr.COPYRIGHT_PATTERN)}, 1), '') as integer) as copyright_year,
  regexp_matches(html, {d.q(sr.PHONE_PATTERN)}) as has_phone, regexp_matches(html, {d.q(sr.EMAIL_PATTERN)}) as has_email,
  {d.contains_any('lower(html)', sr.ADDRESS_WORDS)} as has_address, regexp_matches(lower(html), {d.q(sr.COMPANY_PATTERN)}) as has_company from h)

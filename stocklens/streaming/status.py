@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stocklens.session import materialise
+
 c = F.col
 
 # Indicator of a status page and its status; anything else is unknown.
@@ -115,18 +116,19 @@ def monitor(polls: DataFrame, folder: str, interval: str | None = "5 minutes") -
     """A stream of polls to alert and state tables under ``folder``.
 
     Every micro-batch reads the state of the batch before, so repeating a batch after a failure
-    gives the same files. Polls not newer than a platform's last check are ignored. Without an
+    gives the same files; a state that is missing stops the stream, since going on would forget and alert
+    again. Only the first batch has none. Polls not newer than a platform's last check are ignored. Without an
     interval all available polls are read once.
     """
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        state = _load(spark, f"{folder}/state/v{epoch - 1}") if epoch else None
+        state = spark.read.parquet(f"{folder}/state/v{epoch - 1}") if epoch else None
         fresh = batch
         if state is not None:
             seen = state.select("platform", "last_checked")
             fresh = batch.join(seen, "platform", "left").filter(
                 c("last_checked").isNull() | (c("ts") > c("last_checked"))).select(*batch.columns)
-        changes = status_changes(fresh, state)
+        changes = materialise(status_changes(fresh, state))  # alerts and state read it
         changes.filter("alert").write.mode("overwrite").parquet(f"{folder}/alerts/epoch={epoch}")
         next_state(changes, state).write.mode("overwrite").parquet(f"{folder}/state/v{epoch}")
         spark.createDataFrame([(epoch,)], "epoch long").write.mode("overwrite").parquet(f"{folder}/latest")
@@ -136,13 +138,6 @@ def monitor(polls: DataFrame, folder: str, interval: str | None = "5 minutes") -
     return writer.trigger(**trigger).start()
 
 
-def _load(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def read_alerts(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/alerts").drop("epoch")
 

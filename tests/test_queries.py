@@ -57,7 +57,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["j04_j05_category_counts", "c01_c09_content", "j01_orphan_variants", "w05_j14_status_changes",
+@pytest.mark.parametrize("name", ["j04_j05_category_counts", "g01_g07_category_feed", "l01_link_products", "a10_collapsed_issues", "s13_s14_taxonomy_tree", "c01_c09_content", "j01_orphan_variants", "w05_j14_status_changes",
                                   "j11_x16_link_checks", "w01_stock_order", "a05_tree_counts"])
 def test_no_nested_loops(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

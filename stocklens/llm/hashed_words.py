@@ -14,7 +14,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(1, np.uint64)]
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -319,6 +319,17 @@ def _sets_of(words: int, field: np.ndarray):
     return run
 
 
+def _picked(field: np.ndarray):
+    """Rows (id, set) whose bit of the field is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).take(pa.array(np.flatnonzero(field[bit >> 6] >> (bit & 63) & 1)))
+
+    return run
+
+
 def _in_lists(df: DataFrame, *order: str) -> DataFrame:
     """Rows of an index list side by side in one partition."""
     return df.repartition("element").sortWithinPartitions("element", *order)
@@ -370,9 +381,8 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     leaders = materialise(_in_lists(lists, "id").mapInArrow(_leaders(percent), "id long, leader long"))
     groups = materialise(_groups(leaders))
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    sets = named.withColumn("bit", bit).mapInArrow(_sets_of(words, _filter_bytes(groups)), "id long, set array<long>")
-    # copies of a set are not needed, and the filter lets a few others through
-    sets = materialise(sets.join(groups.select("id"), "id", "left_semi"))
+    # written as the scan finds them; the few others that the filter lets through find no partner below
+    sets = materialise(named.withColumn("bit", bit).mapInArrow(_sets_of(words, _filter_bytes(groups.select("id"))), "id long, set array<long>"))
     meet = groups.select("id", "home", "part").unionByName(groups.select("home", "parts").distinct().select(
         c("home").alias("id"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("part"))).distinct()
     near = sets.join(meet, "id").select("home", "part", "id", "set").repartition("home", "part").sortWithinPartitions(
@@ -382,7 +392,9 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     entries = lists.join(groups.select("id", "home", "part"), "id").join(found, "id", "left").select(
         "element", "id", "n", "place", F.coalesce("component", "id").alias("component"), "home", "part")
     pairs = materialise(_in_lists(entries, "n", "id").mapInArrow(_open_pairs(percent), "a long, b long, n_a long, n_b long").distinct())
-    left, right = sets.select(c("id").alias("a"), c("set").alias("s")), sets.select(c("id").alias("b"), c("set").alias("t"))
+    # only sets of open pairs are shuffled
+    one = lambda x: sets.withColumn("bit", bit).mapInArrow(_picked(_filter_bytes(pairs.select(c(x).alias("id")))), "id long, set array<long>")
+    left, right = one("a").select(c("id").alias("a"), c("set").alias("s")), one("b").select(c("id").alias("b"), c("set").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
     late = materialise(pairs.join(left, "a").join(right, "b").filter(
         common * (100 + percent) >= percent * (F.size("s") + F.size("t"))).select("a", "b"))

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 
+_COUNT = np.arange(1 << 20)
 SKIP = 256  # one of so many values is also kept plain, for the search of a place
 
 
@@ -38,11 +39,18 @@ class EliasFano:
         start = int(self.skip[block] >> shift) + a
         stop = int(self.skip[end_block] >> shift) + b if b < self.size else len(self.high) * 8 - 1
         bits = np.unpackbits(self.high[start >> 3:(stop >> 3) + 1], bitorder="little")
-        ones = np.flatnonzero(bits)
-        ones = ones[np.searchsorted(ones, start & 7):][:b - a] + ((start >> 3) << 3)
-        out = (ones - np.arange(a, b)).astype(np.uint64) << shift
-        for k in range(self.width):
-            out |= self.low[a:b, k].astype(np.uint64) << np.uint64(8 * k)
+        ones = np.flatnonzero(bits.view(bool))
+        skip = int(np.count_nonzero(bits[:start & 7]))
+        ones = ones[skip:skip + b - a]
+        ones += ((start >> 3) << 3) - a
+        ones -= _COUNT[:b - a] if b - a <= len(_COUNT) else np.arange(b - a)
+        out = ones.view(np.uint64)
+        out <<= shift
+        if self.width:  # low parts widened to whole numbers
+            size = 4 if self.width <= 4 else 8
+            low = np.zeros((b - a, size), np.uint8)
+            low[:, :self.width] = self.low[a:b]
+            out |= low.view(np.uint32 if size == 4 else np.uint64).ravel()
         return out
 
     def _runs(self, blocks: np.ndarray):

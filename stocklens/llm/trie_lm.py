@@ -38,7 +38,7 @@ ORDER = 3
 MIN_COUNTS = {3: 2}  # n-grams of a level seen fewer times are left to the back-off, as is usual
 SMOOTHING = 4.0
 UNSEEN = 0.1
-CHUNK_TOKENS = 3_000_000  # tokens that a task holds at once
+CHUNK_TOKENS = 2_200_000  # tokens that a task holds at once
 SHARD_TOKENS = 2_000_000  # training tokens for each shard of a level
 CHILD_BITS = 30  # a key is parent << 30 | child
 QUANT = 3000.0  # steps for a factor of ten
@@ -93,56 +93,62 @@ class Trie:
                 out[order[a:b]] = values
         return np.empty(0, np.float64) if out is None else out
 
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words, -1 for those not in the training texts."""
-        wanted, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(wanted), -1, np.int64)
+    def words(self, hashes: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Numbers of words, -1 for those not in the training texts, and their counts if asked for."""
+        back, distinct = pd.factorize(hashes.view(np.int64))
+        order = np.argsort(distinct.view(np.uint64))
+        wanted = distinct.view(np.uint64)[order]
+        out, count = np.full(len(wanted), -1, np.int64), np.zeros(len(wanted), np.int64)
         cuts = np.searchsorted(_word_shard(wanted, self.shards), np.arange(self.shards + 1))
         for shard in range(self.shards):
             a, b = cuts[shard], cuts[shard + 1]
-            known = self.file(1, shard)["hash"] if a < b else ()
+            known = self.file(1, shard)["hash"] if a < b and self.starts[0][shard + 1] > self.starts[0][shard] else ()
             if len(known):
                 at = np.minimum(np.searchsorted(known, wanted[a:b]), len(known) - 1)
-                out[a:b] = np.where(known[at] == wanted[a:b], at + self.starts[0][shard], -1)
-        return out[back]
+                hit = np.flatnonzero(known[at] == wanted[a:b])
+                out[a:b][hit] = at[hit] + self.starts[0][shard]
+                count[a:b][hit] = self.file(1, shard)["count"][at[hit]]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return out[place][back], count[place][back] if counted else None
 
-    def children(self, level: int, parents: np.ndarray, children: np.ndarray) -> np.ndarray:
-        """Nodes of a level by ascending (shard of the parent, parent, child); -1 where there is none.
+    def children(self, level: int, shard_of: np.ndarray, keys: np.ndarray, names: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+        """Nodes of a level by keys that ascend in each shard: ``node`` (-1 where there is none), ``rank`` among the
+        parent's children, and the named values.
 
         The child is looked for in its parent's range only: the range lies between two pointers, and
         children are kept as distances from the end of the range before, so that the whole shard is one
         monotone sequence.
         """
-        out = np.full(len(parents), -1, np.int64)
-        shard_of = parents % self.shards
+        out = {"node": np.full(len(keys), -1, np.int64), "rank": np.full(len(keys), -1, np.int64)}
+        out |= {name: np.zeros(len(keys), np.uint16) for name in names}
         cuts = np.searchsorted(shard_of, np.arange(self.shards + 1))
         for shard in range(self.shards):
             a, b = cuts[shard], cuts[shard + 1]
-            if a == b or not self.starts[level - 1][shard + 1] - self.starts[level - 1][shard]:
+            if a == b or self.starts[level - 1][shard + 1] == self.starts[level - 1][shard]:
                 continue
             f = self.file(level, shard)
-            local = parents[a:b] // self.shards
-            rows, back = np.unique(local, return_inverse=True)
+            local, child = keys[a:b] >> CHILD_BITS, keys[a:b] & (1 << CHILD_BITS) - 1
+            first = np.flatnonzero(np.diff(local, prepend=-1))
+            rows, back = local[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(local))))
             pointers, bases = EliasFano(f, "pointer"), EliasFano(f, "base")
             inside = rows < pointers.size - 1
-            low, high, base = (np.zeros(len(rows), np.int64) for _ in range(3))
+            low, high, base, end = (np.zeros(len(rows), np.int64) for _ in range(4))
             low[inside], high[inside] = pointers.at(rows[inside]), pointers.at(rows[inside] + 1)
-            base[inside] = bases.at(rows[inside])
-            wanted = base[back] + children[a:b]
+            base[inside], end[inside] = bases.at(rows[inside]), bases.at(rows[inside] + 1)
             # a child beyond the last of its range would run into the next range
-            asked = np.flatnonzero(high[back] > low[back])
-            wanted = np.maximum.accumulate(np.minimum(wanted[asked], self._ends(bases, rows, inside)[back][asked])).astype(np.uint64)
+            asked = np.flatnonzero((high > low)[back])
+            wanted = (base[back] + child)[asked]
+            good = wanted < end[back][asked]
+            asked, wanted = asked[good], wanted[good].astype(np.uint64)
             place, equal = EliasFano(f, "child").successor(wanted)
-            good = equal & (place < high[back][asked]) & (wanted == (base[back] + children[a:b])[asked].astype(np.uint64))
-            out[a:b][asked[good]] = place[good] + self.starts[level - 1][shard]
+            at, place = a + asked[equal], place[equal]
+            out["node"][at] = place + self.starts[level - 1][shard]
+            out["rank"][at] = place - low[back][asked[equal]]
+            for name in names:
+                out[name][at] = f[name][place]
         return out
 
-    @staticmethod
-    def _ends(bases: EliasFano, rows: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        ends = np.zeros(len(rows), np.int64)
-        ends[inside] = bases.at(rows[inside] + 1)
-        return ends
-
     def first_child(self, level: int, parents: np.ndarray) -> np.ndarray:
         """First node of the range of each parent (ascending by shard and parent)."""
         out = np.zeros(len(parents), np.int64)
@@ -156,48 +162,63 @@ class Trie:
                 out[a:b] = pointers.at(local).astype(np.int64) + self.starts[level - 1][shard]
         return out
 
-    def _distinct(self, parents: np.ndarray, children: np.ndarray):
-        """Distinct pairs in the order of the shards, and the way back."""
-        if len(parents) and (parents.max() >= 1 << 63 - CHILD_BITS - 12 or children.max() >= 1 << CHILD_BITS):
+    def sorted_keys(self, parents: np.ndarray, children: np.ndarray, way_back: bool):
+        """Shards and keys of distinct pairs, by shard and key, their counts, and the way back to the pairs."""
+        local, shard = np.divmod(parents, self.shards)
+        if len(parents) and (local.max() >= 1 << 63 - CHILD_BITS or children.max() >= 1 << CHILD_BITS):
             raise OverflowError("too many nodes for the keys of this trie")
-        key = (parents // self.shards << CHILD_BITS) | children
-        shard = parents % self.shards
-        order = np.lexsort((key, shard))
-        k, s = key[order], shard[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        back = np.empty(len(k), np.int64)
-        back[order] = np.cumsum(new) - 1
-        return s[new], k[new], np.diff(np.append(np.flatnonzero(new), len(k))), back
-
-    def nodes(self, ids: np.ndarray, inner: np.ndarray, top: int):
-        """Per token the node of the n-gram that ends there, for levels 2 to ``top``, -1 where unknown.
+        key = (local << CHILD_BITS) | children
+        del local
+        bits = int(key.max()).bit_length() if len(key) else 0
+        if bits + self.shards.bit_length() <= 63:  # shard and key in one number
+            both = (shard << bits) | key
+            del shard, key
+            order = np.argsort(both) if way_back else None
+            if way_back:
+                both = both[order]
+            else:
+                both.sort()
+            new = np.ones(len(both), bool)
+            new[1:] = both[1:] != both[:-1]
+            first = np.flatnonzero(new)
+            s, k = both[first] >> bits, both[first] & (1 << bits) - 1
+        else:
+            order = np.lexsort((key, shard))
+            s, k = shard[order], key[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+            first = np.flatnonzero(new)
+            s, k = s[first], k[first]
+        back = None
+        if way_back:
+            back = np.empty(len(new), np.int32)
+            back[order] = np.cumsum(new, dtype=np.int32) - 1
+        return s, k, np.diff(np.append(first, len(new))), back
+
+    def nodes(self, ids: np.ndarray, inner: np.ndarray, top: int, names: dict[int, tuple[str, ...]] | None = None):
+        """Per level the node of the n-gram that ends at each token, -1 where unknown; ranks of level 2; named values.
 
         ``ids``: words of texts one after the other; ``inner[k]``: whether the n-gram of k + 1 words that
         ends at a token lies in one text.
         """
-        found = {1: ids}
-        ranks = None
+        found, ranks, values = {1: ids}, None, {}
         for level in range(2, top + 1):
             parents, children, use = self.keys(found, ranks, inner, level)
             node = np.full(len(ids), -1, np.int64)
+            wanted = (names or {}).get(level, ())
+            values[level] = {name: np.zeros(len(ids), np.uint16) for name in wanted}
+            if level == 2:
+                ranks = np.full(len(ids), -1, np.int64)
             if len(use):
-                s, k, _, back = self._distinct(parents, children)
-                node[use] = self.children(level, (k >> CHILD_BITS) * self.shards + s, k & (1 << CHILD_BITS) - 1)[back]
+                s, k, _, back = self.sorted_keys(parents, children, True)
+                got = self.children(level, s, k, wanted)
+                node[use] = got["node"][back]
+                if level == 2:
+                    ranks[use] = got["rank"][back]
+                for name in wanted:
+                    values[level][name][use] = got[name][back]
             found[level] = node
-            if level == 2 and (top > 2 or self.levels == 2):
-                ranks = self.ranks(ids, node)
-        return found, ranks
-
-    def ranks(self, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Rank of each word among the followers of the word before it, -1 where the pair is unknown."""
-        out = np.full(len(ids), -1, np.int64)
-        use = np.flatnonzero(pairs >= 0)
-        if len(use):
-            before = ids[use - 1]
-            order = np.lexsort((before, before % self.shards))
-            out[use[order]] = pairs[use[order]] - self.first_child(2, before[order])
-        return out
+        return found, ranks, values
 
     def keys(self, found: dict[int, np.ndarray], ranks: np.ndarray | None, inner: np.ndarray, level: int):
         """Parents, children and places of the n-grams of a level whose parent and child are known."""
@@ -261,10 +282,10 @@ def _count_ngrams(level: int, known: tuple):
         trie = _trie(*known)
         for _, hashes, counts in _chunks(batches):
             inner = _inner(counts, level)
-            found, ranks = trie.nodes(trie.words(hashes), inner, level - 1)
+            found, ranks, _ = trie.nodes(trie.words(hashes)[0], inner, level - 1)
             parents, children, use = trie.keys(found, ranks, inner, level)
             if len(use):
-                s, k, n, _ = trie._distinct(parents, children)
+                s, k, n, _ = trie.sorted_keys(parents, children, False)
                 yield _blocks(s, k, n, trie.shards)
     return run
 
@@ -388,26 +409,21 @@ def _score(known: tuple, total: tuple[int, int], order: int, names: list[str]):
         trie = _trie(*known)
         for ids, hashes, counts in _chunks(batches):
             inner = _inner(counts, order)
-            words = trie.words(hashes)
-            seen = np.zeros(len(words), np.int64)
-            seen[words >= 0] = trie.gather(1, "count", words[words >= 0])
+            words, seen = trie.words(hashes, True)
+            del hashes
             base = np.log10(_word_probability(seen, total))
-            found, _ = trie.nodes(words, inner, order)
+            names_of = {k: ("log",) if k == order else ("log", "off") for k in range(2, order + 1)}
+            found, _, values = trie.nodes(words, inner, order, names_of)
             log = base
             for level in range(2, order + 1):
                 # the shorter estimate times the weight that the context leaves to it, unless the n-gram is known
                 context, node = np.concatenate(([-1], found[level - 1][:-1])), found[level]
-                known_context = np.flatnonzero(inner[level - 1] & (context >= 0) & (node < 0))
-                here = log.copy()
-                if len(known_context):
-                    at = context[known_context]
-                    off = np.log10(SMOOTHING / (seen[known_context - 1] + SMOOTHING)) if level == 2 else trie.gather(
-                        level - 1, "off", at) / -QUANT
-                    here[known_context] += off
-                hit = np.flatnonzero(node >= 0)
-                if len(hit):
-                    here[hit] = trie.gather(level, "log", node[hit]) / -QUANT
-                log = here
+                if level == 2:
+                    off = np.log10(SMOOTHING / (np.concatenate(([0], seen[:-1])) + SMOOTHING))
+                else:
+                    off = np.concatenate(([0], values[level - 1]["off"][:-1])) / -QUANT
+                log = np.where(inner[level - 1] & (context >= 0), log + off, log)
+                log = np.where(node >= 0, values[level]["log"] / -QUANT, log)
             at = np.cumsum(counts) - counts
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(counts), pa.array(np.add.reduceat((seen > 0).astype(np.int64), at)),

@@ -25,6 +25,7 @@ from stocklens.session import materialise
 WINDOW = 400
 SORT_BYTES = 256 * 1024  # text of one suffix array, about
 GROUP_SEGMENTS = 2000  # different segments of an anchor that are sorted together
+LIST_STRINGS = 1 << 16  # repeated strings of an anchor that go to its segments at once, about
 FILTER_BITS = 1 << 24
 
 _P = 0x9E3779B97F4A7C15
@@ -225,16 +226,31 @@ def _sort_groups(window: int):
 
 
 def _string_hashes(window: int):
-    """Segments of crowded anchors -> a row (anchor, segment, at, string) for each string in them."""
+    """Segments of crowded anchors -> a row (anchor, string) for each string in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, segment, data in zip(*(x.to_pylist() for x in batch.columns)):
+            for anchor, _, data in zip(*(x.to_pylist() for x in batch.columns)):
                 n = len(data) - window + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * n, pa.int64()), pa.array([segment] * n, pa.binary()), pa.array(range(n), pa.int64()),
-                     pa.array([_digest(data[k:k + window]) for k in range(n)], pa.binary())],
-                    ["anchor", "segment", "at", "string"])
+                    [pa.array([anchor] * n, pa.int64()), pa.array([_digest(data[k:k + window]) for k in range(n)], pa.binary())],
+                    ["anchor", "string"])
+
+    return run
+
+
+def _known_strings(window: int):
+    """Segments of crowded anchors with a list of repeated strings -> (anchor, segment, ranges)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        for batch in batches:
+            ranges = []
+            for data, strings in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                known = set(strings)
+                starts = [k for k in range(len(data) - window + 1) if _digest(data[k:k + window]) in known]
+                ranges.append(_ranges(np.array(starts, np.int64), window))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranges, kind)], ["anchor", "segment", "ranges"])
 
     return run
 
@@ -254,12 +270,15 @@ def _anchor_filter(anchors: DataFrame) -> np.ndarray:
     return out
 
 
-def _crowded_ranges(crowded: DataFrame, window: int) -> DataFrame:
-    """(anchor, segment, ranges) by counting equal strings; hot strings are counted before they are joined."""
-    strings = materialise(crowded.mapInArrow(_string_hashes(window), "anchor long, segment binary, at long, string binary"))
-    often = materialise(strings.groupBy("string").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    hits = attach_groups(strings, often, "string", "times").filter("times > 1")
-    return hits.select("anchor", "segment", F.array(F.struct(c("at").alias("a"), (c("at") + window).alias("b"))).alias("ranges"))
+def _crowded_ranges(crowded: DataFrame, window: int, marks_kind: str) -> DataFrame:
+    """(anchor, segment, ranges) by counting equal strings. Counts are added up in each task before the shuffle; what goes
+    back to the segments is the list of repeated strings of their anchor, in parts of bounded length, so a segment stays a row."""
+    often = materialise(crowded.mapInArrow(_string_hashes(window), "anchor long, string binary").groupBy("anchor", "string").agg(
+        F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor", "string"))
+    parts = often.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / float(LIST_STRINGS)).alias("parts"))
+    lists = often.join(parts, "anchor").groupBy("anchor", F.pmod(F.xxhash64("string"), c("parts")).alias("part")).agg(
+        F.collect_list("string").alias("strings"))
+    return crowded.join(lists.select("anchor", "strings"), "anchor").mapInArrow(_known_strings(window), marks_kind).filter(F.size("ranges") > 0)
 
 
 def _keep(window: int):
@@ -315,7 +334,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         _sort_groups(window), marks_kind).filter(F.size("ranges") > 0)
     if some:
         crowded = different.join(crowd.select("anchor"), "anchor").select("anchor", "segment", "bytes")
-        marks = marks.unionByName(_crowded_ranges(crowded, window))
+        marks = marks.unionByName(_crowded_ranges(crowded, window, marks_kind))
     whole = found.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.max("size").alias("size")).filter(
         "times > 1").select("anchor", "segment", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), c("size").alias("b"))).alias("ranges"))
     marked = found.join(marks.unionByName(whole), ["anchor", "segment"]).select(

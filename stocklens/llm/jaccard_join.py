@@ -166,29 +166,33 @@ class _List:
 
 
 def _leaders(percent: int):
-    """Lists (element, id, n, place), ids ascending -> rows (id, leader): the smallest id that a set can reach."""
+    """Lists (element, id, n, place), ids ascending -> rows (id, leader): the smallest id that a set can reach in a list.
+    A set that only larger ids reach there is its own leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[], []]
         waiting = 0
         for _, ids, n, place in _runs(batches, 1):
             index = _List(n, place, percent)
+            leader, reached = np.full(len(ids), -1), np.zeros(len(ids), bool)
             for a in range(index.blocks):
-                own = ids[index.span(a)]
-                leader = np.full(len(own), -1)
+                x = index.span(a)
                 for b in range(a + 1):
-                    if (leader >= 0).all():
-                        break
+                    y = index.span(b)
+                    if (leader[x] >= 0).all() and (reached[y] | (leader[y] >= 0)).all():
+                        continue
                     if index.skips(a, b):
                         continue
-                    fits = index.reach(a, b) & (ids[None, index.span(b)] < own[:, None])
-                    hit = fits.any(1) & (leader < 0)
-                    leader[hit] = b * BLOCK + fits[hit].argmax(1)
-                found = leader >= 0
-                if found.any():
-                    out[0].append(own[found])
-                    out[1].append(ids[leader[found]])
-                    waiting += int(found.sum())
+                    fits = index.reach(a, b) & (ids[None, y] < ids[x, None])
+                    hit = x.start + np.flatnonzero(fits.any(1) & (leader[x] < 0))
+                    leader[hit] = y.start + fits[hit - x.start].argmax(1)
+                    reached[y] |= fits.any(0)
+            leader = np.where((leader < 0) & reached, np.arange(len(ids)), leader)
+            found = leader >= 0
+            if found.any():
+                out[0].append(ids[found])
+                out[1].append(ids[leader[found]])
+                waiting += int(found.sum())
             if waiting > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["id", "leader"])
                 out, waiting = [[], []], 0
@@ -349,10 +353,8 @@ def _posted(texts: DataFrame, profiles: DataFrame, words: int, percent: int) ->
 
 
 def _groups(leaders: DataFrame) -> DataFrame:
-    """(id, home, part): the group of each set. Large groups are cut into parts by hash."""
-    home = leaders.groupBy("id").agg(F.min("leader").alias("home"))
-    own = home.select(c("home").alias("id")).distinct().join(home.select("id"), "id", "left_anti").select("id", c("id").alias("home"))
-    homes = materialise(home.unionByName(own))
+    """(id, home, part): the group of each set that met another in a list. Large groups are cut into parts by hash."""
+    homes = materialise(leaders.groupBy("id").agg(F.min("leader").alias("home")))
     sizes = materialise(homes.groupBy("home").agg(F.count(F.lit(1)).alias("members")))
     parts = F.ceil(c("members") / float(GROUP)).cast("bigint")
     return attach_groups(homes, sizes, "home", "members").select(

@@ -1,5 +1,6 @@
 """Jaccard join against comparing all pairs."""
 
+import itertools
 import random
 import re
 
@@ -67,6 +68,19 @@ def test_equals_all_pairs(spark, monkeypatch, group, block, hot):
     assert got(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("group,block", [(512, 128), (4, 3)])
+def test_links_of_a_set_that_no_smaller_id_reaches(spark, monkeypatch, group, block):
+    """The middle text is linked with both others, which are not similar to one another, in all orders of ids."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = []
+    for k, order in enumerate([*itertools.permutations((88, 120, 103))] * 8):
+        rows += [(3 * k + i, " ".join(f"f{k}w{j}" for j in range(n))) for i, n in enumerate(order)]
+    found = got(spark, rows)
+    assert found == brute(rows)
+    assert {component for _, _, component in found} == set(range(0, len(rows), 3))
+
+
 def test_other_settings(spark):
     rng = random.Random(3)
     rows = family(rng, 30, 40, 6)

@@ -54,7 +54,7 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir))
+    return score_documents(documents(spark, sf_dir), min_counts={})
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -448,6 +448,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the log10 probability of the text in the n-gram model. Levels of the trie go to ``folder``, by default
     below spark.checkpoint.dir, and are removed when the scores are written.
 
+    ``min_counts`` leaves out n-grams of a level seen fewer times (``MIN_COUNTS`` if not given). Their share is not
+    given to the others, so ``score`` is a probability only with ``min_counts={}``.
+
     Null text counts as empty: one token, the end. Null ids belong to the fold of the empty id; repeated rows count as
     often as they stand there and are scored alike. With no training rows all counts are 0. An empty
     table gives an empty result; other columns are not read.

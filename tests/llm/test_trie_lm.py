@@ -6,9 +6,12 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from stocklens.llm import elias_fano, trie_lm
+from stocklens.llm import elias_fano, queries, trie_lm
+from stocklens.llm.hashed_words import hashed_words
+from tests.llm.conftest import SF
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -79,6 +82,30 @@ def test_probabilities_sum_to_one(spark, tmp_path):
     assert all(rows[i]["score"] == pytest.approx(score, abs=0.01) for i, *_, score in got)
 
 
+def test_query_counts_all_trigrams(spark, rows):
+    got = sorted(map(tuple, queries.op4_trie_lm(spark, SF).collect()))
+    for g, w in zip(got, sorted(brute(rows, 3, {})), strict=True):
+        assert g[0] == w[0] and abs(g[6] - w[6]) <= w[2] * 1.01 / trie_lm.QUANT
+
+
+def test_all_trigrams_sum_to_one_over_the_vocabulary(spark, monkeypatch, tmp_path):
+    """The token behind a text is set to each word, the end, and a word never seen."""
+    texts = ["a b c", "a b d", "a b e", "c d", "a b"]
+    known, total = trie_lm.build_trie(spark.createDataFrame(list(enumerate(texts)), "id long, text string"),
+                                      str(tmp_path / "t"), min_counts={})
+    hash_of = {w: next(iter(hashed_words(pa.array([w]))))[1][0] for w in ["a", "b", "c", "d", "e", "unseen"]}
+    run = trie_lm._score(known, total, 3, ["id", "n_tokens", "n_known", "base_score", "score"])
+
+    def score(text, then):
+        monkeypatch.setattr(trie_lm, "END", then)
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])
+        return next(run(iter([batch]))).column(4)[0].as_py()
+
+    end, context = trie_lm.END, score("a", hash_of["b"])
+    sums = sum(10 ** (score("a b", w) - context) for w in [*hash_of.values(), end])
+    assert sums == pytest.approx(1, abs=0.01)
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 0), (1, 10**12), (300, 300), (5000, 10**6), (5000, 2**40), (4096, 7)])
 def test_elias_fano(n, top, tmp_path):
     rng = np.random.default_rng(n + top % 97)

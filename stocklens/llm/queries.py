@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens.llm.byte_bpe import encode_bytes
 from stocklens.llm.compression_quality import score_quality
 from stocklens.llm.exact_dedup import exact_copies
 from stocklens.llm.jaccard_join import similar_components
@@ -90,6 +91,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir), keep="max")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode_bytes(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # Lower-casing of A to Z as DuckDB writes it.
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
@@ -177,6 +189,7 @@ QUERIES = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_compression_quality": op9_compression_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES = {
     "op5_jaccard_join": _OP5,

@@ -16,6 +16,7 @@ from stocklens.llm.piece_bpe import encode_documents
 from stocklens.llm.subword_toxicity import score_toxicity
 from stocklens.llm.suffix_dedup import remove_repeats
 from stocklens.llm.trie_lm import score_documents
+from stocklens.llm.whitening import whiten
 from stocklens.session import let_workers_import
 
 
@@ -91,6 +92,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir), keep="max")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    white = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    parts = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return parts.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened",
+        F.get("explained", "at").alias("explained"), "identity_error")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -189,6 +199,7 @@ QUERIES = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_compression_quality": op9_compression_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_whitening": op12_whitening,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens.llm.best_position import rank_documents
 from stocklens.llm.byte_bpe import encode_bytes
 from stocklens.llm.compression_quality import score_quality
 from stocklens.llm.exact_dedup import exact_copies
@@ -92,6 +93,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir), keep="max")
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     white = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -188,6 +193,20 @@ select doc_id, size::bigint as size, source_size, target, (copies * size)::bigin
 from f
 """
 
+_TERMS = r"""regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+_OP11 = f"""
+with d as (select doc_id, {_TERMS.format(_LOWER)} as terms from documents),
+s as (select count(*) filter (len(terms) > 0) as nn, sum(len(terms))::bigint as ll from d),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS.format(_LOWER)}) as term from benchmark) group by 1, 2),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, len(terms)::bigint as n, unnest(terms) as term from d)
+      where term in (select term from q) group by 1, 2, 3),
+w as (select term, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)))::bigint as w from p, s group by term),
+r as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nn) // ll)))))::bigint as score
+      from q join p using (term) join w using (term), s group by 1, 2)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from r where score > 0 qualify rank <= 10
+"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_subword_toxicity": op2_subword_toxicity,
@@ -199,6 +218,7 @@ QUERIES = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_compression_quality": op9_compression_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_best_position": op11_best_position,
     "op12_whitening": op12_whitening,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -207,4 +227,5 @@ ORACLES = {
     "op1_license_scan": _OP1,
     "op7_mixing": _OP7,
     "op10_exact_dedup": _OP10,
+    "op11_best_position": _OP11,
 }

@@ -230,7 +230,7 @@ for _key, _spec in _GROUPS.items():
 QUERIES["a13_description_groups"] = lambda spark, sf: duplicates.description_groups(_cat(spark, sf))
 ORACLES["a13_description_groups"] = oracle(["catalog"], _T0 + """
 select md5(lower(lp)) as group_id, n as group_size, row_idx, code,
- case when length(lower(lp)) > 200 then substr(lower(lp), 1, 200) || '...' else lower(lp) end as preview
+ lower(lp) as preview
 from (select *, count(*) over (partition by lower(lp)) as n from t0 where length(lp) > 50) where n > 1""")
 
 _VAR = """, v as (select c.*, c.parent_code in (select code from catalog) as known,
@@ -501,5 +501,5 @@ ORACLES["p03_p28_product_expressions"] = oracle(["catalog"], f"""select row_idx,
  array_to_string(list_filter({_KW}, lambda w: not {_WK}), ' ') as strong, array_to_string(list_filter({_KW}, lambda w: {_WK}), ' ') as weak,
  case when trim(category_text) <> '' then trim(category_text) when trim(default_category) <> '' then trim(default_category) else 'Bez kategorie' end as category,
  floor(price * 0.87 * 100.0 + 0.5) / 100.0 as discounted,
- substr(trim(regexp_replace(regexp_replace(case when description <> '' then description else short_description end, '<[^>]*>?', '', 'g'), {d.q(tx.WS + '+')}, ' ', 'g')), 1, 500) as review
+ trim(regexp_replace(regexp_replace(case when description <> '' then description else short_description end, '<[^>]*>?', '', 'g'), {d.q(tx.WS + '+')}, ' ', 'g')) as review
 from catalog""")

@@ -107,7 +107,7 @@ def _queue(spark, sf):
 
 _add("r04_review_queue", _queue, f"""
 select rv.row_idx, rv.code, position, (position - 1) // 10 as batch_id,
- substr(trim(regexp_replace(regexp_replace(case when description <> '' then description else short_description end, '<[^>]*>?', '', 'g'), {d.q(d.WS + '+')}, ' ', 'g')), 1, 500) as review_text,
+ trim(regexp_replace(regexp_replace(case when description <> '' then description else short_description end, '<[^>]*>?', '', 'g'), {d.q(d.WS + '+')}, ' ', 'g')) as review_text,
  (select string_agg(platform || ':' || id, ',' order by platform, rank) from cand where cand.ctx = rv.ctx and rank <= 15) as candidates
 from rv join catalog c on c.row_idx = rv.row_idx""", more=True)
 

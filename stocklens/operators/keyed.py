@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many groups are treated as hot, which bounds what is broadcast.
-MAX_HOT_GROUPS = 1_000_000
+from stocklens.session import materialise
+
+# At most this many groups are treated as hot, which bounds what is broadcast; a key that is not hot holds less than
+# this share of all rows.
+MAX_HOT_GROUPS = 20_000
 # A group below this size is never hot.
 MIN_HOT_ROWS = 20_000
-# Rows per block when a group is numbered or ordered.
-BLOCK_ROWS = 50_000
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -47,38 +48,51 @@ def _hashable(df: DataFrame, column: str) -> bool:
 
 
 def number_rows(rows: DataFrame, group: list[str], rank: Column, idx: str, out: str,
-                descending: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                descending: bool = True, parts: int | None = None) -> DataFrame:
     """``row_number()`` over (partition by group order by rank, idx) without one task per group.
 
-    Rows are cut into blocks (group, rank value, range of ``idx``); block sizes are added up and
-    the offset joined back, so no task sorts more than a block. ``idx`` is the input position.
+    All rows are sorted into ranges of (group, rank, idx), ``idx`` being unique: ranges are even, however many rows a
+    group or a rank value has. Rows are numbered inside their range and group, and a prefix sum over
+    the ranges of a group gives what lies before. Only groups that go on from the range before need it, one
+    for each range at most, so that is what is broadcast. Rows without a group are a group; null ranks come
+    last when descending, else first.
     """
-    blocks = [*group, "_rank", "_block"]
-    r = rows.withColumn("_rank", rank).withColumn("_block", F.floor(F.col(idx) / F.lit(block_rows)))
-    sizes = r.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = sizes.groupBy(*group, "_rank").agg(F.sum("_n").alias("_rank_n"))
     order = F.col("_rank").desc() if descending else F.col("_rank").asc()
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    rank_offsets = ranks.select(*group, "_rank", F.coalesce(F.sum("_rank_n").over(
-        _window(before, group, order)), F.lit(0)).alias("_o1"))
-    block_offsets = sizes.select(*blocks, F.coalesce(F.sum("_n").over(
-        _window(before, [*group, "_rank"], F.col("_block"))), F.lit(0)).alias("_o2"))
-    offsets = block_offsets.join(rank_offsets, [*group, "_rank"]).select(
-        *blocks, (F.col("_o1") + F.col("_o2")).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy(*blocks).orderBy(idx))
-    return (r.join(offsets, blocks)
-            .withColumn(out, (F.col("_offset") + local).cast("bigint"))
-            .select(*rows.columns, out))
-
-
-def _window(before, partition: list[str], order: Column):
-    # an empty partition list is only used on block counts, never on rows
-    return before.partitionBy(*partition).orderBy(order) if partition else before.orderBy(order)
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 8) -> DataFrame:
-    """Inner join where a key may be hot on the left: left rows are spread over ``salts`` copies
-    of the (smaller) right side."""
-    l = left.withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    r = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return l.join(r, [key, "_s"]).drop("_s")
+    ranked = rows.withColumn("_rank", rank)
+    by = [*group, order, idx]
+    ranges = ranked.repartitionByRange(parts, *by) if parts else ranked.repartitionByRange(*by)
+    # written, so that the ranges stay what they are when a lost task is run again
+    placed = materialise(ranges.withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter("_before > 0").select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), "_before")
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    local = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order, idx))
+    return placed.withColumn(out, local).join(F.broadcast(carried), same, "left").withColumn(
+        out, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("bigint")).select(*rows.columns, out)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: Column, counts: DataFrame | None = None,
+                how: str = "inner") -> DataFrame:
+    """Join on ``key``, which may be hot on the left: its rows go to as many copies of the right rows as its number asks for.
+
+    A key is hot above MIN_HOT_ROWS rows, or 1/MAX_HOT_GROUPS of all rows if that is more, and gets a copy of its right
+    rows for every such number. So fewer than MAX_HOT_GROUPS keys (two numbers each) are broadcast, and no key brings
+    more left rows into one task. ``left`` is read twice, unless ``counts`` (key, m) is given; ``spread`` tells its rows apart.
+    Null keys meet nothing.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left joins can copy the right rows")
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("m")) if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).scalar()
+    bound = F.greatest(F.lit(MIN_HOT_ROWS), total / F.lit(MAX_HOT_GROUPS))
+    hot = F.broadcast(counts.filter(F.col(key).isNotNull() & (F.col("m") > bound)).select(
+        F.col(key).alias("_hk"), F.ceil(F.col("m") / bound).cast("int").alias("_copies")))
+    salt = F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_copies")).cast("int"))
+    many = left.join(hot, F.col(key) == F.col("_hk"), "left").withColumn("_salt", salt).drop("_hk", "_copies")
+    copies = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)
+    few = right.join(hot, F.col(key) == F.col("_hk"), "left").withColumn("_salt", F.explode(copies)).drop("_hk", "_copies")
+    return many.join(few, [key, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions import keywords as kw, text as tx
-from stocklens.operators.keyed import attach_groups, number_rows, salted_join
+from stocklens.operators.keyed import attach_groups, number_rows, spread_join
 from stocklens.session import materialise
 
 c = F.col
@@ -90,7 +90,7 @@ def score_categories(words: DataFrame, taxonomy: DataFrame) -> DataFrame:
     strong_points = F.when(c("leaf_strong") == 1, 100).when(c("path_strong") == 1, 20).otherwise(0)
     weak_points = F.when((c("leaf_strong") == 1) | (c("leaf_weak") == 1), 5).otherwise(0)
     # a common word ("set") may occur in a large share of all texts
-    summed = salted_join(words, hits, "word", c("ctx")).groupBy("ctx", "platform", "id").agg(
+    summed = spread_join(words, hits, "word", c("ctx")).groupBy("ctx", "platform", "id").agg(
         F.sum(c("n_strong") * strong_points + c("n_weak") * weak_points).alias("points"),
         F.sum(c("n_strong") * c("leaf_strong")).alias("strong"), F.first("accessory").alias("accessory"))
     trap = F.when(c("cat_accessory") & ~c("accessory"), 150).otherwise(0)

@@ -8,12 +8,14 @@ verified on the full sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions import text as tx
 from stocklens.operators.issues import WARNING, AuditParams, as_issues
-from stocklens.operators.keyed import MAX_HOT_GROUPS, attach_groups
+from stocklens.operators.keyed import attach_groups, spread_join
 from stocklens.operators.products import product_rows
 from stocklens.session import materialise
 
@@ -21,8 +23,10 @@ c = F.col
 
 # The threshold 0.8 as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
-# Rows of one word and size band that one task compares; larger lists are cut.
+# Rows of one part of a word's list; about twice as many at most. Two parts meet in a cell, so a cell is bounded too.
 LIST_ROWS = 4_000
+# Rounds in which sets are compared with one set of their list only, before the rest is compared.
+STAR_ROUNDS = 2
 
 
 def unique_texts(catalog: DataFrame) -> DataFrame:
@@ -68,58 +72,107 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
 
 
-def similar_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b, shared, n_a, n_b) of all pairs a < b with similarity above 0.8."""
+def word_lists(sets: DataFrame) -> DataFrame:
+    """Rows (tok, g, row_idx, n, pos, band, block, part, parts): sets by the words of their prefixes.
+
+    A list (tok, g) holds the sets of band g and, as possible smaller partners, those of the band before. A list
+    longer than LIST_ROWS is cut into parts in the order (n, block), by running sums over the counts of its
+    blocks; ``parts`` is their number. Blocks divide all sets by hash, so no key of a join here is hot.
+    """
     prefix = F.slice("toks", F.lit(1), c("n") - F.floor((c("n") * NUM + DEN - 1) / DEN).cast("int") + 1)
-    postings = sets.select("row_idx", "n", F.posexplode(prefix).alias("pos", "tok")).withColumn("band", _band(c("n")))
-    # long lists are cut into parts; every part meets the whole other side, so no pair is lost
-    lists = postings.groupBy("tok", "band").agg(F.count(F.lit(1)).alias("m"))
-    total = lists.agg(F.coalesce(F.sum("m"), F.lit(0))).scalar()
-    long_lists = F.broadcast(lists.filter(
-        c("m") > F.greatest(F.lit(LIST_ROWS), total / F.lit(MAX_HOT_GROUPS * 16))).select(
-        "tok", "band", F.ceil(c("m") / F.lit(LIST_ROWS)).cast("int").alias("parts")))
-    larger = postings.join(long_lists, ["tok", "band"], "left").select(
-        "tok", "band", F.when(c("parts").isNull(), 0).otherwise(
-            F.pmod(F.hash("row_idx"), c("parts"))).alias("part"),
-        c("row_idx").alias("i2"), c("n").alias("n2"), c("pos").alias("p2"))
-    smaller = postings.withColumn("band", F.explode(F.array(c("band"), c("band") + 1))).join(
-        long_lists, ["tok", "band"], "left").select(
-        "tok", "band", F.explode(F.sequence(F.lit(0), F.coalesce(c("parts"), F.lit(1)) - 1)).alias("part"),
-        c("row_idx").alias("i1"), c("n").alias("n1"), c("pos").alias("p1"))
-    # similarity > 4/5  <=>  9 * shared > 4 * (n1 + n2)
-    rest = F.least(c("n1") - c("p1"), c("n2") - c("p2"))
-    candidates = smaller.join(larger, ["tok", "band", "part"]).filter(
-        ((c("n1") < c("n2")) | ((c("n1") == c("n2")) & (c("i1") < c("i2"))))
-        & (c("n1") * DEN > c("n2") * NUM) & (rest * (NUM + DEN) > (c("n1") + c("n2")) * NUM)
-    ).select("i1", "i2").distinct()
+    blocks = F.greatest(F.ceil(sets.agg(F.count(F.lit(1))).scalar() * 2 / F.lit(LIST_ROWS)), F.lit(1))
+    rows = sets.select(
+        "row_idx", "n", F.pmod(F.xxhash64("row_idx"), blocks).alias("block"), F.posexplode(prefix).alias("pos", "tok")).withColumn(
+        "band", _band(c("n"))).withColumn("g", F.explode(F.array(c("band"), c("band") + 1)))
+    rows = materialise(rows)
+    long_lists = rows.groupBy("tok", "g").agg(F.count(F.lit(1)).alias("total")).filter(c("total") > LIST_ROWS)
+    counts = rows.join(long_lists, ["tok", "g"]).groupBy("tok", "g", "total", "n", "block").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy("tok", "g").orderBy("n", "block").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("m").over(before), F.lit(0)) / F.lit(LIST_ROWS))
+    cuts = counts.select("tok", "g", "n", "block", part.cast("int").alias("part"),
+                         F.ceil(c("total") / F.lit(LIST_ROWS)).cast("int").alias("parts"))
+    return rows.join(cuts, ["tok", "g", "n", "block"], "left").withColumns({
+        "part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
+
+
+def _may_be_similar(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+    """Bounds by the sizes of two sets and the places of a shared word; similarity > 4/5  <=>  9 * shared > 4 * (n1 + n2)."""
+    rest = F.least(n1 - p1, n2 - p2)
+    return ((F.least(n1, n2) * DEN > F.greatest(n1, n2) * NUM) & (rest * (NUM + DEN) > (n1 + n2) * NUM))
+
+
+def candidate_pairs(lists: DataFrame, different: str | None = None) -> DataFrame:
+    """(i1, i2) that share a word of their prefixes within the bounds; with ``different``, a column that must differ.
+
+    The part pairs of a list are cells of a triangle: a row meets the parts from its own on as the smaller set,
+    and those up to its own as the larger one, so no cell holds more than two parts, however long the list is.
+    """
+    side = lambda k: [c("row_idx").alias(f"i{k}"), c("n").alias(f"n{k}"), c("pos").alias(f"p{k}"), c("block").alias(f"b{k}"),
+                      *([c(different).alias(f"d{k}")] if different else [])]
+    smaller = lists.select("tok", "g", c("part").alias("lo"), F.explode(F.sequence("part", c("parts") - 1)).alias("hi"), *side(1))
+    larger = lists.filter(c("band") == c("g")).select(
+        "tok", "g", F.explode(F.sequence(F.lit(0), "part")).alias("lo"), c("part").alias("hi"), *side(2))
+    # the order of the parts decides which of two sets of one size is the smaller one
+    ordered = F.struct("n1", "b1", "i1") < F.struct("n2", "b2", "i2")
+    met = smaller.join(larger, ["tok", "g", "lo", "hi"]).filter(
+        ordered & _may_be_similar(c("n1"), c("p1"), c("n2"), c("p2")) & ((c("d1") != c("d2")) if different else F.lit(True)))
+    return met.select("i1", "i2").distinct()
+
+
+def star_candidates(lists: DataFrame, turn: int, different: str | None = None) -> DataFrame:
+    """(i1, i2) of each set and one set of its part of a list, another one in each turn: at most one row for each row of a list."""
+    chosen = lists.groupBy("tok", "g", "part").agg(F.min_by(
+        F.struct("row_idx", "n", "pos", *([c(different)] if different else [])),
+        F.xxhash64("row_idx", F.lit(turn))).alias("star"))
+    met = lists.join(chosen, ["tok", "g", "part"]).filter(
+        (c("row_idx") != c("star.row_idx")) & _may_be_similar(c("n"), c("pos"), c("star.n"), c("star.pos"))
+        & ((c(different) != c(f"star.{different}")) if different else F.lit(True)))
+    return met.select(F.least("row_idx", "star.row_idx").alias("i1"), F.greatest("row_idx", "star.row_idx").alias("i2")).distinct()
+
+
+def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, union_n) of the candidates with similarity above 0.8, by whole sets; a set may be in many pairs."""
+    candidates = materialise(candidates)
     left = sets.select(c("row_idx").alias("i1"), c("toks").alias("t1"), c("n").alias("n1"))
     right = sets.select(c("row_idx").alias("i2"), c("toks").alias("t2"), c("n").alias("n2"))
-    shared = F.size(F.array_intersect("t1", "t2"))
-    return candidates.join(left, "i1").join(right, "i2").withColumn("shared", shared).filter(
+    many = candidates.groupBy("i2").agg(F.count(F.lit(1)).alias("m"))
+    both = spread_join(spread_join(candidates, left, "i1", c("i2")), right, "i2", c("i1"), many)
+    return both.withColumn("shared", F.size(F.array_intersect("t1", "t2"))).filter(
         c("shared") * (NUM + DEN) > (c("n1") + c("n2")) * NUM).select(
         F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"), "shared",
         (c("n1") + c("n2") - c("shared")).alias("union_n"))
 
 
+def similar_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b, shared, union_n) of all pairs a < b with similarity above 0.8."""
+    return verified(candidate_pairs(word_lists(sets)), sets)
+
+
+def _compared(catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts, their classes, and the word sets of the first text of each class."""
+    texts = materialise(unique_texts(catalog))
+    classes = materialise(word_classes(texts))
+    firsts = classes.filter(c("row_idx") == c("first_idx")).select("row_idx")
+    return texts, classes, materialise(ordered_sets(texts.join(firsts, "row_idx", "left_semi")))
+
+
 def near_duplicate_pairs(catalog: DataFrame) -> DataFrame:
     """Pairs (a earlier than b) with similarity in whole percent.
 
     Products with the same word set form a class: each is paired with the first of its class, and
-    classes are compared once, through their first products. The output grows with the number of
-    distinct texts, not with the square of a group of copies.
+    classes are compared once, through their first products. Between different word sets all pairs are
+    rows of the result; :func:`near_duplicate_groups` needs no such rows.
     """
-    texts = materialise(unique_texts(catalog))
-    classes = materialise(word_classes(texts))
-    firsts = classes.filter(c("row_idx") == c("first_idx")).select("row_idx")
-    sets = materialise(ordered_sets(texts.join(firsts, "row_idx", "left_semi")))
+    texts, classes, sets = _compared(catalog)
     names = texts.select("row_idx", "code", "name")
     percent = F.floor(c("shared") * 100.0 / c("union_n") + 0.5).cast("int")
     between = similar_pairs(sets).select("a", "b", percent.alias("similarity"))
     within = classes.filter(c("row_idx") != c("first_idx")).select(
         c("first_idx").alias("a"), c("row_idx").alias("b"), F.lit(100).alias("similarity"))
+    pairs = materialise(between.unionByName(within))
     n = lambda s: names.select(*[c(x).alias(f"{s}_{x}") for x in ("row_idx", "code", "name")])
-    return between.unionByName(within).join(n("a"), c("a") == c("a_row_idx")).join(
-        n("b"), c("b") == c("b_row_idx")).select(
+    named = spread_join(pairs.withColumnRenamed("a", "a_row_idx"), n("a"), "a_row_idx", c("b"))
+    return named.join(n("b"), c("b") == c("b_row_idx")).select(
         "a_row_idx", "a_code", "a_name", "b_row_idx", "b_code", "b_name", "similarity")
 
 
@@ -171,11 +224,37 @@ def _small_star(edges: DataFrame) -> DataFrame:
         low.select(c("m").alias("a"), c("u").alias("b"))).distinct()
 
 
+def star_groups(sets: DataFrame) -> DataFrame:
+    """(node, component) of the sets that are similar to others, without all pairs.
+
+    First each set is compared with one set of each of its lists, whose links join most of a family of similar
+    sets: n sets give about n links. Then only sets that are not joined yet are compared; two sets of different
+    components are the only ones whose similarity still matters, so the components are those of all pairs.
+    """
+    lists, links, joined = materialise(word_lists(sets)), [], None
+    for turn in range(STAR_ROUNDS):
+        open_lists = lists if joined is None else _with_component(lists, joined)
+        links.append(materialise(verified(star_candidates(
+            open_lists, turn, None if joined is None else "component"), sets).select("a", "b")))
+        joined = connected_groups(reduce(DataFrame.unionByName, links))
+    rest = verified(candidate_pairs(_with_component(lists, joined), "component"), sets).select("a", "b")
+    return connected_groups(reduce(DataFrame.unionByName, [*links, rest]))
+
+
+def _with_component(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    known = joined.select(c("node").alias("row_idx"), "component")
+    return materialise(lists.drop("component").join(known, "row_idx", "left").withColumn(
+        "component", F.coalesce("component", "row_idx")))
+
+
 def near_duplicate_groups(catalog: DataFrame) -> DataFrame:
-    """Near-duplicate groups: (group_id, row_idx, code, group_size)."""
-    pairs = near_duplicate_pairs(catalog)
-    parts = connected_groups(pairs.select(c("a_row_idx").alias("a"), c("b_row_idx").alias("b")))
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"))
-    members = attach_groups(parts, sizes, "component", "group_size")
-    return members.join(catalog.select(c("row_idx").alias("node"), "code"), "node").select(
-        c("component").alias("group_id"), c("node").alias("row_idx"), "code", "group_size")
+    """Near-duplicate groups: (group_id, row_idx, code, group_size); the representative of a group is its first product, ``group_id``."""
+    _, classes, sets = _compared(catalog)
+    parts = star_groups(sets)
+    firsts = classes.filter(c("row_idx") == c("first_idx")).join(parts, c("row_idx") == c("node"), "left").select(
+        "class_id", "class_size", F.coalesce("component", "row_idx").alias("group_id"))
+    firsts = materialise(firsts)
+    sizes = firsts.groupBy("group_id").agg(F.sum("class_size").alias("group_size"), F.count(F.lit(1)).alias("n"))
+    placed = materialise(attach_groups(firsts, sizes, "group_id", "n").filter("group_size > 1").drop("n"))
+    members = attach_groups(classes.select("row_idx", "class_id"), placed, "class_id", "class_size").filter("group_id is not null")
+    return members.join(catalog.select("row_idx", "code"), "row_idx").select("group_id", "row_idx", "code", "group_size")

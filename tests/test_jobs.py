@@ -30,19 +30,34 @@ def test_attach_groups_with_hot_key(spark, tiny_blocks):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_number_rows_equals_window(spark):
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_number_rows_equals_window(spark, parts):
+    """Many rank values and few, null keys and ranks, and a key that holds nine of ten rows."""
+    rows = skewed(spark).withColumn("v", F.when(F.col("row_idx") % 11 > 0, F.col("row_idx") * 7919 % 1000))
+    rows = rows.withColumn("key", F.when(F.col("row_idx") % 10 > 0, "hot").otherwise(F.col("key")))
+    for group, rank, descending in ((["key"], F.col("v"), True), (["key"], F.col("row_idx") % 4, False), ([], F.col("v"), False)):
+        got = keyed.number_rows(rows, group, rank, "row_idx", "pos", descending, parts)
+        w = Window.partitionBy(*group).orderBy(rank.desc() if descending else rank.asc(), "row_idx")
+        want = rows.withColumn("pos", F.row_number().over(w).cast("bigint"))
+        assert got.exceptAll(want).isEmpty() and got.count() == want.count() and got.columns == want.columns
+
+
+def test_numbering_gives_no_task_a_whole_group(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("row_idx"), F.lit("one").alias("key"), (F.col("id") % 3).alias("v"))
+    got = keyed.number_rows(rows, ["key"], F.col("v"), "row_idx", "pos", parts=8)
+    ranges = spark.read.parquet(*got.inputFiles()).groupBy("_range").count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 5_000
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join(spark, tiny_blocks, how):
     rows = skewed(spark)
-    got = keyed.number_rows(rows, ["key"], F.col("v"), "row_idx", "pos", block_rows=100)
-    w = Window.partitionBy("key").orderBy(F.desc("v"), "row_idx")
-    filled = rows.filter("key is not null").withColumn("want", F.row_number().over(w))
-    joined = got.join(filled.select("row_idx", "want"), "row_idx")
-    assert joined.filter("pos <> want").isEmpty() and joined.count() == filled.count()
-
-
-def test_salted_join(spark):
-    rows = skewed(spark)
-    small = rows.select("key").distinct().withColumn("x", F.length("key"))
-    assert keyed.salted_join(rows, small, "key", F.col("row_idx")).count() == rows.filter("key is not null").count()
+    small = rows.select("key").distinct().filter("key <> 'k7' or key is null").withColumn("x", F.length("key"))
+    small = small.union(small)
+    got, want = keyed.spread_join(rows, small, "key", F.col("row_idx"), how=how), rows.join(small, "key", how)
+    assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count() > 3000
+    counts = rows.groupBy("key").agg(F.count("*").alias("m"))
+    assert keyed.spread_join(rows, small, "key", F.col("row_idx"), counts, how).count() == want.count()
 
 
 def texts(spark, seed=1, n=120):
@@ -58,10 +73,8 @@ def texts(spark, seed=1, n=120):
     return rows
 
 
-def test_near_duplicates_equal_brute_force(spark, tiny_blocks):
-    rows = texts(spark)
-    df = spark.createDataFrame(rows, "row_idx long, code string, name string, description string")
-    got = {(r["a_row_idx"], r["b_row_idx"], r["similarity"]) for r in nd.near_duplicate_pairs(df).collect()}
+def brute_pairs(rows):
+    """(first of each class and a later member, 100), and pairs of firsts above 0.8 with their similarity."""
     by_text = {}
     for i, _, _, t in rows:
         by_text.setdefault(t, []).append(i)
@@ -76,7 +89,74 @@ def test_near_duplicates_equal_brute_force(spark, tiny_blocks):
         for j, b in firsts[x + 1:]:
             if 5 * len(a & b) > 4 * len(a | b):
                 want.add((min(i, j), max(i, j), int(100 * len(a & b) / len(a | b) + 0.5)))
+    return want
+
+
+def brute_groups(pairs):
+    """Smallest member of each member's group."""
+    group = {}
+    for a, b, _ in pairs:
+        group.setdefault(a, a)
+        group.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b, _ in pairs:
+            low = min(group[a], group[b])
+            if group[a] != low or group[b] != low:
+                group[a] = group[b] = low
+                changed = True
+    return group
+
+
+def with_common_word(rows, share=0.9):
+    """A word that nine of ten texts hold, among the first of their lists since all words are common."""
+    return [(i, code, name, (t + " everywhere") if i % 10 < share * 10 else t) for i, code, name, t in rows]
+
+
+TEXTS = "row_idx long, code string, name string, description string"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_equal_brute_force(spark, tiny_blocks, seed):
+    rows = with_common_word(texts(spark, seed))
+    df = spark.createDataFrame(rows, TEXTS)
+    got = {(r["a_row_idx"], r["b_row_idx"], r["similarity"]) for r in nd.near_duplicate_pairs(df).collect()}
+    want = brute_pairs(rows)
     assert got == want and len(want) > 20
+    groups = brute_groups(want)
+    rows = nd.near_duplicate_groups(df).collect()
+    assert {r["row_idx"]: r["group_id"] for r in rows} == groups
+    assert all(r["group_size"] == sum(g == r["group_id"] for g in groups.values()) for r in rows)
+
+
+def test_long_lists_are_cut(spark, monkeypatch):
+    """A word in all texts: each set meets all others once, and no cell or part holds more rows than its bound."""
+    monkeypatch.setattr(nd, "LIST_ROWS", 40)
+    n = 600
+    sets = spark.range(n).select(F.col("id").alias("row_idx"), F.concat(F.array(F.lit(1).cast("bigint")), F.sequence(
+        F.col("id") * 10 + 10, F.col("id") * 10 + 15)).alias("toks")).withColumn("n", F.size("toks"))
+    lists = nd.word_lists(sets)
+    parts = lists.filter("tok = 1 and band = g").groupBy("part").count().collect()
+    assert len(parts) >= n // 40 and max(r["count"] for r in parts) <= 120
+    monkeypatch.setattr(nd, "_may_be_similar", lambda *a: F.lit(True))
+    assert nd.candidate_pairs(lists).count() == n * (n - 1) // 2
+
+
+def test_family_of_similar_texts_needs_few_links(spark, monkeypatch):
+    """Texts of one family: stars join nearly all, so far fewer pairs than the square are compared."""
+    base, rnd = [f"word{i}" for i in range(80)], random.Random(5)
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[rnd.randrange(80)] = f"own{i}"
+        rows.append((i, f"P{i}", "n", " ".join(words)))
+    seen = []
+    check = nd.verified
+    monkeypatch.setattr(nd, "verified", lambda pairs, sets: seen.append(pairs.count()) or check(pairs, sets))
+    got = nd.near_duplicate_groups(spark.createDataFrame(rows, TEXTS)).collect()
+    assert {r["group_id"] for r in got} == {0} and len(got) == 150
+    assert sum(seen) < 150 * 149 // 2 // 4
 
 
 def test_connected_groups(spark, tiny_blocks):

@@ -75,24 +75,28 @@ def number_rows(rows: DataFrame, group: list[str], rank: Column, idx: str, out:
         out, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("bigint")).select(*rows.columns, out)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, spread: Column, counts: DataFrame | None = None,
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], spread: Column, counts: DataFrame | None = None,
                 how: str = "inner") -> DataFrame:
-    """Join on ``key``, which may be hot on the left: its rows go to as many copies of the right rows as its number asks for.
+    """Join on ``key`` (one or more columns), which may be hot on the left: its rows go to as many copies of the right
+    rows as its number asks for.
 
     A key is hot above MIN_HOT_ROWS rows, or 1/MAX_HOT_GROUPS of all rows if that is more, and gets a copy of its right
-    rows for every such number. So fewer than MAX_HOT_GROUPS keys (two numbers each) are broadcast, and no key brings
+    rows for every such number. So fewer than MAX_HOT_GROUPS keys (with a number each) are broadcast, and no key brings
     more left rows into one task. ``left`` is read twice, unless ``counts`` (key, m) is given; ``spread`` tells its rows apart.
     Null keys meet nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can copy the right rows")
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("m")) if counts is None else counts
+    keys = [key] if isinstance(key, str) else key
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")) if counts is None else counts
     total = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).scalar()
     bound = F.greatest(F.lit(MIN_HOT_ROWS), total / F.lit(MAX_HOT_GROUPS))
-    hot = F.broadcast(counts.filter(F.col(key).isNotNull() & (F.col("m") > bound)).select(
-        F.col(key).alias("_hk"), F.ceil(F.col("m") / bound).cast("int").alias("_copies")))
+    hot = F.broadcast(counts.filter(F.col("m") > bound).select(
+        *[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], F.ceil(F.col("m") / bound).cast("int").alias("_copies")))
+    mark = lambda df: df.join(hot, [F.col(k) == F.col(f"_hk{i}") for i, k in enumerate(keys)], "left")
+    helpers = [*[f"_hk{i}" for i in range(len(keys))], "_copies"]
     salt = F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_copies")).cast("int"))
-    many = left.join(hot, F.col(key) == F.col("_hk"), "left").withColumn("_salt", salt).drop("_hk", "_copies")
     copies = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)
-    few = right.join(hot, F.col(key) == F.col("_hk"), "left").withColumn("_salt", F.explode(copies)).drop("_hk", "_copies")
-    return many.join(few, [key, "_salt"], how).drop("_salt")
+    many = mark(left).withColumn("_salt", salt).drop(*helpers)
+    few = mark(right).withColumn("_salt", F.explode(copies)).drop(*helpers)
+    return many.join(few, [*keys, "_salt"], how).drop("_salt")

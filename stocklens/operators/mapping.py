@@ -20,6 +20,10 @@ CANDIDATES = 20
 ACCEPT_SCORE = 100
 SHOWN_CANDIDATES = 15
 REVIEW_BATCH = 10
+# Points for each strong word in the name of a category, from two on.
+BONUS = 30
+# Entries that the first look for a threshold reads, in times of the wanted number; at least one list is read.
+SEED_ENTRIES = 8
 
 
 def product_contexts(products: DataFrame) -> DataFrame:
@@ -77,31 +81,102 @@ def match_words(product_words: DataFrame, taxonomy_words: DataFrame) -> DataFram
     return same.unionByName(inside_p).unionByName(inside_t).distinct()
 
 
-def score_categories(words: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(ctx, platform, id, score) with score above 0."""
+def category_hits(words: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(word, platform, id, strong_points, weak_points, leaf_strong): what a word of a text brings to each category that it matches."""
     cat_words = category_words(taxonomy)
     hits = match_words(words, cat_words).join(
         cat_words.withColumnRenamed("word", "cat_word"), "cat_word").groupBy("word", "platform", "id").agg(
         F.max("leaf_strong").alias("leaf_strong"), F.max("leaf_weak").alias("leaf_weak"),
         F.max("path_strong").alias("path_strong"))
+    return hits.select(
+        "word", "platform", "id", F.when(c("leaf_strong") == 1, 100).when(c("path_strong") == 1, 20).otherwise(0).alias("strong_points"),
+        F.when((c("leaf_strong") == 1) | (c("leaf_weak") == 1), 5).otherwise(0).alias("weak_points"), "leaf_strong")
+
+
+def _points() -> list[Column]:
+    return [F.sum(c("n_strong") * c("strong_points") + c("n_weak") * c("weak_points")).alias("points"),
+            F.sum(c("n_strong") * c("leaf_strong")).alias("strong")]
+
+
+def _scored(summed: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(ctx, platform, id, score) with score above 0, of points, strong words and the accessory flag."""
     path = F.when(~tx.empty(c("full_path")), c("full_path")).otherwise(c("name"))
     traits = taxonomy.select("platform", "id", kw.is_accessory(tx.normalize_text(c("name"))).alias("cat_accessory"),
                              F.size(F.split(path, "[|>]")).alias("depth"))
-    strong_points = F.when(c("leaf_strong") == 1, 100).when(c("path_strong") == 1, 20).otherwise(0)
-    weak_points = F.when((c("leaf_strong") == 1) | (c("leaf_weak") == 1), 5).otherwise(0)
-    # a common word ("set") may occur in a large share of all texts
-    summed = spread_join(words, hits, "word", c("ctx")).groupBy("ctx", "platform", "id").agg(
-        F.sum(c("n_strong") * strong_points + c("n_weak") * weak_points).alias("points"),
-        F.sum(c("n_strong") * c("leaf_strong")).alias("strong"), F.first("accessory").alias("accessory"))
     trap = F.when(c("cat_accessory") & ~c("accessory"), 150).otherwise(0)
     base = c("points") - trap
     none, several = c("strong") == 0, c("strong") >= 2
-    score = (F.when(none, F.floor(base / 4)).otherwise(base) + F.when(several, c("strong") * 30).otherwise(0)
+    score = (F.when(none, F.floor(base / 4)).otherwise(base) + F.when(several, c("strong") * BONUS).otherwise(0)
              - F.when(none & (c("depth") > 4), c("depth") * 5).otherwise(0))
     return summed.join(traits, ["platform", "id"]).select("ctx", "platform", "id", score.cast("bigint").alias("score")).filter(
         "score > 0")
 
 
+def score_categories(words: DataFrame, taxonomy: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """R01 in full: (ctx, platform, id, score) of every category with score above 0."""
+    hits = category_hits(words, taxonomy) if hits is None else hits
+    # a common word ("set") may occur in a large share of all texts
+    summed = spread_join(words, hits, "word", c("ctx")).groupBy("ctx", "platform", "id").agg(
+        *_points(), F.first("accessory").alias("accessory"))
+    return _scored(summed, taxonomy)
+
+
+def bounded_words(words: DataFrame, hits: DataFrame) -> DataFrame:
+    """(ctx, platform, word, n_strong, n_weak, accessory, entries, bound): how many categories of a platform a word of a
+    text matches, and the most that it can add to the score of one."""
+    lists = hits.groupBy("word", "platform").agg(
+        F.count(F.lit(1)).alias("entries"), F.max("strong_points").alias("_s"), F.max("weak_points").alias("_w"), F.max("leaf_strong").alias("_l"))
+    bound = c("n_strong") * (c("_s") + c("_l") * BONUS) + c("n_weak") * c("_w")
+    return spread_join(words, lists, "word", c("ctx")).select(
+        "ctx", "platform", "word", "n_strong", "n_weak", "accessory", "entries", bound.alias("bound"))
+
+
+def with_threshold(terms: DataFrame, hits: DataFrame, taxonomy: DataFrame, limit: int) -> DataFrame:
+    """``terms`` with ``threshold``, a score that at least ``limit`` categories reach (0 if unknown), whether the word is
+    needed to find the best ones, and ``rest``, the most that the other words add together.
+
+    The threshold comes from the rarest words: a text's shortest lists up to SEED_ENTRIES entries. A score above 0 only
+    grows with further words, so it is a lower bound. Then the words that bring the least for their entries are put
+    aside as long as their bounds add up to less than the threshold: a category that matches only those can't be among the best.
+    """
+    group = Window.partitionBy("ctx", "platform")
+    read = F.sum("entries").over(group.orderBy("entries", "word").rowsBetween(Window.unboundedPreceding, -1))
+    seeds = terms.withColumn("_read", F.coalesce(read, F.lit(0))).filter(c("_read") < SEED_ENTRIES * limit).drop("_read")
+    scores = _scored(_summed(seeds, hits, []), taxonomy)
+    place = F.row_number().over(group.orderBy(c("score").desc()))
+    reached = scores.withColumn("_place", place).filter(c("_place") <= limit).filter(c("_place") == limit).select(
+        "ctx", "platform", c("score").alias("threshold"))
+    least = group.orderBy(c("bound") / c("entries"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    marked = terms.join(reached, ["ctx", "platform"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0))).withColumn(
+        "needed", F.sum("bound").over(least) >= c("threshold"))
+    return marked.withColumn("rest", F.sum(F.when(~c("needed"), c("bound")).otherwise(0)).over(group))
+
+
+def _summed(terms: DataFrame, hits: DataFrame, kept: list[str]) -> DataFrame:
+    """Points per text and category over the given words; ``kept`` are columns that depend on text and platform alone."""
+    return spread_join(terms, hits, ["word", "platform"], c("ctx")).groupBy("ctx", "platform", "id").agg(
+        *_points(), F.first("accessory").alias("accessory"), *[F.first(x).alias(x) for x in kept])
+
+
+def best_categories(words: DataFrame, taxonomy: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(ctx, platform, id, score) of at least the ``limit`` best categories, ties included: whole scores of all that may be among them.
+
+    Words that match very many categories are not joined to all of them: categories come from the needed words,
+    and the others are looked up for those whose points so far, with all that the others may add, reach the threshold.
+    """
+    hits = materialise(category_hits(words, taxonomy))
+    terms = materialise(with_threshold(materialise(bounded_words(words, hits)), hits, taxonomy, limit))
+    found = _summed(terms.filter("needed"), hits, ["threshold", "rest"])
+    left = materialise(found.filter(c("points") + c("strong") * BONUS + c("rest") >= c("threshold")).drop("threshold"))
+    others = terms.filter(~c("needed")).select("ctx", "platform", "word", "n_strong", "n_weak")
+    asked = left.filter("rest > 0").select("ctx", "platform", "id", "accessory").join(others, ["ctx", "platform"])
+    more = spread_join(asked, hits, ["word", "platform", "id"], c("ctx")).groupBy("ctx", "platform", "id").agg(
+        *_points(), F.first("accessory").alias("accessory"))
+    whole = left.drop("rest").unionByName(more).groupBy("ctx", "platform", "id").agg(
+        F.sum("points").alias("points"), F.sum("strong").alias("strong"), F.first("accessory").alias("accessory"))
+    return _scored(whole, taxonomy)
+
+
 def top_candidates(scores: DataFrame, taxonomy: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """Best categories per text and platform, ties by id; a group is as large as a taxonomy."""
     w = Window.partitionBy("ctx", "platform").orderBy(c("score").desc(), "id")
@@ -112,7 +187,7 @@ def top_candidates(scores: DataFrame, taxonomy: DataFrame, limit: int = CANDIDAT
 
 def candidates(contexts: DataFrame, taxonomy: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     words = materialise(context_words(contexts))
-    return top_candidates(score_categories(words, taxonomy), taxonomy, limit)
+    return top_candidates(best_categories(words, taxonomy, limit), taxonomy, limit)
 
 
 def _target(confidence: int) -> Column:

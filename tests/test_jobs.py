@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stocklens.operators import enrichment as en, keyed, linking, mapping, near_duplicates as nd, tools
 from stocklens.operators.linking import LinkSettings
+from stocklens.session import materialise
 
 
 @pytest.fixture
@@ -275,3 +276,38 @@ def test_promotion(spark):
 def test_czech_order(spark):
     df = spark.createDataFrame([(x,) for x in ("Chata", "Hrad", "Bez kategorie", "Cena", "Čaj")], "category string")
     assert [r[0] for r in tools.sorted_categories(df).collect()] == ["Cena", "Čaj", "Hrad", "Chata", "Bez kategorie"]
+
+
+def mapped_words(spark, seed, n_texts=60, n_cats=400):
+    """Texts of rare and common words, and a taxonomy whose paths hold the common ones."""
+    rnd = random.Random(seed)
+    rare, common = [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(40)], ["zbozi", "dilna", "zahrada", "stroje"]
+    cats = []
+    for i in range(n_cats):
+        name = " ".join(rnd.sample(rare, rnd.randint(1, 2)) + (["prislusenstvi"] if i % 9 == 0 else []))
+        cats.append((rnd.choice(["p", "q"]), f"c{i}", name, " > ".join([*rnd.sample(common, rnd.randint(1, 4)), "x y z", name])))
+    products = [(i, f"P{i}", " ".join(rnd.sample(rare, rnd.randint(0, 3)) + rnd.sample(common, rnd.randint(0, 4)) + rnd.choice([[], ["set"], ["obal"]])), "", "")
+                for i in range(n_texts)]
+    contexts = mapping.product_contexts(spark.createDataFrame(
+        products, "row_idx long, code string, name string, category_text string, default_category string"))
+    return (materialise(mapping.context_words(contexts)), spark.createDataFrame(cats, "platform string, id string, name string, full_path string"))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_best_categories_are_those_of_whole_sums(spark, tiny_blocks, monkeypatch, seed):
+    monkeypatch.setattr(mapping, "SEED_ENTRIES", 2)
+    words, taxonomy = mapped_words(spark, seed)
+    for limit in (1, 5):
+        want = materialise(mapping.top_candidates(mapping.score_categories(words, taxonomy), taxonomy, limit))
+        got = materialise(mapping.top_candidates(mapping.best_categories(words, taxonomy, limit), taxonomy, limit))
+        assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 60
+
+
+def test_words_of_many_categories_are_looked_up_only(spark):
+    words, taxonomy = mapped_words(spark, 7, n_texts=30, n_cats=3000)
+    hits = materialise(mapping.category_hits(words, taxonomy))
+    every = words.join(hits, "word").count()
+    terms = materialise(mapping.with_threshold(mapping.bounded_words(words, hits), hits, taxonomy, 5))
+    needed = terms.filter("needed").join(hits, ["word", "platform"]).count()
+    assert needed < every / 2
+    assert terms.filter("not needed and bound >= threshold").isEmpty()

@@ -483,3 +483,29 @@ def _stream(s, f):
 
 
 _add("t01_t03_alert_stream", _stream, _ST + "select poll_id, platform, previous, status from ch where alert", _SV)
+
+
+def _poll_log(s, f):
+    """A log of all polls that grows while it is watched: its earlier half is read to the end, then the later one after a restart."""
+    log, folder = (f"{scratch_dir(s)}/{x}-{uuid.uuid4().hex}" for x in ("polls", "status"))
+    polls = load(s, f, "status_polls")
+    failed = c("poll_id") % 11 == 0
+    service = F.when(c("indicator") == "none", "is Operational").when(c("indicator") == "minor", "has Degraded Performance").when(
+        c("indicator") == "major", "Partial Outage").when(c("indicator") == "critical", "Major Outage").otherwise("talks")
+    is_feed = c("platform") == "platform_1"
+    body = F.when(failed, None).when(is_feed, F.concat(F.lit("<rss><description>Service "), service, F.lit("</description></rss>"))).otherwise(
+        F.concat(F.lit('{"status":{"indicator":"'), "indicator", F.lit('"}}')))
+    lines = polls.select("ts", F.to_json(F.struct(
+        "poll_id", F.date_format(c("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("fetched_at"), "platform",
+        F.when(is_feed, "feed").otherwise("json").alias("kind"), body.alias("body"))).alias("value"))
+    half = polls.agg(F.min("ts") + (F.max("ts") - F.min("ts")) / 2).scalar()
+    for part in (c("ts") < half, c("ts") >= half):
+        lines.filter(part).select("value").write.mode("append").text(log)
+        st.monitor(st.poll_stream(s, log), folder, interval=None).awaitTermination()
+    return st.read_alerts(s, folder).select("poll_id", "platform", "previous", "status")
+
+
+_add("t03_poll_log", _poll_log, """, pl as (select poll_id, ts, platform, case when poll_id % 11 = 0 then 'unknown' else case indicator
+  when 'none' then 'operational' when 'minor' then 'degraded' when 'major' then 'partial_outage' when 'critical' then 'major_outage' else 'unknown' end end as status from status_polls)
+select * from (select poll_id, platform, lag(status) over (partition by platform order by ts, poll_id) as previous, status from pl)
+where status in ('partial_outage', 'major_outage') and (previous is null or previous in ('operational', 'degraded', 'unknown'))""", _SV)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from stocklens.session import materialise
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 c = F.col
 
@@ -112,36 +112,89 @@ def current_view(platforms: DataFrame, state: DataFrame) -> DataFrame:
         F.coalesce("indicator", F.lit("unknown")).alias("indicator"), "last_checked", "last_changed")
 
 
+# What the state store keeps of a platform; times as microseconds since 1970.
+STATE = "status string, status_text string, indicator string, last_checked bigint, last_changed bigint"
+
+
+def _track(_key, frames, state):
+    """Polls of one platform in one micro-batch, each with what was known before it; the state moves on to the last one."""
+    polls = pd.concat(list(frames), ignore_index=True).sort_values(["_us", "poll_id"], kind="stable")
+    known = state.get if state.exists else (None, None, None, None, None)
+    if known[3] is not None:
+        polls = polls[polls["_us"] > known[3]]
+    if polls.empty:
+        return
+    before = polls["status"].shift(1).astype(object)
+    before.iloc[0] = known[0]
+    before = before.where(before.notna(), None)
+    changed = before.isna() | (before != polls["status"])
+    alert = (before.isna() | before.isin(CALM)) & polls["status"].isin(OUTAGE)
+    last = polls.iloc[-1]
+    moved = int(polls["_us"][changed].iloc[-1]) if changed.any() else known[4]
+    state.update((last["status"], last["status_text"], last["indicator"], int(last["_us"]), moved))
+    yield polls.drop(columns="_us").assign(previous=before, changed=changed.astype(bool), alert=alert.astype(bool))
+
+
+def tracked(polls: DataFrame) -> DataFrame:
+    """The polls of a stream with previous status, whether it changed, and whether it calls for an alert.
+
+    The state store keeps one row per platform. Polls not newer than a platform's last check, and polls without
+    a time, are ignored. A task sorts the polls of one platform in a micro-batch; the source bounds these.
+    """
+    out = StructType([*polls.schema.fields, StructField("previous", StringType()), StructField("changed", BooleanType()), StructField("alert", BooleanType())])
+    timed = polls.filter(c("ts").isNotNull()).withColumn("_us", F.unix_micros(c("ts").cast("timestamp")))
+    return timed.groupBy("platform").applyInPandasWithState(_track, out, STATE, "append", "NoTimeout")
+
+
 def monitor(polls: DataFrame, folder: str, interval: str | None = "5 minutes") -> StreamingQuery:
-    """A stream of polls to alert and state tables under ``folder``.
+    """A stream of polls to the table of alerts under ``folder``; the state is in the stream's checkpoint there.
 
-    Every micro-batch reads the state of the batch before, so repeating a batch after a failure
-    gives the same files; a state that is missing stops the stream, since going on would forget and alert
-    again. Only the first batch has none. Polls not newer than a platform's last check are ignored. Without an
-    interval all available polls are read once.
+    A batch that is repeated after a failure finds the state of the batch before, and its files count once. A state that
+    is missing stops the stream. Without an interval all polls that are there are read, and the stream ends.
     """
-    def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{folder}/state/v{epoch - 1}") if epoch else None
-        fresh = batch
-        if state is not None:
-            seen = state.select("platform", "last_checked")
-            fresh = batch.join(seen, "platform", "left").filter(
-                c("last_checked").isNull() | (c("ts") > c("last_checked"))).select(*batch.columns)
-        changes = materialise(status_changes(fresh, state))  # alerts and state read it
-        changes.filter("alert").write.mode("overwrite").parquet(f"{folder}/alerts/epoch={epoch}")
-        next_state(changes, state).write.mode("overwrite").parquet(f"{folder}/state/v{epoch}")
-        spark.createDataFrame([(epoch,)], "epoch long").write.mode("overwrite").parquet(f"{folder}/latest")
-
-    writer = polls.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress")
+    writer = tracked(polls).filter("alert").writeStream.format("parquet").outputMode("append").option(
+        "path", f"{folder}/alerts").option("checkpointLocation", f"{folder}/progress")
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
 
-def read_alerts(spark, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/alerts").drop("epoch")
+def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/alerts")
+
 
+def read_state(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per platform, out of the state store: status, texts, last check, last change."""
+    rows = spark.read.format("statestore").load(f"{folder}/progress")
+    kept = c("value.groupState")
+    time = lambda x: F.timestamp_micros(kept[x]).alias(x)
+    return rows.select(c("key.platform").alias("platform"), kept["status"].alias("status"), kept["status_text"].alias("status_text"),
+                       kept["indicator"].alias("indicator"), time("last_checked"), time("last_changed"))
 
-def read_state(spark, folder: str) -> DataFrame:
-    epoch = spark.read.parquet(f"{folder}/latest").first()["epoch"]
-    return spark.read.parquet(f"{folder}/state/v{epoch}")
+
+# A line of a poll log: when and for whom an answer was asked for, its kind (json or feed) and its text, null if none came.
+POLL_LINE = "poll_id bigint, fetched_at timestamp, platform string, kind string, body string"
+
+
+def parse_poll_lines(lines: DataFrame) -> DataFrame:
+    """Polls (poll_id, ts, platform, status, status_text, indicator) of the lines of a poll log.
+
+    An answer that did not come or can't be read is a row of its own with the status unknown. A line that is no JSON
+    names no platform and no time; it is left out.
+    """
+    r = lines.select(F.from_json("value", POLL_LINE).alias("r")).select("r.*").filter("platform is not null and fetched_at is not null")
+    json, feed = parse_json_poll(c("body")), parse_feed_poll(c("body"))
+    is_feed = c("kind") == "feed"
+    answered = r.withColumn("json", json).withColumn("feed", feed)
+    pick = lambda x: F.when(is_feed, c(f"feed.{x}")).otherwise(c(f"json.{x}")).alias(x)
+    return answered.select("poll_id", c("fetched_at").alias("ts"), "platform", pick("status"), pick("status_text"),
+                           F.when(is_feed, F.lit("unknown")).otherwise(c("json.indicator")).alias("indicator"))
+
+
+def poll_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Polls of a growing folder of poll logs, one JSON object in a line (:data:`POLL_LINE`).
+
+    The stream keeps the files that it has read as its offset, so each poll is read once, also after a restart. A micro-batch
+    reads ``files_per_batch`` files at most, oldest first.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    return parse_poll_lines(lines)

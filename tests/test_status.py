@@ -1,5 +1,8 @@
+import json
+import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from stocklens.streaming import status as st
@@ -44,6 +47,59 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     assert {r["platform"]: (r["status"], r["last_checked"], r["last_changed"]) for r in st.read_state(spark, folder).collect()} == want
 
 
+def test_state_is_kept_once_per_platform_and_batches_are_not_counted_twice(spark, tmp_path):
+    """Restarts without new polls change nothing; a late poll and one at the time of the last check are ignored."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    polls(spark, ROWS).write.parquet(source)
+    run = lambda: st.monitor(spark.readStream.schema(SCHEMA).parquet(source), folder, interval=None).awaitTermination()
+    run()
+    alerts, state = st.read_alerts(spark, folder).collect(), st.read_state(spark, folder).collect()
+    run()
+    polls(spark, [(9, 80, "a", "operational"), (10, 3, "b", "operational")]).write.mode("append").parquet(source)
+    run()
+    assert sorted(st.read_alerts(spark, folder).collect()) == sorted(alerts)
+    assert sorted(st.read_state(spark, folder).collect()) == sorted(state) and len(state) == 2
+    polls(spark, [(11, 81, "a", "operational"), (12, 82, "a", "major_outage"), (13, 83, "c", "unknown")]).write.mode("append").parquet(source)
+    run()
+    assert {r["poll_id"] for r in st.read_alerts(spark, folder).collect()} == {r["poll_id"] for r in alerts} | {12}
+    assert {r["platform"]: r["status"] for r in st.read_state(spark, folder).collect()} == {"a": "major_outage", "b": "unknown", "c": "unknown"}
+
+
+def test_a_missing_state_stops_the_stream(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), tmp_path / "out"
+    polls(spark, ROWS).write.parquet(source)
+    run = lambda: st.monitor(spark.readStream.schema(SCHEMA).parquet(source), str(folder), interval=None).awaitTermination()
+    run()
+    (folder / "progress" / "state").rename(folder / "progress" / "gone")
+    polls(spark, [(20, 200, "a", "operational")]).write.mode("append").parquet(source)
+    with pytest.raises(Exception):
+        run()
+
+
+def line(poll_id, hour, platform, kind, body):
+    return json.dumps({"poll_id": poll_id, "fetched_at": f"2024-01-01T{hour:02d}:00:00Z", "platform": platform, "kind": kind, "body": body})
+
+
+def test_poll_log_in_two_batches(spark, tmp_path):
+    """Failed and unreadable answers are rows; files are read once, oldest first."""
+    source, folder = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    outage, fine = '{"status":{"indicator":"critical","description":"Down"}}', '{"status":{"indicator":"none"}}'
+    first = [line(1, 0, "a", "json", fine), line(2, 1, "a", "json", None), line(3, 2, "a", "json", outage), "no json",
+             line(4, 0, "b", "feed", "<description>X is Operational</description>")]
+    second = [line(5, 3, "a", "json", "<html>"), line(6, 4, "b", "feed", "<description>X Major Outage</description>"), line(7, 5, "a", "json", outage)]
+    for k, lines in enumerate((first, second)):
+        (source / f"{k}.txt").write_text("\n".join(lines))
+        os.utime(source / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))
+    parsed = {r["poll_id"]: (r["status"], r["status_text"]) for r in st.parse_poll_lines(spark.read.text(str(source))).collect()}
+    assert parsed[2] == ("unknown", "Unable to fetch status") == parsed[5] and len(parsed) == 7
+    assert parsed[6] == ("major_outage", "Major Outage (1 services)")
+    query = st.monitor(st.poll_stream(spark, str(source), files_per_batch=1), folder, interval=None)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 2
+    assert {r["poll_id"]: r["previous"] for r in st.read_alerts(spark, folder).collect()} == {3: "unknown", 6: "operational", 7: "unknown"}
+
+
 def test_feeds(spark):
     feed = lambda *x: "<rss><description>Status page</description>" + "".join(f"<description>S {d}</description>" for d in x)
     cases = [(feed("is Operational", "Major Outage", "Partial outage"), "major_outage", "Major Outage (1 services)"),

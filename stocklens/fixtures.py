@@ -19,9 +19,9 @@ select
  case when p.p_partkey % 110 in (2, 3) then concat('Twin ', p.p_partkey - p.p_partkey % 10)
       when p.p_partkey % 83 = 0 then repeat(concat(p.p_name, ' '), 8) when p.p_partkey % 89 = 0 then substr(p.p_name, 1, 6)
       when p.p_partkey % 10 = 1 then concat(p.p_name, ' - ', p.p_size) else concat(p.p_name, ' ', p.p_brand) end as name,
- case when p.p_partkey = 77 then 'Solo' when p.p_partkey % 71 = 0 then '' else concat(p.p_type, ' > ', split_part(p.p_name, ' ', 2), case when p.p_size > 40 then ' > big > huge > giant' else '' end) end as default_category,
+ case when p.p_partkey = 77 then 'Solo' when p.p_partkey = 87 then concat(p.p_type, ' > Alone') when p.p_partkey % 71 = 0 then '' else concat(p.p_type, ' > ', split_part(p.p_name, ' ', 2), case when p.p_size > 40 then ' > big > huge > giant' else '' end) end as default_category,
  case when p.p_partkey = 77 then 'Solo' when p.p_partkey % 71 = 0 then '' else concat(p.p_type, ' | ', split_part(p.p_name, ' ', 2)) end as category_text,
- case when p.p_partkey % 5 = 0 then split_part(p.p_name, ' ', 1) else '' end as category_text2,
+ case when p.p_partkey = 77 then 'Second' when p.p_partkey % 5 = 0 then split_part(p.p_name, ' ', 1) else '' end as category_text2,
  case when p.p_partkey % 113 = 5 then concat('Test popis ', d.text)
       when p.p_partkey % 113 = 11 then concat(repeat('<div>', 10), d.text, repeat('</div>', 10))
       when p.p_partkey % 113 = 17 then concat(d.text, repeat('<p></p>', 7))

@@ -16,8 +16,6 @@ c = F.col
 
 SCHEMA = "struct<filtering:array<struct<name:string,value:string>>,text:array<struct<key:string,value:string>>>"
 FILTER_PREFIX, TEXT_PREFIX = "filteringProperty:", "textProperty"
-# Fixed limit on parameter columns of one output file.
-MAX_COLUMNS = 2_000
 
 
 def source_columns(columns: list[str]) -> dict[str, Column]:
@@ -142,22 +140,31 @@ def edit_parameters(rows: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def parameter_names(params: DataFrame, max_filtering: int) -> list[str]:
-    """Names that become columns; a file with more than MAX_COLUMNS of them is refused."""
+    """Names that become columns, all of them: the columns of a table are known to the driver."""
     names = params.select(F.explode(F.slice("filtering", 1, max_filtering)).alias("x")).select(
-        c("x")["name"].alias("name")).distinct().orderBy("name").limit(MAX_COLUMNS + 1).collect()
-    if len(names) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} parameter names")
-    return [r["name"] for r in names]
+        c("x")["name"].alias("name")).distinct().orderBy("name")
+    return [r["name"] for r in names.collect()]
+
+
+def long_output(params: DataFrame, max_filtering: int = 5) -> DataFrame:
+    """E09 for any number of names: rows (row_idx, position, name, value) in place of a column for each name."""
+    return params.select("row_idx", F.posexplode(F.slice("filtering", 1, max_filtering)).alias("position", "x")).select(
+        "row_idx", "position", c("x")["name"].alias("name"), c("x")["value"].alias("value"))
 
 
 def wide_output(products: DataFrame, params: DataFrame, max_filtering: int = 5, max_text: int = 3,
                 clear_existing: bool = False) -> DataFrame:
     """Original columns, filtering columns by name, text parameters in free slots.
 
-    A new filtering column takes the last value of its name, an existing one only fills if empty.
+    A new filtering column takes the last value of its name, an existing one only fills if empty. The values of
+    a row are put into two maps by name once, which all columns read.
     """
     names = parameter_names(params, max_filtering)
-    joined = products.join(params.select("row_idx", F.slice("filtering", 1, max_filtering).alias("_f"),
+    kept = F.slice("filtering", 1, max_filtering)
+    keys = F.array_distinct(F.transform(kept, lambda x: x["name"]))
+    values = lambda n: F.transform(F.filter(kept, lambda x: x["name"] == n), lambda x: x["value"])
+    by_name = lambda at: F.map_from_arrays(keys, F.transform(keys, lambda n: F.element_at(values(n), at)))
+    joined = products.join(params.select("row_idx", by_name(1).alias("_first"), by_name(-1).alias("_last"),
                                          F.slice("text", 1, max_text).alias("_t")), "row_idx", "left")
     cols, slots = {}, {}
     for x in products.columns:
@@ -168,11 +175,10 @@ def wide_output(products: DataFrame, params: DataFrame, max_filtering: int = 5,
         cols[x] = F.lit("") if wiped else F.coalesce(c(f"`{x}`").cast("string"), F.lit(""))
     for n in names:
         col = f"{FILTER_PREFIX}{n}"
-        values = F.transform(F.filter(c("_f"), lambda x: x["name"] == n), lambda x: x["value"])
         if col in products.columns:
-            cols[col] = F.when(cols[col] == "", F.coalesce(F.get(values, F.lit(0)), F.lit(""))).otherwise(cols[col])
+            cols[col] = F.when(cols[col] == "", F.coalesce(F.try_element_at("_first", F.lit(n)), F.lit(""))).otherwise(cols[col])
         else:
-            cols[col] = F.coalesce(F.try_element_at(values, F.lit(-1)), F.lit(""))
+            cols[col] = F.coalesce(F.try_element_at("_last", F.lit(n)), F.lit(""))
     last = max(slots, default=0) + max_text
     taken = {k: cols[v] for k, v in slots.items()}
     free = F.filter(F.array(*[F.when(tx.blank(taken[k]) if k in taken else F.lit(True), F.lit(k)) for k in range(1, last + 1)]),

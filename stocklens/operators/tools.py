@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions import text as tx
 from stocklens.functions.category import search_score
-from stocklens.functions.values import money
+from stocklens.functions.values import money, parse_bool
 from stocklens.operators.keyed import number_rows
 
 c = F.col
@@ -93,6 +93,15 @@ def promotion_rows(products: DataFrame, p: Promotion) -> DataFrame:
     return select_promotion(products, p).select(*cols)
 
 
+def active_flags(products: DataFrame) -> DataFrame:
+    """F05 as a table: each flag of the products with the number of products that have it (1, true, yes, ano)."""
+    found = flags(products.columns)
+    counts = [F.count_if(parse_bool(c(f"`{x}FlagActive`").cast("string"))).alias(f"n{i}") for i, x in enumerate(found)]
+    pairs = F.array(*[F.struct(F.lit(x).alias("flag"), c(f"n{i}").alias("products")) for i, x in enumerate(found)]) if found else (
+        F.array().cast("array<struct<flag:string,products:bigint>>"))
+    return products.agg(F.count(F.lit(1)).alias("_"), *counts).select(F.inline(pairs))
+
+
 def flags(columns: list[str]) -> list[str]:
     """slugs of the ``<slug>FlagActive`` columns."""
     return [m.group(1) for m in (re.match(r"^(.+)FlagActive$", x) for x in columns) if m]

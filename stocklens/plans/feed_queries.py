@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from stocklens.fixtures import load, oracle, table
 from stocklens.functions import parameters as pm
-from stocklens.functions import url as ur
+from stocklens.functions import url as ur, values as vl
 from stocklens.operators import enrichment as en, tools
 from stocklens.operators.issues import AuditParams, issue_codes
 from stocklens.operators.report import worst_status
@@ -18,6 +18,7 @@ from stocklens.plans import duck as d
 from stocklens.plans.audit_queries import ORACLES as AUDIT
 from stocklens.session import scratch_dir
 from stocklens.sources import catalog as sc, gates, sinks, taxonomy as tax
+from stocklens.sources.platform import ExportAdapter
 from stocklens.streaming import status as st
 
 QUERIES, ORACLES = {}, {}
@@ -257,6 +258,55 @@ def _gate_row(s, f):
 _add("s08_s09_gates", _gate_row, """select count(*) as rows, 'ok|missing columns: pairCode|columns not allowed: ean' as linking, ' Cena ' as found from catalog""")
 
 
+def _linking_file(s, f):
+    return _cat(s, f).select("code", "name", c("default_category").alias("defaultCategory"), c("category_text").alias("categoryText"),
+                             c("category_text2").alias("categoryText2"), "ean", c("price").alias(" Cena "))
+
+
+def _verdicts(s, f):
+    """Verdicts of all columns, and the text that the gate refuses the file with in the row of the first one."""
+    df = _linking_file(s, f)
+    refused = "; ".join(gates.linking_gate(df).errors)
+    return gates.column_report(df).withColumn("refused", F.when(c("column") == "code", refused))
+
+
+_add("s09_column_verdicts", _verdicts, ", catalog2 as (select *, coalesce(cast(price as varchar), '') as p from catalog)\n" + " union all ".join(
+    f"select {d.q(x)} as \"column\", {d.q(v)} as verdict, {n} as filled, {r} as refused from catalog2" for x, v, n, r in [
+        ("code", "required", "count(*) filter (trim(code) <> '')", "'missing columns: pairCode'"), ("name", "required", "count(*) filter (trim(name) <> '')", "null"),
+        ("defaultCategory", "required", "count(*) filter (trim(default_category) <> '')", "null"),
+        ("categoryText", "required", "count(*) filter (trim(category_text) <> '')", "null"),
+        ("categoryText2", "allowed", "count(*) filter (trim(category_text2) <> '')", "null"),
+        ("ean", "not allowed", "count(*) filter (trim(ean) <> '')", "null"), (" Cena ", "not allowed", "count(*) filter (p <> '')", "null"),
+        ("pairCode", "missing", "count(*) filter (false)", "null")]))
+_add("s08_found_columns", lambda s, f: gates.meaning_report(_linking_file(s, f).drop("code")), """
+select 'image' as meaning, null as "column", 0 as filled union all select 'price', ' Cena ', count(*) filter (price is not null) from catalog
+union all select 'name', 'name', count(*) filter (trim(name) <> '') from catalog union all select 'code', 'ean', count(*) filter (trim(ean) <> '') from catalog""")
+_add("p05_p06_stock_and_dates", lambda s, f: _cat(s, f).select(
+    "row_idx", vl.parse_stock(F.when(c("row_idx") % 3 == 0, F.concat(F.lit(" "), c("stock"), F.lit(".5 "))).when(c("row_idx") % 3 == 1, c("availability"))).alias("stock"),
+    F.unix_micros(vl.parse_date(c("price") * 20, T.DoubleType())).alias("from_number"),
+    F.unix_micros(vl.parse_date(F.when(c("row_idx") % 4 == 0, "").when(c("row_idx") % 4 == 1, c("name")).otherwise(
+        c("created_at").cast("string")), T.StringType())).alias("from_text")), """
+select row_idx, case when row_idx % 3 = 0 then cast(stock || '.5' as double) else 0.0 end as stock,
+ cast(trunc((price * 20 - 25569) * 86400000) as bigint) * 1000 as from_number, case when row_idx % 4 in (2, 3) then epoch_us(created_at) end as from_text from catalog""")
+
+
+def _adapter(s, f):
+    """An export with spreadsheet line ends, cleaned, checked and turned into requests by the platform's adapter."""
+    a = ExportAdapter()
+    raw = _cat(s, f).select("code", "name", c("short_description").alias("shortDescription"), F.concat(
+        F.lit("x_x000d_\r\n"), "manufacturer").alias("manufacturer"), F.lit("").alias("description"), "row_idx")
+    parsed = a.parse(raw)
+    refusals = len(a.validate(parsed.drop("row_idx")).errors)
+    found = a.find(parsed.columns, "name")
+    return a.requests(parsed, [found, "manufacturer"]).select(
+        c("row_idx").cast("bigint").alias("row_idx"), "source_text", "error", F.lit(refusals).alias("refusals"))
+
+
+_add("platform_adapter_requests", _adapter, """
+select row_idx, concat_ws(chr(10) || chr(10), case when name <> '' then 'Název produktu: ' || name end, 'Výrobce: x' || chr(10) || manufacturer) as source_text,
+ null as error, 0 as refusals from catalog""")
+
+
 def _coverage(s, f):
     cat = _cat(s, f).select("code", F.when(c("row_idx") % 3 == 0, c("name")).otherwise(" ").alias("name"),
                             F.when(c("row_idx") % 5 == 0, c("short_description")).otherwise("").alias("shortDescription"),

@@ -42,10 +42,9 @@ _FIXED = Promotion(flag="sale", discount_fixed=950.5)
 _add("f04_fixed_discount", lambda s, d: tools.promotion_rows(_cat(s, d), _FIXED), """
 select code, pair_code as pairCode, 1 as saleFlagActive,
  case when price is null then 0 else greatest(floor((price - 950.5::double) * 100.0 + 0.5) / 100.0, 0.0) end as actionPrice from catalog""")
-_add("f05_flags", lambda s, d: _cat(s, d).agg(
-    F.count(F.lit(1)).alias("n"),
-    F.lit(",".join(tools.flags([*_cat(s, d).columns, "newFlagActive", "tipFlagActive"]))).alias("flags")),
-    "select count(*) as n, 'new,tip' as flags from catalog")
+_add("f05_flags", lambda s, d: tools.active_flags(_cat(s, d).withColumns({
+    "newFlagActive": F.col("is_new"), "tipFlagActive": F.col("is_action").cast("int"), "flagActive": F.lit("1")})), """
+select 'new' as flag, count(*) filter (is_new) as products from catalog union all select 'tip', count(*) filter (is_action) from catalog""")
 _add("f06_search", lambda s, d: tools.search_products(_cat(s, d), "Blue").select("row_idx", "code", "name"), """
 select row_idx, code, name from catalog where contains(lower(name), 'blue') or contains(lower(code), 'blue')
  or contains(lower(short_description), 'blue')""")

@@ -123,10 +123,12 @@ select link, min(page_id) as page_id, arg_min(page_url, page_id) as source, coun
 _add("f11_crawlable_links", lambda s, f: sp.crawlable(sp.page_links(_pages(s, f))), _PG + _HREFS + f"""
 select page_id, page_url, link from ln where regexp_replace({_origin('link')}, '^[a-z]+://', '') = regexp_replace(site, '^[a-z]+://', '')
  and not regexp_matches(lower(link), {d.q(ur.ASSET_PATTERN)})""")
-_add("f10_page_sample", lambda s, f: sp.sample_pages(_pages(s, f).select("page_id", "url"), "fixture", 120, 30, 20), _PG + """
-, r as (select url, row_number() over (order by page_id) as a, row_number() over (order by page_id desc) as z, page_id from pg)
-, m as (select url, row_number() over (order by md5('fixture|' || url), page_id) as k from r where a > 30 and z > 20)
-select url from r where a <= 30 or z <= 20 union select url from m where k <= 70""")
+_add("f10_page_sample", lambda s, f: sp.sample_pages(table(s, f, "orders").select(
+    c("o_orderkey").alias("page_id"), F.concat(F.lit("https://shop.example/order/"), "o_orderkey").alias("url")), "fixture"), """with r as (
+ select url, row_number() over (order by page_id) as a, row_number() over (order by page_id desc) as z, page_id
+ from (select o_orderkey as page_id, 'https://shop.example/order/' || o_orderkey as url from orders))
+, m as (select url, row_number() over (order by md5('fixture|' || url), page_id) as k from r where a > 100 and z > 50)
+select url from r where a <= 100 or z <= 50 union select url from m where k <= 350""")
 _add("p27_normalized_urls", lambda s, f: _pages(s, f).select(
     "page_id", ur.normalize_page_url(c("url")).alias("norm"), ur.host(c("url")).alias("host"), ur.is_asset(c("url")).alias("asset")), f"""with site_pages as ({SITE_PAGES})
 select page_id, regexp_replace(regexp_replace(url, '^(https?://[^/?#]+)([?#].*)?$', '\\1/\\2'), '^(https?://[^/?#]+/[^?#]*)/([?#].*)?$', '\\1\\2') as norm,
@@ -284,13 +286,17 @@ def _trust(s, f):
     first = pages.groupBy(ur.origin(c("url")).alias("site")).agg(F.min("page_id").alias("page_id"))
     home = first.join(pages.select("page_id", "html"), "page_id").select("site", F.when(
         F.length("site") % 2 == 0, F.concat("html", F.lit('<footer>© 2021 tel. +420 123 456 789, IČO: 12345678</footer>'))).otherwise(c("html")).alias("html"))
-    paths = [p for ps in sr.TRUST_PATHS.values() for p in ps]
-    return sr.trust_analysis(_sites(s, f), _probes(s, f, paths), home, 2024)
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, ps in enumerate(sr.TRUST_PATHS.values()) for p in ps]))
+    url = F.concat("site", "w.p")
+    # one kind of page is missing on each site
+    probes = _sites(s, f).select("site", kinds.alias("w")).select(url.alias("url"), F.when(
+        F.length("site") % len(sr.TRUST_PATHS) == c("w.i"), 404).otherwise(F.expr(_STATUS.format(x="concat(site, w.p)"))).alias("status"))
+    return sr.trust_analysis(_sites(s, f), probes, home, 2024)
 
 
 def _trust_sql():
     has = lambda k: ("exists (select 1 from (values " + ", ".join(f"({d.q(p)})" for p in sr.TRUST_PATHS[k]) +  # noqa: E731
-                     f") t(p) where {_STATUS.format(x='(h.site || p)')} = 200)")
+                     f") t(p) where {_STATUS.format(x='(h.site || p)')} = 200 and length(h.site) % {len(sr.TRUST_PATHS)} <> {list(sr.TRUST_PATHS).index(k)})")
     return _PG + f""", h0 as (select site, arg_min(html, page_id) as html from pg group by 1)
 , h as (select site, case when length(site) % 2 = 0 then html || '<footer>© 2021 tel. +420 123 456 789, IČO: 12345678</footer>' else html end as html from h0)
 , t as (select site, {', '.join(f'{has(k)} as has_{k}' for k in sr.TRUST_PATHS)}, {has('shipping')} as has_payment,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions.text import blank
@@ -60,6 +60,34 @@ def linking_gate(df: DataFrame) -> GateResult:
     return GateResult()
 
 
+def column_report(df: DataFrame) -> DataFrame:
+    """S09 as a table: each column with its verdict for linking and its filled cells; missing ones have none."""
+    numbered = re.compile(r"^categoryText\d+$")
+    verdict = lambda x: "required" if x in LINKING_COLUMNS else "allowed" if numbered.match(x) else "not allowed"
+    verdicts = [(x, verdict(x), _filled(x)) for x in df.columns]
+    verdicts += [(x, "missing", F.lit(0).cast("bigint")) for x in LINKING_COLUMNS if x not in df.columns]
+    return _as_rows(df, ["column", "verdict"], verdicts)
+
+
+def meaning_report(df: DataFrame) -> DataFrame:
+    """S08 as a table: the column found for each meaning (null if none) and its filled cells."""
+    names = {"image": IMAGE_COLUMNS, "price": PRICE_COLUMNS, "name": NAME_COLUMNS, "code": CODE_COLUMNS}
+    found = [(k, find_column(df.columns, v)) for k, v in names.items()]
+    return _as_rows(df, ["meaning", "column"], [(k, x, _filled(x) if x else F.lit(0).cast("bigint")) for k, x in found])
+
+
+def _filled(column: str) -> Column:
+    return F.count_if(~blank(F.col(f"`{column}`").cast("string")))
+
+
+def _as_rows(df: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A row for each tuple of two texts and an aggregate, which becomes ``filled``; one pass over the table."""
+    totals = df.agg(*[value.alias(f"v{i}") for i, (_, _, value) in enumerate(rows)])
+    each = [F.struct(F.lit(a).cast("string").alias(names[0]), F.lit(b).cast("string").alias(names[1]), F.col(f"v{i}").alias("filled"))
+            for i, (a, b, _) in enumerate(rows)]
+    return totals.select(F.inline(F.array(*each)))
+
+
 def enrichment_gate(df: DataFrame) -> GateResult:
     """Columns by metadata, text coverage by one aggregate over the whole table."""
     result, low = GateResult(), [x.lower() for x in df.columns]

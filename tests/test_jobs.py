@@ -311,3 +311,15 @@ def test_words_of_many_categories_are_looked_up_only(spark):
     needed = terms.filter("needed").join(hits, ["word", "platform"]).count()
     assert needed < every / 2
     assert terms.filter("not needed and bound >= threshold").isEmpty()
+
+
+def test_wide_output_of_five_thousand_names(spark):
+    params = spark.range(1000).select(F.col("id").alias("row_idx"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(
+        F.concat(F.lit("n"), F.col("id") * 5 + k).alias("name"), F.concat(F.lit("v"), k).alias("value"))).alias("filtering"),
+        F.array().cast("array<struct<key:string,value:string>>").alias("text"))
+    products = params.select(F.col("row_idx"), F.concat(F.lit("P"), F.col("row_idx")).alias("code"), F.lit("").alias("filteringProperty:n7"))
+    out = en.wide_output(products, params)
+    assert len([x for x in out.columns if x.startswith("filteringProperty:")]) == 5000
+    row = out.select("code", *[f"`filteringProperty:n{k}`" for k in (5, 7, 9, 10)]).filter("code = 'P1'").first()
+    assert tuple(row) == ("P1", "v0", "v2", "v4", "")
+    assert en.long_output(params).count() == 5000

@@ -26,9 +26,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by similar word shingles the one with the smallest id stays."""
+    """Of documents linked by shingles of five words with a similarity of 0.8 or more the one with the smallest id stays."""
     let_workers_import(spark)
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, words=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocklens.llm.text import WORD, whole
+from stocklens.llm.text import whole
 
 K = 3  # units in a k-mer
 BUCKETS = 64
 PICK = 2  # k-mers selected from a bucket
-# Units are words; texts of few words, or of words this long on average, are taken by code points.
-FEW_WORDS, LONG_WORDS = 16, 24
+# Scripts that put no blanks between words: Thai to Tibetan, Burmese, Khmer, ideographs with kana and their like.
+UNSPACED = r"\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
+# The same units in every text: a character of such a script, or a word, of which 24 code points are one unit at most.
+UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,24}}"
 # Rows between two borders of ids, about.
 BLOCK_ROWS = 2000
 
@@ -31,18 +33,16 @@ def _high(x: Column) -> Column:
 def with_signature(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK) -> DataFrame:
     """``df`` with the signature of a text column (no nulls in it): array of bucket << 32 | hash.
 
-    The empty text has an empty signature; a text of fewer than ``k`` units is one k-mer. Buckets
-    without k-mers are left out.
+    The empty text has an empty signature; a text of fewer than ``k`` units is one k-mer, and so is one of
+    blanks alone, taken as a whole. Buckets without k-mers are left out.
     """
     keep = df.columns
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    size = F.char_length(text)
-    d = df.withColumn("_w", words)
-    by_sign = (F.size("_w") < FEW_WORDS) | (size > F.size("_w") * LONG_WORDS)
-    d = d.select(*keep, F.transform(F.when(by_sign, F.split(text, "")).otherwise(F.col("_w")),
-                                    lambda u: F.xxhash64(u)).alias("_u"))
+    units = F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0))
+    blank = F.when(F.char_length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+    d = df.select(*keep, F.transform(units, lambda u: F.xxhash64(u)).alias("_w"), blank.alias("_blank"))
+    d = d.select(*keep, F.when(F.size("_w") > 0, F.col("_w")).otherwise(F.col("_blank")).alias("_u"))
     kmer = lambda i: F.xxhash64(*[F.get("_u", i + j) for j in range(k)])
-    kmers = F.when(size == 0, F.array().cast("array<bigint>")).when(
+    kmers = F.when(F.size("_u") == 0, F.array().cast("array<bigint>")).when(
         F.size("_u") < k, F.array(F.xxhash64("_u"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.size("_u") - k), kmer))
     # hash in the high half, place in the low half: sorting brings the occurrences of a k-mer together

@@ -35,7 +35,6 @@ from stocklens.llm.text import crc_fold
 from stocklens.session import materialise, scratch_dir
 
 ORDER = 3
-MIN_COUNTS = {3: 2}  # n-grams of a level seen fewer times are left to the back-off, as is usual
 SMOOTHING = 4.0
 UNSEEN = 0.1
 CHUNK_TOKENS = 2_200_000  # tokens that a task holds at once
@@ -448,8 +447,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the log10 probability of the text in the n-gram model. Levels of the trie go to ``folder``, by default
     below spark.checkpoint.dir, and are removed when the scores are written.
 
-    ``min_counts`` leaves out n-grams of a level seen fewer times (``MIN_COUNTS`` if not given). Their share is not
-    given to the others, so ``score`` is a probability only with ``min_counts={}``.
+    All n-grams are counted. ``min_counts`` can leave out those of a level that are seen fewer times; their share is not
+    given to the others, so ``score`` is no probability then.
 
     Null text counts as empty: one token, the end. Null ids belong to the fold of the empty id; repeated rows count as
     often as they stand there and are scored alike. With no training rows all counts are 0. An empty
@@ -459,7 +458,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = folder or shared_folder(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     train = rows.filter(crc_fold("id", folds) != held_out)
-    known, total = build_trie(train, folder, order, MIN_COUNTS if min_counts is None else min_counts)
+    known, total = build_trie(train, folder, order, min_counts)
     names = ["id", "n_tokens", "n_known", "base_score", "score"]
     scored = materialise(rows.mapInArrow(_score(known, total, order, names), (
         f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")))

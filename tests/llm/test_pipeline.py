@@ -20,7 +20,7 @@ def test_pipeline(spark, docs, rows):
     kept = [r for r in rows if r["doc_id"] in good]
     last = {(r["text"] or "").translate(LOWER): r["doc_id"] for r in sorted(kept, key=lambda r: r["doc_id"])}
     kept = [r for r in kept if last[(r["text"] or "").translate(LOWER)] == r["doc_id"]]
-    first = {i for i, _, c in components([(r["doc_id"], r["text"]) for r in kept]) if i == c}
+    first = {i for i, _, c in components([(r["doc_id"], r["text"]) for r in kept], 5, 80) if i == c}
     kept = [r for r in kept if r["doc_id"] in first]
     copies = {i: n for i, _, _, _, n in mix([(r["doc_id"], r["text"], r["source"]) for r in kept])}
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))

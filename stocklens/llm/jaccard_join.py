@@ -57,6 +57,15 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def released(run):
+    """``run`` over Arrow batches; at its end the worker gives memory that Arrow holds in reserve back to the machine."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def _profiles(words: int):
     """Rows (0, id, n, k1, k2) of documents; rows (1, null, count, element, null) of elements frequent in a task's part."""
 
@@ -344,7 +353,7 @@ def _posted(texts: DataFrame, profiles: DataFrame, words: int, percent: int) ->
     frequent = profiles.filter("kind = 1").groupBy(c("k1").alias("element")).agg(F.sum("n").alias("times")).filter(
         c("times") >= HOT_LEAST).orderBy(c("times").desc(), "element").limit(HOT_ELEMENTS).collect()
     hot = np.array([r["element"] for r in reversed(frequent)], np.int64).view(np.uint64)
-    entries = texts.mapInArrow(_prefixes(words, percent, hot), "element long, id long, n long, place long, k1 long")
+    entries = texts.mapInArrow(released(_prefixes(words, percent, hot)), "element long, id long, n long, place long, k1 long")
     # copies in a list count once; the shuffle is by element, so neither step below needs another
     classes = entries.repartition("element").groupBy("element", "k1", "n", "place").agg(F.min("id").alias("id"))
     of_list = Window.partitionBy("element")
@@ -374,28 +383,28 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(c(id_col).cast("bigint").alias("id"), c(text_col).cast("string").alias("text"))
-    profiles = materialise(rows.mapInArrow(_profiles(words), "kind tinyint, id long, n long, k1 long, k2 long"))
+    profiles = materialise(rows.mapInArrow(released(_profiles(words)), "kind tinyint, id long, n long, k1 long, k2 long"))
     own = profiles.filter("kind = 0")
     classes = materialise(own.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size")))
     named = rows.filter(c("id").isNotNull())
     lists = materialise(_posted(named, profiles, words, percent))
-    leaders = materialise(_in_lists(lists, "id").mapInArrow(_leaders(percent), "id long, leader long"))
+    leaders = materialise(_in_lists(lists, "id").mapInArrow(released(_leaders(percent)), "id long, leader long"))
     groups = materialise(_groups(leaders))
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     # written as the scan finds them; the few others that the filter lets through find no partner below
-    sets = materialise(named.withColumn("bit", bit).mapInArrow(_sets_of(words, _filter_bytes(groups.select("id"))), "id long, set array<long>"))
+    sets = materialise(named.withColumn("bit", bit).mapInArrow(released(_sets_of(words, _filter_bytes(groups.select("id")))), "id long, set array<long>"))
     meet = groups.select("id", "home", "part").unionByName(groups.select("home", "parts").distinct().select(
         c("home").alias("id"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("part"))).distinct()
     near = sets.join(meet, "id").select("home", "part", "id", "set").repartition("home", "part").sortWithinPartitions(
-        "home", "part", "id").mapInArrow(_link_groups(percent), "a long, b long")
+        "home", "part", "id").mapInArrow(released(_link_groups(percent)), "a long, b long")
     edges = materialise(near.unionByName(_same_ids(own, classes)))
     found = materialise(_components(edges))
     entries = lists.join(groups.select("id", "home", "part"), "id").join(found, "id", "left").select(
         "element", "id", "n", "place", F.coalesce("component", "id").alias("component"), "home", "part")
-    pairs = materialise(_in_lists(entries, "n", "id").mapInArrow(_open_pairs(percent), "a long, b long, n_a long, n_b long").distinct())
+    pairs = materialise(_in_lists(entries, "n", "id").mapInArrow(released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").distinct())
     # only sets of open pairs are shuffled
-    one = lambda x: sets.withColumn("bit", bit).mapInArrow(_picked(_filter_bytes(pairs.select(c(x).alias("id")))), "id long, set array<long>")
+    one = lambda x: sets.withColumn("bit", bit).mapInArrow(released(_picked(_filter_bytes(pairs.select(c(x).alias("id"))))), "id long, set array<long>")
     left, right = one("a").select(c("id").alias("a"), c("set").alias("s")), one("b").select(c("id").alias("b"), c("set").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
     late = materialise(pairs.join(left, "a").join(right, "b").filter(

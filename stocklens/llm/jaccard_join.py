@@ -11,7 +11,9 @@ link is lost, and members of a group of copies are never paired out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from stocklens.llm.hashed_words import hashed_words, mix
 from stocklens.operators.keyed import attach_groups
 from stocklens.operators.near_duplicates import connected_groups
-from stocklens.session import materialise
+from stocklens.session import materialise, scratch_dir
 
 SHINGLE, PERCENT = 4, 85
 HOT_ELEMENTS = 1 << 17  # so many of the most frequent elements come last in the order; this bounds what is broadcast
@@ -29,6 +31,8 @@ HOT_LEAST = 16
 BLOCK = 128  # entries of a block of an index list
 GROUP = 512  # sets of a group that meet in one task
 FILTER_BITS = 1 << 24
+BUCKET_ELEMENTS = 1 << 22  # elements of a bucket of sets, about
+MOST_BUCKETS = 50_000  # beyond them buckets grow
 
 c = F.col
 
@@ -332,15 +336,16 @@ def _sets_of(words: int, field: np.ndarray):
     return run
 
 
-def _picked(field: np.ndarray):
-    """Rows (id, set) whose bit of the field is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(2).to_numpy()
-            yield batch.select([0, 1]).take(pa.array(np.flatnonzero(field[bit >> 6] >> (bit & 63) & 1)))
-
-    return run
+@contextmanager
+def _in_buckets(sets: DataFrame, buckets: int) -> Iterator[DataFrame]:
+    """``sets`` written in buckets of their ids: joins by id move the other side only. The table's name goes at the end."""
+    spark, name = sets.sparkSession, f"sets_{uuid.uuid4().hex}"
+    sets.repartition(buckets, "id").write.format("parquet").bucketBy(buckets, "id").option(
+        "path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
 
 
 def _in_lists(df: DataFrame, *order: str) -> DataFrame:
@@ -391,24 +396,27 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     lists = materialise(_posted(named, profiles, words, percent))
     leaders = materialise(_in_lists(lists, "id").mapInArrow(released(_leaders(percent)), "id long, leader long"))
     groups = materialise(_groups(leaders))
+    met = own.select("id", "n").join(groups.select("id").distinct(), "id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = min(max(-(-met // BUCKET_ELEMENTS), 1), MOST_BUCKETS)
+    # the few others that the filter lets through find no partner below
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    # written as the scan finds them; the few others that the filter lets through find no partner below
-    sets = materialise(named.withColumn("bit", bit).mapInArrow(released(_sets_of(words, _filter_bytes(groups.select("id")))), "id long, set array<long>"))
-    meet = groups.select("id", "home", "part").unionByName(groups.select("home", "parts").distinct().select(
-        c("home").alias("id"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("part"))).distinct()
-    near = sets.join(meet, "id").select("home", "part", "id", "set").repartition("home", "part").sortWithinPartitions(
-        "home", "part", "id").mapInArrow(released(_link_groups(percent)), "a long, b long")
-    edges = materialise(near.unionByName(_same_ids(own, classes)))
-    found = materialise(_components(edges))
-    entries = lists.join(groups.select("id", "home", "part"), "id").join(found, "id", "left").select(
-        "element", "id", "n", "place", F.coalesce("component", "id").alias("component"), "home", "part")
-    pairs = materialise(_in_lists(entries, "n", "id").mapInArrow(released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").distinct())
-    # only sets of open pairs are shuffled
-    one = lambda x: sets.withColumn("bit", bit).mapInArrow(released(_picked(_filter_bytes(pairs.select(c(x).alias("id"))))), "id long, set array<long>")
-    left, right = one("a").select(c("id").alias("a"), c("set").alias("s")), one("b").select(c("id").alias("b"), c("set").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    late = materialise(pairs.join(left, "a").join(right, "b").filter(
-        common * (100 + percent) >= percent * (F.size("s") + F.size("t"))).select("a", "b"))
+    wanted = named.withColumn("bit", bit).mapInArrow(
+        released(_sets_of(words, _filter_bytes(groups.select("id")))), "id long, set array<long>")
+    with _in_buckets(wanted, buckets) as sets:
+        meet = groups.select("id", "home", "part").unionByName(groups.select("home", "parts").distinct().select(
+            c("home").alias("id"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("part"))).distinct()
+        near = sets.join(meet, "id").select("home", "part", "id", "set").repartition("home", "part").sortWithinPartitions(
+            "home", "part", "id").mapInArrow(released(_link_groups(percent)), "a long, b long")
+        edges = materialise(near.unionByName(_same_ids(own, classes)))
+        found = materialise(_components(edges))
+        entries = lists.join(groups.select("id", "home", "part"), "id").join(found, "id", "left").select(
+            "element", "id", "n", "place", F.coalesce("component", "id").alias("component"), "home", "part")
+        pairs = materialise(_in_lists(entries, "n", "id").mapInArrow(
+            released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").distinct())
+        left, right = sets.select(c("id").alias("a"), c("set").alias("s")), sets.select(c("id").alias("b"), c("set").alias("t"))
+        common = F.size(F.array_intersect("s", "t"))
+        late = materialise(pairs.join(left, "a").join(right, "b").filter(
+            common * (100 + percent) >= percent * (F.size("s") + F.size("t"))).select("a", "b"))
     if not late.isEmpty():
         found = materialise(_components(edges.unionByName(late)))
     return _result(own, classes, found, id_col)

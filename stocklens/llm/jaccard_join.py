@@ -5,8 +5,8 @@ elements in one order of all elements (very frequent ones last), to index lists.
 position, size and id; a block that no set at hand can reach is skipped as a whole. Sets that meet a smaller
 id in a list gather in that id's group. There the answers of one set (its overlaps with all others) are
 derived from those of a similar set: only the elements in which the two differ are looked up. Pairs that
-met in a list, but neither in a group nor in one component, are compared by a join at the end, so no
-link is lost, and members of a group of copies are never paired out.
+met in a list, but neither in a group nor in one component, are compared by a join at the end (first
+by bits of parity, which show most of them to differ too much, then by their sets), so no link is lost, and members of a group of copies are never paired out.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ GROUP = 512  # sets of a group that meet in one task
 FILTER_BITS = 1 << 24
 BUCKET_ELEMENTS = 1 << 22  # elements of a bucket of sets, about
 MOST_BUCKETS = 50_000  # beyond them buckets grow
+SKETCH = 32  # words of 64 parities
 
 c = F.col
 
@@ -320,8 +321,19 @@ def _filter_bytes(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def parities(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set SKETCH words whose bits tell whether the number of its elements with a remainder is odd.
+
+    Two sets differ in at least as many elements as their parities do in bits.
+    """
+    out = np.zeros(len(sizes) * SKETCH, np.uint64)
+    spot = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + ((elements >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64)
+    np.bitwise_xor.at(out, spot, np.uint64(1) << (elements & np.uint64(63)))
+    return out
+
+
 def _sets_of(words: int, field: np.ndarray):
-    """Rows (id, set) of documents whose bit of the field is set."""
+    """Rows (id, set, sketch) of documents whose bit of the field is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,8 +342,10 @@ def _sets_of(words: int, field: np.ndarray):
             ids, texts = batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))
             for row, elements, sizes in shingle_sets(texts, words):
                 ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                steps = np.arange(0, (len(sizes) + 1) * SKETCH, SKETCH, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(sizes)), pa.ListArray.from_arrays(pa.array(ends), _signed(elements))], ["id", "set"])
+                    [ids.slice(row, len(sizes)), pa.ListArray.from_arrays(pa.array(ends), _signed(elements)),
+                     pa.ListArray.from_arrays(pa.array(steps), _signed(parities(elements, sizes)))], ["id", "set", "sketch"])
 
     return run
 
@@ -401,7 +415,7 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     # the few others that the filter lets through find no partner below
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     wanted = named.withColumn("bit", bit).mapInArrow(
-        released(_sets_of(words, _filter_bytes(groups.select("id")))), "id long, set array<long>")
+        released(_sets_of(words, _filter_bytes(groups.select("id")))), "id long, set array<long>, sketch array<long>")
     with _in_buckets(wanted, buckets) as sets:
         meet = groups.select("id", "home", "part").unionByName(groups.select("home", "parts").distinct().select(
             c("home").alias("id"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("part"))).distinct()
@@ -413,10 +427,14 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
             "element", "id", "n", "place", F.coalesce("component", "id").alias("component"), "home", "part")
         pairs = materialise(_in_lists(entries, "n", "id").mapInArrow(
             released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").distinct())
-        left, right = sets.select(c("id").alias("a"), c("set").alias("s")), sets.select(c("id").alias("b"), c("set").alias("t"))
-        common = F.size(F.array_intersect("s", "t"))
-        late = materialise(pairs.join(left, "a").join(right, "b").filter(
-            common * (100 + percent) >= percent * (F.size("s") + F.size("t"))).select("a", "b"))
+        # pairs whose parities differ too much can not be linked: sets are moved for the rest alone
+        of = lambda x, what: sets.select(c("id").alias(x), c(what).alias(f"{what}_{x}"))
+        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+        close = materialise(pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").filter(
+            apart * (100 + percent) <= (100 - percent) * (c("n_a") + c("n_b"))).select("a", "b").distinct())
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        late = materialise(close.join(of("a", "set"), "a").join(of("b", "set"), "b").filter(
+            common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
     if not late.isEmpty():
         found = materialise(_components(edges.unionByName(late)))
     return _result(own, classes, found, id_col)

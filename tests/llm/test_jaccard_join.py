@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from stocklens.llm import jaccard_join
-from stocklens.llm.jaccard_join import overlaps, similar_components
+from stocklens.llm.jaccard_join import SKETCH, overlaps, parities, similar_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -108,3 +108,14 @@ def test_answers_derived_from_similar_sets():
     sets += [np.unique(rng.integers(0, 400, size)) for size in (1, 50, 399)] + [np.arange(1000, 1010)]
     for i, common in overlaps(sets):
         assert common.tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+
+
+def test_parities_never_tell_more_than_the_sets_differ():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**64, size, dtype=np.uint64) for size in (0, 1, 5, 700, 9000)]
+    sets += [np.concatenate([s[changed:], rng.integers(0, 2**64, changed, dtype=np.uint64)]) for s in sets[2:] for changed in (1, 3)]
+    sketches = parities(np.concatenate(sets), np.array([len(s) for s in sets])).reshape(-1, SKETCH)
+    for s, x in zip(sets, sketches):
+        for t, y in zip(sets, sketches):
+            assert np.bitwise_count(x ^ y).sum() <= len(set(s.tolist()) ^ set(t.tolist()))
+    assert np.bitwise_count(sketches[2] ^ sketches[5]).sum() in (0, 2) and not sketches[0].any()

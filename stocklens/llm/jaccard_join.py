@@ -425,16 +425,17 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
         found = materialise(_components(edges))
         entries = lists.join(groups.select("id", "home", "part"), "id").join(found, "id", "left").select(
             "element", "id", "n", "place", F.coalesce("component", "id").alias("component"), "home", "part")
-        pairs = materialise(_in_lists(entries, "n", "id").mapInArrow(
-            released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").distinct())
+        # by a, as the buckets are: neither taking repeats out nor the join behind it moves the pairs again
+        pairs = _in_lists(entries, "n", "id").mapInArrow(
+            released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").repartition(buckets, "a").distinct()
         # pairs whose parities differ too much can not be linked: sets are moved for the rest alone
-        of = lambda x, what: sets.select(c("id").alias(x), c(what).alias(f"{what}_{x}"))
+        of = lambda x, *what: sets.select(c("id").alias(x), *[c(w).alias(f"{w}_{x}") for w in what])
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
-        close = materialise(pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").filter(
-            apart * (100 + percent) <= (100 - percent) * (c("n_a") + c("n_b"))).select("a", "b").distinct())
+        close = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch", "set"), "b").filter(
+            apart * (100 + percent) <= (100 - percent) * (c("n_a") + c("n_b"))).select("a", "b", "set_b")
         common = F.size(F.array_intersect("set_a", "set_b"))
-        late = materialise(close.join(of("a", "set"), "a").join(of("b", "set"), "b").filter(
-            common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
+        late = materialise(close.join(of("a", "set"), "a").filter(
+            common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct())
     if not late.isEmpty():
         found = materialise(_components(edges.unionByName(late)))
     return _result(own, classes, found, id_col)

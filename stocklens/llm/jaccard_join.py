@@ -17,7 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.llm.hashed_words import hashed_words, mix
@@ -33,7 +33,7 @@ GROUP = 512  # sets of a group that meet in one task
 FILTER_BITS = 1 << 24
 BUCKET_ELEMENTS = 1 << 22  # elements of a bucket of sets, about
 MOST_BUCKETS = 50_000  # beyond them buckets grow
-SKETCH = 32  # words of 64 parities
+SKETCH = 32  # words of 64 parities, the least for a set
 
 c = F.col
 
@@ -321,15 +321,30 @@ def _filter_bytes(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def parities(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each set SKETCH words whose bits tell whether the number of its elements with a remainder is odd.
+def parities(elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set words whose bits tell whether the number of its elements with a remainder is odd; how many words.
 
-    Two sets differ in at least as many elements as their parities do in bits.
+    Two sets differ in at least as many elements as their parities do in bits. There are two to four bits an element, at least
+    SKETCH words, and always a power of two of them, so that the longer of two can be folded to the other's length.
     """
-    out = np.zeros(len(sizes) * SKETCH, np.uint64)
-    spot = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + ((elements >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64)
-    np.bitwise_xor.at(out, spot, np.uint64(1) << (elements & np.uint64(63)))
-    return out
+    lengths = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 32)).astype(np.int64).clip(0))
+    first = np.cumsum(lengths) - lengths
+    out = np.zeros(int(lengths.sum()), np.uint64)
+    word = (elements >> np.uint64(6)).astype(np.int64) & np.repeat(lengths - 1, sizes)
+    np.bitwise_xor.at(out, np.repeat(first, sizes) + word, np.uint64(1) << (elements & np.uint64(63)))
+    return out, lengths
+
+
+def bits_apart(x: Column, y: Column) -> Column:
+    """Bits in which the parities of two sets differ, the longer ones folded to the length of the others."""
+    def folded(long: Column, length: Column) -> Column:
+        every = lambda i: F.aggregate(F.sequence(i, F.size(long) - 1, length), F.lit(0).cast("bigint"),
+                                      lambda bits, j: bits.bitwiseXOR(F.get(long, j)))
+        return F.when(F.size(long) > length, F.transform(F.sequence(F.lit(0), length - 1), every)).otherwise(long)
+
+    length = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(folded(x, length), folded(y, length), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0),
+                       lambda n, m: n + m)
 
 
 def _sets_of(words: int, field: np.ndarray):
@@ -342,10 +357,11 @@ def _sets_of(words: int, field: np.ndarray):
             ids, texts = batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))
             for row, elements, sizes in shingle_sets(texts, words):
                 ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                steps = np.arange(0, (len(sizes) + 1) * SKETCH, SKETCH, dtype=np.int32)
+                bits, lengths = parities(elements, sizes)
+                steps = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, len(sizes)), pa.ListArray.from_arrays(pa.array(ends), _signed(elements)),
-                     pa.ListArray.from_arrays(pa.array(steps), _signed(parities(elements, sizes)))], ["id", "set", "sketch"])
+                     pa.ListArray.from_arrays(pa.array(steps), _signed(bits))], ["id", "set", "sketch"])
 
     return run
 
@@ -430,9 +446,8 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
             released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").repartition(buckets, "a").distinct()
         # pairs whose parities differ too much can not be linked: sets are moved for the rest alone
         of = lambda x, *what: sets.select(c("id").alias(x), *[c(w).alias(f"{w}_{x}") for w in what])
-        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
         close = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch", "set"), "b").filter(
-            apart * (100 + percent) <= (100 - percent) * (c("n_a") + c("n_b"))).select("a", "b", "set_b")
+            bits_apart(c("sketch_a"), c("sketch_b")) * (100 + percent) <= (100 - percent) * (c("n_a") + c("n_b"))).select("a", "b", "set_b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         late = materialise(close.join(of("a", "set"), "a").filter(
             common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct())

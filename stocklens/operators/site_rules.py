@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions import text as tx, url as ur
 from stocklens.functions.values import days_between, round_half_up
-from stocklens.operators.keyed import attach_groups
+from stocklens.operators.keyed import attach_groups, spread_join
 from stocklens.operators.site_pages import clean_html, element_texts
 from stocklens.session import materialise
 
@@ -109,19 +109,21 @@ def link_checks(links: DataFrame, images: DataFrame, pages: DataFrame, fetches:
             F.min("page_id").alias("page_id"), F.min_by("page_url", "page_id").alias("source"))
 
     status = fetches.select("url", "status")
-    link = targets(links, "link").withColumn("external", ur.is_external(c("url"), c("site")))
+    external = ur.is_external(c("url"), c("site"))
+    kind = F.when(external, "external_link_404").when(~external, "internal_link_404")
+    named = materialise(targets(links, "link").withColumn("kind", kind).unionByName(
+        targets(images, "image").withColumn("kind", F.lit("broken_image"))))
     scanned = pages.select("url").distinct()
-    internal = link.filter("not external").join(scanned, "url", "left_anti").join(status.filter("status = 404"), "url")
-    silent = status.filter("status in (0, 404)")
-    external = link.filter("external").join(silent, "url")
-    image = targets(images, "image").join(silent, "url")
+    internal = named.filter("kind = 'internal_link_404'").join(scanned, "url", "left_anti").join(status.filter("status = 404"), "url")
+    # a url that very many sites name is checked in as many tasks as the number of its rows asks for
+    silent = spread_join(named.filter("kind <> 'internal_link_404'"), status.filter("status in (0, 404)"), "url", c("site"))
     broken = pages.select(ur.origin(c("url")).alias("site"), "url", "page_id", F.lit(None).cast("string").alias("source")).join(
-        status.filter("status = 404"), "url")
-    label = lambda df, kind: df.select(
-        "site", F.lit("links").alias("family"), F.lit(kind).alias("type"), F.lit(ERROR).alias("severity"), "url", "page_id",
+        status.filter("status = 404"), "url").withColumn("kind", F.lit("page_404"))
+    columns = ["site", "url", "page_id", "source", "status", "kind"]
+    found = broken.select(*columns).unionByName(internal.select(*columns)).unionByName(silent.select(*columns))
+    return found.select(
+        "site", F.lit("links").alias("family"), c("kind").alias("type"), F.lit(ERROR).alias("severity"), "url", "page_id",
         F.when(c("status") == 0, 404).otherwise(c("status")).cast("string").alias("details"), "source")
-    return label(broken, "page_404").unionByName(label(internal, "internal_link_404")).unionByName(
-        label(external, "external_link_404")).unionByName(label(image, "broken_image"))
 
 
 def robots_issues(robots: DataFrame) -> DataFrame:

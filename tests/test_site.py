@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from stocklens.operators import site_pages as sp, site_rules as sr
+from stocklens.operators import keyed, site_pages as sp, site_rules as sr
 
 HTML = """<html><head><title> Shop </title><meta name="description" content="d"><meta property="og:title" content="a">
 <meta property="og:type" content="b"><meta property='og:url' content="c"><link rel="stylesheet" href="http://a.cz/s.css">
@@ -55,6 +55,24 @@ def test_link_checks(spark, pages):
         ("external_link_404", "https://b.cz/e.pdf", "404"), ("broken_image", "https://a.cz/p.png", "404")}
 
 
+def test_link_checks_of_targets_that_all_sites_share(spark, monkeypatch):
+    """A url named by each of 200 sites is dealt over tasks; every site gets its row."""
+    monkeypatch.setattr(keyed, "MIN_HOT_ROWS", 20)
+    shared = [(i, f"https://s{i}.cz/", "https://cdn.example/x") for i in range(200)]
+    links = spark.createDataFrame([*shared, *shared, (7, "https://s7.cz/", "https://own.example/y")], "page_id long, page_url string, link string")
+    images = spark.createDataFrame([(i, u, "https://cdn.example/i.png") for i, u, _ in shared], "page_id long, page_url string, image string")
+    pages = spark.createDataFrame([(i, u) for i, u, _ in shared], "page_id long, url string")
+    fetches = spark.createDataFrame([("https://cdn.example/x", 0), ("https://own.example/y", 404), ("https://cdn.example/i.png", 404)],
+                                    "url string, status int")
+    found = sr.link_checks(links, images, pages, fetches)
+    assert sorted((r["type"], r["site"], r["url"], r["page_id"]) for r in found.collect()) == sorted(
+        [("external_link_404", f"https://s{i}.cz", "https://cdn.example/x", i) for i in range(200)]
+        + [("external_link_404", "https://s7.cz", "https://own.example/y", 7)]
+        + [("broken_image", f"https://s{i}.cz", "https://cdn.example/i.png", i) for i in range(200)])
+    assert "_salt" in found._jdf.queryExecution().executedPlan().toString()
+    assert sr.link_checks(links.filter("false"), images.filter("false"), pages, fetches).count() == 0
+
+
 def _issue_rows(spark, n, details=""):
     return spark.createDataFrame([("s", "html", "missing_h1", "error", f"http://s/{i}/", i, details, None) for i in range(n)] +
                                  [("s", "html", "missing_h1", "error", "http://s/0", 0, details, None)],

@@ -323,3 +323,44 @@ def test_wide_output_of_five_thousand_names(spark):
     row = out.select("code", *[f"`filteringProperty:n{k}`" for k in (5, 7, 9, 10)]).filter("code = 'P1'").first()
     assert tuple(row) == ("P1", "v0", "v2", "v4", "")
     assert en.long_output(params).count() == 5000
+
+
+def shuffled(df):
+    """MB that the shuffles of ``df`` itself write, without broadcasts; tables written on the way are not among them."""
+    spark, size = df.sparkSession, 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df.collect()
+        open_nodes = [df._jdf.queryExecution().executedPlan()]
+        while open_nodes:
+            node = open_nodes.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                open_nodes.append(node.executedPlan())
+            elif name.endswith("QueryStageExec"):
+                open_nodes.append(node.plan())
+            else:
+                if name == "ShuffleExchangeExec":
+                    size += node.metrics().apply("dataSize").value()
+                open_nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return size / 1e6
+
+
+def test_blocks_of_a_ring_move_once(spark):
+    """A row takes its neighbours from a block of some 300 codes without carrying the block into another shuffle."""
+    rows = spark.range(3_000).select(F.lit("g").alias("main"), F.concat(F.lit("code"), "id").alias("code"), F.lit("s").alias("sub"),
+                                     F.lit(True).alias("member"))
+    near = linking.ring_neighbours(rows, "main", "s", 21)
+    assert shuffled(near) < 3
+    assert near.filter(F.size(F.array_distinct("near.code")) == 21).count() == 3_000
+
+
+def test_rows_that_do_not_ask_are_neighbours_only(spark):
+    rows = spark.range(900).select(F.lit("g").alias("main"), F.concat(F.lit("c"), "id").alias("code"), F.lit("s").alias("sub"),
+                                   (F.col("id") % 3 > 0).alias("member"))
+    near = linking.ring_neighbours(rows, "main", "s", 5, asking=~F.col("member"))
+    members = {r["code"] for r in rows.filter("member").collect()}
+    got = near.collect()
+    assert len(got) == 300 and all(r["code"] not in members and len(r["near"]) == 5 and {x["code"] for x in r["near"]} <= members for r in got)

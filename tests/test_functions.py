@@ -133,3 +133,26 @@ def test_parameter_names_and_splits(spark):
     assert one(spark, " výrobce ", pm.parameter_name) == "Značka" and one(spark, "barva", pm.parameter_name) == "Barva"
     assert one(spark, "bavlna, len a x", pm.split_values) == ["bavlna", "len a x"]
     assert one(spark, "len a x", pm.split_values) == ["len", "x"] and one(spark, "a + b", pm.split_values) == ["a", "b"]
+
+
+def test_plain_texts_equal_the_patterns(spark):
+    """The cheap tests in front of the patterns change no value: all kinds of white space, tags, letters, empty texts."""
+    from stocklens.functions import markup, text as tx
+    blanks = [" ", "  ", "\t", "\n", "\x0b", "\f", "\r", "\x1c", "\x85", "\xa0", " ", " ", "﻿", "　"]
+    texts = ["", None, "ž", "<b>a</b> <i", "a < b > c", "the  und\tje", "<div>  </div><DIV></DIV><span></span>", "<br> <br/>\n<BR>", "☀ x ☀☀"]
+    texts += [x + y for x in blanks for y in ["", *blanks]]
+    texts += [f"a{x}{y}the{y}b ž"[:n] for x in blanks for y in blanks for n in (5, 20)] + [f"a{x}{y}the{y}b" for x in blanks for y in blanks]
+    ws = r"[\s\x0B\x{FEFF}&&[^\x{85}]]"
+    old_collapse = lambda c: F.trim(F.regexp_replace(c, f"(?U){ws}+", " "))
+    old_strip = old_collapse(tx._decode(F.regexp_replace(tx.text(F.col("t")), "<[^>]*>", " "), tx.ENTITIES))
+    hits = lambda c, v: F.regexp_count(c, F.lit(f"(?<![^ ])(?:{'|'.join(v)})(?![^ ])"))
+    low = F.lower(tx.text(F.col("t")))
+    pairs = [(tx.strip_html(F.col("t")), old_strip),
+             (tx.blank(F.col("t")), F.regexp_replace(tx.text(F.col("t")), f"(?U)^{ws}+|{ws}+$", "") == ""),
+             (tx.emoji_count(F.col("t")), F.regexp_count(tx.text(F.col("t")), F.lit(tx.EMOJI_PATTERN))),
+             (tx.word_hits(F.lower(tx.strip_html(F.col("t"))), tx.LANGUAGE_WORDS["en"]), hits(F.lower(tx.strip_html(F.col("t"))), tx.LANGUAGE_WORDS["en"])),
+             (F.array_join(tx.word_set(tx.strip_html(F.col("t")), plain=True), "|"), F.array_join(tx.word_set(tx.strip_html(F.col("t"))), "|")),
+             (markup.empty_block_count(F.col("t")), F.regexp_count(low, F.lit(rf"<div[^>]*>{tx.WS}*</div>")) + F.regexp_count(low, F.lit(rf"<span[^>]*>{tx.WS}*</span>"))),
+             (markup.break_run_count(F.col("t")), F.regexp_count(low, F.lit(rf"(<br{tx.WS}*/?>{tx.WS}*){{3,}}")))]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", *[F.struct(a.alias("a"), b.alias("b")) for a, b in pairs]).collect()
+    assert len(rows) > 500 and not [r for r in rows for x in r[1:] if x["a"] != x["b"]]

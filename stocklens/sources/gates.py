@@ -88,8 +88,8 @@ def _as_rows(df: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
     return totals.select(F.inline(F.array(*each)))
 
 
-def enrichment_gate(df: DataFrame) -> GateResult:
-    """Columns by metadata, text coverage by one aggregate over the whole table."""
+def enrichment_gate(df: DataFrame, coverage: DataFrame | None = None) -> GateResult:
+    """Columns by metadata, text coverage by one aggregate over the whole table, or as counted before."""
     result, low = GateResult(), [x.lower() for x in df.columns]
     result.errors += [f"missing column: {x}" for x in ENRICHMENT_REQUIRED if x.lower() not in low]
     numbered = re.compile(rf"^({'|'.join(NUMBERED_COLUMNS)})\d*$", re.IGNORECASE)
@@ -98,7 +98,7 @@ def enrichment_gate(df: DataFrame) -> GateResult:
                and not x.lower().startswith("textproperty") and not numbered.match(x)]
     if unknown:
         result.errors.append(f"columns not allowed: {', '.join(unknown)}")
-    rows, empty = text_coverage(df).first()
+    rows, empty = (text_coverage(df) if coverage is None else coverage).first()
     if rows == 0:
         result.errors.append("no data rows")
     elif empty == rows:

@@ -146,3 +146,29 @@ def test_errors_first(spark):
     df = spark.createDataFrame([("a", "x", "warning"), ("b", "y", "error")], "family string, type string, severity string").withColumns(
         {"row_idx": F.lit(1), "entity_key": F.lit("k")})
     assert [r["severity"] for r in errors_first(df).collect()] == ["error", "warning"]
+
+
+def test_rules_run_once_before_their_rows_are_ordered(spark):
+    from stocklens.operators.issues import errors_first
+
+    issues = spark.createDataFrame([("a", "t", "warning", "k1", 1), ("b", "t", "error", "k2", 2)],
+                                   "family string, type string, severity string, entity_key string, row_idx long")
+    ordered = errors_first(issues.withColumn("details", F.rand()))
+    assert [r["entity_key"] for r in ordered.collect()] == ["k2", "k1"] and ordered.inputFiles()
+
+
+def test_texts_join_the_catalog_last(spark, tmp_path):
+    """A product's text is not moved again to find its order; rows are those of the SQL as it stands."""
+    from stocklens import fixtures
+
+    n = spark.range(40)
+    n.selectExpr("id as p_partkey", "concat('red bolt ', id) as p_name", "'B' as p_brand", "'SMALL' as p_type", "cast(id as int) as p_size",
+                 "10.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    n.filter("id < 7").selectExpr("id as doc_id", "concat('text ', id) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    n.filter("id % 3 = 0").selectExpr("id as o_orderkey", "timestamp '2024-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = fixtures.load(spark, str(tmp_path), "catalog")
+    sql, tables = fixtures.VIEWS["catalog"]
+    want = spark.sql(fixtures.sql_over(sql, tables), **{t: fixtures.table(spark, str(tmp_path), t) for t in tables})
+    assert got.count() == 40 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    first = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1].split(",")[0]
+    assert first(want) == "LeftOuter" and first(got) == "Inner"

@@ -16,7 +16,7 @@ from stocklens.operators.report import worst_status
 from stocklens.operators.row_rules import row_issues
 from stocklens.plans import duck as d
 from stocklens.plans.audit_queries import ORACLES as AUDIT
-from stocklens.session import scratch_dir
+from stocklens.session import materialise, scratch_dir
 from stocklens.sources import catalog as sc, gates, sinks, taxonomy as tax
 from stocklens.sources.platform import ExportAdapter
 from stocklens.streaming import status as st
@@ -311,8 +311,9 @@ def _coverage(s, f):
     cat = _cat(s, f).select("code", F.when(c("row_idx") % 3 == 0, c("name")).otherwise(" ").alias("name"),
                             F.when(c("row_idx") % 5 == 0, c("short_description")).otherwise("").alias("shortDescription"),
                             F.lit("").alias("description"), F.lit("x").alias("image12"), F.lit("x").alias("textProperty2"), F.lit("x").alias("odd"))
-    g = gates.enrichment_gate(cat)
-    return gates.text_coverage(cat).withColumn("errors", F.lit(";".join(g.errors))).withColumn("warnings", F.lit(len(g.warnings)))
+    counted = materialise(gates.text_coverage(cat))
+    g = gates.enrichment_gate(cat, counted)
+    return counted.withColumn("errors", F.lit(";".join(g.errors))).withColumn("warnings", F.lit(len(g.warnings)))
 
 
 _add("s10_enrichment_gate", _coverage, """select count(*) as rows, count(*) filter (not (row_idx % 3 = 0 and trim(name) <> '') and not (row_idx % 5 = 0 and trim(short_description) <> '')) as rows_without_text,
@@ -535,8 +536,15 @@ def _stream(s, f):
 _add("t01_t03_alert_stream", _stream, _ST + "select poll_id, platform, previous, status from ch where alert", _SV)
 
 
+POLLS_AT_ONCE = 1_000_000  # polls that the log grows by, about
+
+
 def _poll_log(s, f):
-    """A log of all polls that grows while it is watched: its earlier half is read to the end, then the later one after a restart."""
+    """A log of all polls that grows while it is watched: its earlier part is read to the end, then the next one after a restart.
+
+    There are two parts, and more where a part would have over POLLS_AT_ONCE polls: a task holds those of one platform in a
+    part, so its memory does not grow with the log. Polls of one time are in one part.
+    """
     log, folder = (f"{scratch_dir(s)}/{x}-{uuid.uuid4().hex}" for x in ("polls", "status"))
     polls = load(s, f, "status_polls")
     failed = c("poll_id") % 11 == 0
@@ -548,9 +556,12 @@ def _poll_log(s, f):
     lines = polls.select("ts", F.to_json(F.struct(
         "poll_id", F.date_format(c("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("fetched_at"), "platform",
         F.when(is_feed, "feed").otherwise("json").alias("kind"), body.alias("body"))).alias("value"))
-    half = polls.agg(F.min("ts") + (F.max("ts") - F.min("ts")) / 2).scalar()
-    for part in (c("ts") < half, c("ts") >= half):
-        lines.filter(part).select("value").write.mode("append").text(log)
+    k = max(2, -(-polls.count() // POLLS_AT_ONCE))
+    cuts = materialise(polls.agg(F.percentile_approx("ts", [i / k for i in range(1, k)], 100 * k).alias("cuts"))).scalar()
+    for i in range(k):
+        after = F.get(cuts, F.lit(i - 1)) < c("ts") if i else F.lit(True)
+        until = c("ts") <= F.get(cuts, F.lit(i)) if i < k - 1 else F.lit(True)
+        lines.filter(after & until).select("value").write.mode("append").text(log)
         st.monitor(st.poll_stream(s, log), folder, interval=None).awaitTermination()
     return st.read_alerts(s, folder).select("poll_id", "platform", "previous", "status")
 

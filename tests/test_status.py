@@ -113,3 +113,25 @@ def test_json(spark):
     cases = ['{"status":{"indicator":"minor","description":"Slow"}}', "x", '{"status":{"indicator":"odd","description":"?"}}']
     rows = spark.createDataFrame([(c,) for c in cases], "x string").select(st.parse_json_poll(F.col("x")).alias("r")).select("r.status").collect()
     assert [r[0] for r in rows] == ["degraded", "unknown", "unknown"]
+
+
+def test_poll_log_grows_by_bounded_parts(spark, tmp_path, monkeypatch):
+    """Ten parts give the alerts of two, and no micro-batch reads more polls than a part has."""
+    from stocklens.plans import feed_queries as fq
+
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("view", "click", "signup", "error")]), (F.col("id") * 7919 % 4 + 1).cast("int"))
+    spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).alias("ts"),
+                            (F.col("id") * 31 % 17).alias("user_id"), kinds.alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    two = sorted(fq.QUERIES["t03_poll_log"](spark, str(tmp_path)).collect())
+    sizes, read = [], fq.st.monitor
+
+    def counted(polls, folder, **how):
+        query = read(polls, folder, **how)
+        query.awaitTermination()
+        sizes.extend(p.numInputRows for p in query.recentProgress)
+        return query
+
+    monkeypatch.setattr(fq, "POLLS_AT_ONCE", 100)
+    monkeypatch.setattr(fq.st, "monitor", counted)
+    assert sorted(fq.QUERIES["t03_poll_log"](spark, str(tmp_path)).collect()) == two and len(two) > 50
+    assert len([n for n in sizes if n]) == 4 and max(sizes) < 150 and sum(sizes) == 400

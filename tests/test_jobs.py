@@ -364,3 +364,14 @@ def test_rows_that_do_not_ask_are_neighbours_only(spark):
     members = {r["code"] for r in rows.filter("member").collect()}
     got = near.collect()
     assert len(got) == 300 and all(r["code"] not in members and len(r["near"]) == 5 and {x["code"] for x in r["near"]} <= members for r in got)
+
+
+def test_sets_move_once_for_all_pairs_of_a_cell(spark):
+    """1,770 pairs of 60 sets of 400 words: each set is sent to the cell of its family, not to each pair."""
+    sets = spark.range(60).select(F.col("id").alias("row_idx"), F.lit(400).alias("n"), F.concat(
+        F.transform(F.sequence(F.lit(1), F.lit(399)), lambda i: F.xxhash64(i)), F.array(F.xxhash64("id", F.lit("own")))).alias("toks"))
+    pairs = sets.select(F.col("row_idx").alias("i1")).join(sets.select(F.col("row_idx").alias("i2")), F.col("i1") < F.col("i2")).withColumn(
+        "cell", F.lit(7).cast("bigint"))
+    found = nd.verified(pairs, sets)
+    assert shuffled(found) < 1
+    assert {tuple(r) for r in found.select("shared", "union_n").collect()} == {(399, 401)} and found.count() == 1_770

@@ -10,6 +10,7 @@ from stocklens.fixtures import SITE_FETCHES, SITE_PAGES, load, table
 from stocklens.functions import url as ur
 from stocklens.operators import site_pages as sp, site_rules as sr
 from stocklens.plans import duck as d
+from stocklens.session import materialise
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -25,10 +26,9 @@ def _sites(s, f):
     return _pages(s, f).select(ur.origin(c("url")).alias("site")).distinct()
 
 
-def _link_fetches(s, f):
+def _link_fetches(s, f, links, images):
     """A fetch result for every page, link and image."""
-    found = sp.page_links(_pages(s, f)).select(c("link").alias("url")).unionByName(
-        sp.page_images(_pages(s, f)).select(c("image").alias("url"))).distinct().withColumn(
+    found = links.select(c("link").alias("url")).unionByName(images.select(c("image").alias("url"))).distinct().withColumn(
         "status", F.expr(_STATUS.format(x="url")))
     return load(s, f, "site_fetches").unionByName(found.join(_pages(s, f).select("url"), "url", "left_anti"))
 
@@ -177,7 +177,9 @@ _FX = _HREFS + _IMAGES + f""", fx as (select url, status from ({SITE_FETCHES})
 
 def _broken(s, f):
     pages = _pages(s, f)
-    return sr.link_checks(sp.page_links(pages), sp.page_images(pages), pages, _link_fetches(s, f))
+    # found once: the checks and the fetches read them, and the HTML is costly
+    links, images = materialise(sp.page_links(pages)), materialise(sp.page_images(pages))
+    return sr.link_checks(links, images, pages, _link_fetches(s, f, links, images))
 
 
 _add("j11_x16_link_checks", lambda s, f: _broken(s, f).select(*_COLS), _PG + _FX + "select * from brk")

@@ -161,3 +161,13 @@ def test_page_sample(spark):
     picked = {r["url"] for r in sp.sample_pages(urls, "s").collect()}
     assert len(picked) == 500 and {f"u{i}" for i in range(100)} <= picked and {f"u{i}" for i in range(950, 1000)} <= picked
     assert picked == {r["url"] for r in sp.sample_pages(urls, "s").collect()}
+
+
+def test_summary_finds_issues_once(spark):
+    """The issues are counted and ranked from one written table, so what finds them does not run twice."""
+    issues = spark.range(40).selectExpr("'s' as site", "if(id % 4 = 0, 'html', 'links') as family", "id as page_id", "'t' as type",
+                                        "concat('u', id) as url", "'' as details", "'error' as severity")
+    found = sr.issue_summary(issues)
+    assert "Range" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["family"], r["issues"], tuple(r["examples"])) for r in found.collect()} == {
+        ("html", 10, ("t u0", "t u4", "t u8", "t u12", "t u16")), ("links", 30, ("t u1", "t u2", "t u3", "t u5", "t u6"))}

@@ -9,28 +9,31 @@ import uuid
 import numpy as np
 
 _COUNT = np.arange(1 << 20)
-SKIP = 256  # one of so many values is also kept plain, for the search of a place
+SKIP = 64  # one of so many values is also kept plain; the values between two of them are a block
 
 
 def pack(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """Sections of a monotone sequence of unsigned numbers: low bits, in whole bytes, high bits in unary, skips."""
+    """Sections of a monotone sequence of unsigned numbers: low bits, in whole bytes, high bits in unary, skips.
+
+    Low parts have so many bytes that nearly all blocks rise by less than they hold; a value of such a block is
+    known from its low part and the skip before it.
+    """
     values = values.astype(np.uint64)
     n = len(values)
     top = int(values[-1]) if n else 0
-    width = min(7, -(-max(0, (top // max(n, 1)).bit_length()) // 8))  # bytes of a low part
-    low = values.view(np.uint8).reshape(n, 8)[:, :width] if n else np.empty((0, width), np.uint8)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or (top // max(n, 1)).bit_length() + 10 <= 8 * w)  # bytes of a low part
     high = np.zeros((top >> 8 * width) + n + 1, bool)
     high[((values >> np.uint64(8 * width)) + np.arange(n, dtype=np.uint64)).astype(np.int64)] = True
-    return {f"{name}_low": np.ascontiguousarray(low), f"{name}_high": np.packbits(high, bitorder="little"),
-            f"{name}_skip": values[::SKIP].copy()}
+    return {f"{name}_low": values.astype(f"<u{width}"), f"{name}_high": np.packbits(high, bitorder="little"),
+            f"{name}_skip": np.append(values[::SKIP], np.uint64(top))}
 
 
 class EliasFano:
-    """Reads a sequence that ``pack`` made; decodes only the runs that are asked for."""
+    """Reads a sequence that ``pack`` made: single values wherever they stand, or runs of blocks that are decoded."""
 
     def __init__(self, sections: dict[str, np.ndarray], name: str):
         self.low, self.high, self.skip = (sections[f"{name}_{x}"] for x in ("low", "high", "skip"))
-        self.size, self.width = self.low.shape
+        self.size, self.width = len(self.low), self.low.itemsize
 
     def decode(self, block: int, end_block: int) -> np.ndarray:
         """Values of a run of blocks of SKIP values."""
@@ -46,41 +49,64 @@ class EliasFano:
         ones -= _COUNT[:b - a] if b - a <= len(_COUNT) else np.arange(b - a)
         out = ones.view(np.uint64)
         out <<= shift
-        if self.width:  # low parts widened to whole numbers
-            size = 4 if self.width <= 4 else 8
-            low = np.zeros((b - a, size), np.uint8)
-            low[:, :self.width] = self.low[a:b]
-            out |= low.view(np.uint32 if size == 4 else np.uint64).ravel()
+        out |= self.low[a:b]
         return out
 
+    def _wide(self, blocks: np.ndarray) -> np.ndarray:
+        """Places in ``blocks`` of those that rise by more than a low part holds."""
+        return np.flatnonzero((self.skip[blocks + 1] - self.skip[blocks]) >> np.uint64(8 * self.width))
+
     def _runs(self, blocks: np.ndarray):
         """Runs of neighbouring blocks (gaps of a few are decoded as well) and the queries that fall into them."""
-        new = np.flatnonzero(np.diff(blocks) > 16) + 1
-        for q in np.split(np.arange(len(blocks)), new):
-            yield q[0], q[-1] + 1, int(blocks[q[0]]), int(blocks[q[-1]]) + 1
+        if not len(blocks):
+            return
+        cuts = [0, *(np.flatnonzero(np.diff(blocks) > 64) + 1).tolist(), len(blocks)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield slice(a, b), int(blocks[a]), int(blocks[b - 1]) + 1
 
     def at(self, places: np.ndarray) -> np.ndarray:
         """Values at ascending places."""
-        out = np.empty(len(places), np.uint64)
-        if len(places):
-            for a, b, first, last in self._runs(places // SKIP):
-                out[a:b] = self.decode(first, last)[places[a:b] - first * SKIP]
+        blocks = places // SKIP
+        out = self.skip[blocks] + (self.low[places] - self.low[blocks * SKIP])
+        wide = self._wide(blocks)
+        for run, first, last in self._runs(blocks[wide]):
+            out[wide[run]] = self.decode(first, last)[places[wide[run]] - first * SKIP]
         return out
 
     def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For ascending numbers: the place of the first value that is not smaller, and whether it is equal."""
-        place, equal = np.full(len(wanted), self.size, np.int64), np.zeros(len(wanted), bool)
-        if self.size and len(wanted):
-            blocks = np.maximum(np.searchsorted(self.skip, wanted, "left") - 1, 0)
-            for a, b, first, last in self._runs(blocks):
-                values = self.decode(first, last)
-                at = np.searchsorted(values, wanted[a:b], "left")
-                place[a:b] = at + first * SKIP
-                inside = at < len(values)
-                equal[a:b][inside] = values[at[inside]] == wanted[a:b][inside]
-                # the next block begins with the successor if this run has none
-                beyond = ~inside & (last * SKIP < self.size)
-                equal[a:b][beyond] = self.skip[last] == wanted[a:b][beyond] if last < len(self.skip) else False
+        if not self.size or not len(wanted):
+            return np.full(len(wanted), self.size, np.int64), np.zeros(len(wanted), bool)
+        begin, beyond = np.searchsorted(wanted, self.skip[0], "right"), np.searchsorted(wanted, self.skip[-1], "right")
+        place, equal = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        equal[:begin] = wanted[:begin] == self.skip[0]
+        place[beyond:] = self.size
+        if begin < beyond:
+            place[begin:beyond], equal[begin:beyond] = self._inside(wanted[begin:beyond])
+        return place, equal
+
+    def _inside(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``successor`` of numbers above the first value and not above the last."""
+        blocks = np.searchsorted(self.skip[:-1], wanted, "left") - 1
+        rise = (wanted - self.skip[blocks]).astype(self.low.dtype)
+        place = blocks * SKIP
+        before = self.low[place]
+        step = SKIP // 2
+        place += 1  # the first value of the block is smaller
+        while step:
+            probe = place + (step - 1)
+            place += step * (self.low[np.minimum(probe, self.size - 1, out=probe)] - before < rise)
+            step //= 2
+        np.minimum(place, self.size - 1, out=place)
+        equal = self.low[place] - before == rise
+        wide = self._wide(blocks)
+        for run, first, last in self._runs(blocks[wide]):
+            values, asked = self.decode(first, last), wanted[wide[run]]
+            at = np.searchsorted(values, asked, "left")
+            place[wide[run]] = at + first * SKIP
+            # the next block begins with the successor if this run has none
+            after = np.append(values, self.skip[last])
+            equal[wide[run]] = after[at] == asked
         return place, equal
 
 
@@ -104,11 +130,12 @@ def map_sections(path: str) -> dict[str, np.ndarray]:
     with open(path, "rb") as f:
         size = int.from_bytes(f.read(8), "little")
         head = json.loads(f.read(size))
-    base = 8 + size + -size % 8
+    whole, base = np.memmap(path, np.uint8, "r").view(np.ndarray), 8 + size + -size % 8  # one mapping for all
     out = {}
     for name, (kind, shape, at) in head.items():
         if 0 in shape:
             out[name] = np.empty(shape, np.dtype(kind))
         else:
-            out[name] = np.memmap(path, np.dtype(kind), "r", base + at, tuple(shape))
+            kind = np.dtype(kind)
+            out[name] = whole[base + at:base + at + kind.itemsize * int(np.prod(shape))].view(kind).reshape(shape)
     return out

@@ -1,8 +1,9 @@
 """Language-model scores from an n-gram trie of Elias-Fano levels.
 
-Level 1 holds the words, as sorted 64-bit hashes with their counts. Level k holds the n-grams of k words: a
-node's children are a range between two monotone pointers, and from level 3 on a child is not written as a
+Level 1 holds the words, as sorted 64-bit hashes with their counts. Level k holds the n-grams of k words as one
+monotone sequence of parent and child, in which a node's children are a range. From level 3 on a child is not written as a
 word but as its rank among the words that follow the last word of its context, which is a small number.
+Sequences are read where a task asks: a look-up costs the same whatever the size of the level.
 Every node has its smoothed probability and its back-off weight, quantised to 16 bits.
 
 Each level is cut into shards by its parent. Tasks count n-grams in chunks and send one compressed block
@@ -81,7 +82,7 @@ class Trie:
     def gather(self, level: int, name: str, nodes: np.ndarray) -> np.ndarray:
         """Values of nodes, in any order."""
         out = None
-        order = np.argsort(nodes, kind="stable")
+        order = np.argsort(nodes)
         nodes = nodes[order]
         cuts = np.searchsorted(nodes, self.starts[level - 1])
         for shard in range(self.shards):
@@ -112,14 +113,11 @@ class Trie:
         return out[place][back], count[place][back] if counted else None
 
     def children(self, level: int, shard_of: np.ndarray, keys: np.ndarray, names: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
-        """Nodes of a level by keys that ascend in each shard: ``node`` (-1 where there is none), ``rank`` among the
-        parent's children, and the named values.
-
-        The child is looked for in its parent's range only: the range lies between two pointers, and
-        children are kept as distances from the end of the range before, so that the whole shard is one
-        monotone sequence.
-        """
-        out = {"node": np.full(len(keys), -1, np.int64), "rank": np.full(len(keys), -1, np.int64)}
+        """Nodes of a level by keys that ascend in each shard: ``node`` (-1 where there is none), on level 2 ``rank`` among
+        the parent's children, and the named values."""
+        out = {"node": np.full(len(keys), -1, np.int64)}
+        if level == 2:
+            out["rank"] = np.full(len(keys), -1, np.int64)
         out |= {name: np.zeros(len(keys), np.uint16) for name in names}
         cuts = np.searchsorted(shard_of, np.arange(self.shards + 1))
         for shard in range(self.shards):
@@ -127,25 +125,20 @@ class Trie:
             if a == b or self.starts[level - 1][shard + 1] == self.starts[level - 1][shard]:
                 continue
             f = self.file(level, shard)
-            local, child = keys[a:b] >> CHILD_BITS, keys[a:b] & (1 << CHILD_BITS) - 1
-            first = np.flatnonzero(np.diff(local, prepend=-1))
-            rows, back = local[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(local))))
-            pointers, bases = EliasFano(f, "pointer"), EliasFano(f, "base")
-            inside = rows < pointers.size - 1
-            low, high, base, end = (np.zeros(len(rows), np.int64) for _ in range(4))
-            low[inside], high[inside] = pointers.at(rows[inside]), pointers.at(rows[inside] + 1)
-            base[inside], end[inside] = bases.at(rows[inside]), bases.at(rows[inside] + 1)
-            # a child beyond the last of its range would run into the next range
-            asked = np.flatnonzero((high > low)[back])
-            wanted = (base[back] + child)[asked]
-            good = wanted < end[back][asked]
-            asked, wanted = asked[good], wanted[good].astype(np.uint64)
-            place, equal = EliasFano(f, "child").successor(wanted)
-            at, place = a + asked[equal], place[equal]
-            out["node"][at] = place + self.starts[level - 1][shard]
-            out["rank"][at] = place - low[back][asked[equal]]
+            bits, sequence = int(f["bits"][0]), EliasFano(f, "child")
+            row, child = keys[a:b] >> CHILD_BITS, keys[a:b] & (1 << CHILD_BITS) - 1
+            # a child larger than all of the shard would run into the next parent
+            asked = np.flatnonzero(child < 1 << bits)
+            place, equal = sequence.successor((row[asked] << bits | child[asked]).view(np.uint64))
+            asked, place = asked[equal], place[equal]
+            out["node"][a + asked] = place + self.starts[level - 1][shard]
+            if level == 2:
+                row = row[asked]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                begin = sequence.successor((row[first] << bits).view(np.uint64))[0]
+                out["rank"][a + asked] = place - np.repeat(begin, np.diff(np.append(first, len(row))))
             for name in names:
-                out[name][at] = f[name][place]
+                out[name][a + asked] = f[name][place]
         return out
 
     def first_child(self, level: int, parents: np.ndarray) -> np.ndarray:
@@ -156,14 +149,15 @@ class Trie:
         for shard in range(self.shards):
             a, b = cuts[shard], cuts[shard + 1]
             if a < b and self.starts[level - 1][shard + 1] > self.starts[level - 1][shard]:
-                pointers = EliasFano(self.file(level, shard), "pointer")
-                local = np.minimum(parents[a:b] // self.shards, pointers.size - 1)
-                out[a:b] = pointers.at(local).astype(np.int64) + self.starts[level - 1][shard]
+                f = self.file(level, shard)
+                begin = (parents[a:b] // self.shards << int(f["bits"][0])).view(np.uint64)
+                out[a:b] = EliasFano(f, "child").successor(begin)[0] + self.starts[level - 1][shard]
         return out
 
     def sorted_keys(self, parents: np.ndarray, children: np.ndarray, way_back: bool):
         """Shards and keys of distinct pairs, by shard and key, their counts, and the way back to the pairs."""
-        local, shard = np.divmod(parents, self.shards)
+        local = parents // self.shards
+        shard = parents - local * self.shards
         if len(parents) and (local.max() >= 1 << 63 - CHILD_BITS or children.max() >= 1 << CHILD_BITS):
             raise OverflowError("too many nodes for the keys of this trie")
         key = (local << CHILD_BITS) | children
@@ -328,14 +322,8 @@ def _write_level(level: int, known: tuple, total: tuple[int, int], min_count: in
             parents = row * shards + shard
             before, context = _lower(trie, level, parents, child, total)
             log = np.log10((counts + SMOOTHING * before) / (context + SMOOTHING))
-            sizes = np.bincount(row)
-            pointer = np.concatenate(([0], np.cumsum(sizes)))
-            # children of a parent begin behind the largest one of the parent before
-            spread = np.zeros(len(sizes), np.int64)
-            ends = pointer[1:][sizes > 0] - 1
-            spread[sizes > 0] = child[ends] + 1
-            base = np.concatenate(([0], np.cumsum(spread)))
-            sections = {**pack(pointer, "pointer"), **pack(base, "base"), **pack(child + base[row], "child"), "log": _quantise(log)}
+            bits = int(child.max()).bit_length()
+            sections = {"bits": np.array([bits]), **pack(row << bits | child, "child"), "log": _quantise(log)}
             if not last:
                 sections["off"] = _quantise(np.log10(SMOOTHING / (counts + SMOOTHING)))
                 sections["count"] = np.minimum(counts, 2**32 - 1).astype(np.uint32)
@@ -350,10 +338,12 @@ def _lower(trie: Trie, level: int, parents: np.ndarray, child: np.ndarray, total
     if level == 2:
         return _word_probability(trie.gather(1, "count", child), total), trie.gather(1, "count", parents)
     # the pair of the last two words is a child of the context's last word, at the rank that the n-gram has
-    last = _last_words(trie, level - 1, parents)
+    begin = np.flatnonzero(np.diff(parents, prepend=-1))
+    last, back = np.unique(_last_words(trie, level - 1, parents[begin]), return_inverse=True)
     order = np.lexsort((last, last % trie.shards))
     first = np.empty(len(last), np.int64)
     first[order] = trie.first_child(2, last[order])
+    first = np.repeat(first[back], np.diff(np.append(begin, len(parents))))
     if level == 3:
         return 10.0 ** (trie.gather(2, "log", first + child) / -QUANT), trie.gather(2, "count", parents)
     raise ValueError("levels above 3 are not built")
@@ -362,18 +352,15 @@ def _lower(trie: Trie, level: int, parents: np.ndarray, child: np.ndarray, total
 def _last_words(trie: Trie, level: int, nodes: np.ndarray) -> np.ndarray:
     """Last word of nodes of level 2 (ascending)."""
     out = np.empty(len(nodes), np.int64)
-    order = np.argsort(nodes, kind="stable")
+    order = np.argsort(nodes)
     nodes = nodes[order]
     cuts = np.searchsorted(nodes, trie.starts[level - 1])
     for shard in range(trie.shards):
         a, b = cuts[shard], cuts[shard + 1]
         if a < b:
             f = trie.file(level, shard)
-            local = nodes[a:b] - trie.starts[level - 1][shard]
-            pointers, bases = EliasFano(f, "pointer"), EliasFano(f, "base")
-            ends = pointers.decode(0, len(pointers.skip)).astype(np.int64)
-            row = np.searchsorted(ends, local, "right") - 1
-            out[order[a:b]] = EliasFano(f, "child").at(local).astype(np.int64) - bases.at(row).astype(np.int64)
+            pair = EliasFano(f, "child").at(nodes[a:b] - trie.starts[level - 1][shard]).view(np.int64)
+            out[order[a:b]] = pair & (1 << int(f["bits"][0])) - 1
     return out
 
 

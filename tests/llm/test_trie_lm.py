@@ -118,3 +118,31 @@ def test_elias_fano(n, top, tmp_path):
     place, equal = seq.successor(asked)
     assert (place == np.searchsorted(values, asked)).all()
     assert (equal == np.isin(asked, values)).all()
+
+
+def test_a_look_up_decodes_nothing(monkeypatch):
+    """What a look-up costs must not grow with the distance between those asked for."""
+    values = np.unique(np.random.default_rng(3).integers(0, 2**34, 200_000)).astype(np.uint64)
+    seq = elias_fano.EliasFano(elias_fano.pack(values, "v"), "v")
+    monkeypatch.setattr(elias_fano.EliasFano, "decode", None)
+    places = np.arange(0, len(values), 997)
+    assert (seq.at(places) == values[places]).all()
+    asked = np.sort(np.concatenate([values[places], values[places] + np.uint64(1)]))
+    place, equal = seq.successor(asked)
+    assert (place == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
+
+
+@pytest.mark.parametrize("far", [[], [2**41], [2**41, 2**42, 2**42 + 1], [2**62]])
+@pytest.mark.parametrize("near", [1, 63, 64, 65, 3000])
+def test_elias_fano_with_leaps(near, far):
+    """Blocks that rise by more than a low part holds, side by side with others."""
+    rng = np.random.default_rng(near)
+    low = np.sort(rng.integers(0, 9 * near, near))
+    values = np.concatenate([low, *[np.sort(x + rng.integers(0, 500, 90)) for x in far]]).astype(np.uint64)
+    values.sort()
+    seq = elias_fano.EliasFano(elias_fano.pack(values, "v"), "v")
+    assert (seq.at(np.arange(len(values))) == values).all()
+    asked = np.unique(np.concatenate([values, values + np.uint64(1), values[values > 0] - np.uint64(1), [np.uint64(2**63 - 1)]]))
+    place, equal = seq.successor(asked)
+    assert (place == np.searchsorted(values, asked)).all()
+    assert (equal == np.isin(asked, values)).all()

@@ -3,10 +3,11 @@
 Sets with equal elements form a class and are compared once. Each set posts its prefix, the first of its
 elements in one order of all elements (very frequent ones last), to index lists. A list is cut into blocks by
 position, size and id; a block that no set at hand can reach is skipped as a whole. Sets that meet a smaller
-id in a list gather in that id's group. There the answers of one set (its overlaps with all others) are
+id in a list gather in that id's group, first as bits of parity, which show most of those that met by chance to differ too
+much; only sets with a possible partner in the group are moved whole. There the answers of one set (its overlaps with all others) are
 derived from those of a similar set: only the elements in which the two differ are looked up. Pairs that
-met in a list, but neither in a group nor in one component, are compared by a join at the end (first
-by bits of parity, which show most of them to differ too much, then by their sets), so no link is lost, and members of a group of copies are never paired out.
+met in a list, but neither in a group nor in one component, are compared by a join at the end (again first
+by parities, then by their sets), so no link is lost, and members of a group of copies are never paired out.
 """
 
 from __future__ import annotations
@@ -62,6 +63,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _arrays(x: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Runs of the given lengths as an array each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), _signed(x))
+
+
 def released(run):
     """``run`` over Arrow batches; at its end the worker gives memory that Arrow holds in reserve back to the machine."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +78,11 @@ def released(run):
 
 
 def _profiles(words: int):
-    """Rows (0, id, n, k1, k2) of documents; rows (1, null, count, element, null) of elements frequent in a task's part."""
+    """Rows (0, id, n, k1, k2, sketch) of documents; rows (1, null, count, element, null, null) of elements frequent in a task's
+    part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "k1", "k2"]
+        names = ["kind", "id", "n", "k1", "k2", "sketch"]
         for batch in batches:
             for row, elements, sizes in shingle_sets(batch.column(1), words):
                 at = np.cumsum(sizes) - sizes
@@ -85,8 +92,9 @@ def _profiles(words: int):
                     for k, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
                         keys[k][full] = np.add.reduceat(mix(elements ^ np.uint64(salt)), at[full])
                 ids = batch.column(0).slice(row, len(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(sizes), np.int8)), ids, pa.array(sizes), _signed(keys[0]), _signed(keys[1])], names)
+                bits, lengths = parities(elements, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int8)), ids, pa.array(sizes), _signed(keys[0]),
+                                                  _signed(keys[1]), _arrays(bits, lengths)], names)
                 often, counts = np.unique(elements, return_counts=True)
                 often, counts = often[counts > 1], counts[counts > 1]
                 if len(often) > HOT_ELEMENTS:
@@ -94,7 +102,8 @@ def _profiles(words: int):
                     often, counts = often[top], counts[top]
                 none = pa.nulls(len(often), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(often), np.int8)), none, pa.array(counts), _signed(often), none], names)
+                    [pa.array(np.ones(len(often), np.int8)), none, pa.array(counts), _signed(often), none,
+                     pa.nulls(len(often), pa.list_(pa.int64()))], names)
 
     return run
 
@@ -347,30 +356,66 @@ def bits_apart(x: Column, y: Column) -> Column:
                        lambda n, m: n + m)
 
 
+def _possible(percent: int):
+    """Groups (home, part, id, n, sketch) -> rows (home, part, id): sets whose size and parities allow a link with another
+    one of the group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, part, ids, n, sketches in _runs(batches, 2):
+            lengths = np.array([len(x) for x in sketches])
+            hit = np.zeros(len(ids), bool)
+            for length in np.unique(lengths):
+                long = np.flatnonzero(lengths >= length)
+                folded = np.array([np.bitwise_xor.reduce(sketches[i].reshape(-1, length), axis=0) for i in long]).view(np.uint64)
+                for k in np.flatnonzero(lengths[long] == length):
+                    sizes, mine = n[long], n[long[k]]
+                    fits = np.minimum(sizes, mine) * 100 >= percent * np.maximum(sizes, mine)
+                    fits[k] = False
+                    other = np.flatnonzero(fits)
+                    apart = np.bitwise_count(folded[other] ^ folded[k]).sum(1, dtype=np.int64)
+                    other = other[apart * (100 + percent) <= (100 - percent) * (sizes[other] + mine)]
+                    if len(other):
+                        hit[long[other]] = hit[long[k]] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (home, part, ids)], ["home", "part", "id"])
+
+    return run
+
+
+def _in_field(field: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows whose bit, the last column, is set in the field, without that column."""
+    bit = batch.column(batch.num_columns - 1).to_numpy()
+    keep = pa.array(np.flatnonzero(field[bit >> 6] >> (bit & 63) & 1))
+    return pa.RecordBatch.from_arrays([x.take(keep) for x in batch.columns[:-1]], batch.schema.names[:-1])
+
+
+def _only(field: np.ndarray):
+    """Rows whose bit of the field is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _in_field(field, batch)
+
+    return run
+
+
 def _sets_of(words: int, field: np.ndarray):
-    """Rows (id, set, sketch) of documents whose bit of the field is set."""
+    """Rows (id, set) of documents whose bit of the field is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            keep = np.flatnonzero(field[bit >> 6] >> (bit & 63) & 1)
-            ids, texts = batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))
-            for row, elements, sizes in shingle_sets(texts, words):
-                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                bits, lengths = parities(elements, sizes)
-                steps = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(sizes)), pa.ListArray.from_arrays(pa.array(ends), _signed(elements)),
-                     pa.ListArray.from_arrays(pa.array(steps), _signed(bits))], ["id", "set", "sketch"])
+            batch = _in_field(field, batch)
+            for row, elements, sizes in shingle_sets(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), _arrays(elements, sizes)], ["id", "set"])
 
     return run
 
 
 @contextmanager
-def _in_buckets(sets: DataFrame, buckets: int) -> Iterator[DataFrame]:
-    """``sets`` written in buckets of their ids: joins by id move the other side only. The table's name goes at the end."""
-    spark, name = sets.sparkSession, f"sets_{uuid.uuid4().hex}"
-    sets.repartition(buckets, "id").write.format("parquet").bucketBy(buckets, "id").option(
+def _in_buckets(sketches: DataFrame, buckets: int) -> Iterator[DataFrame]:
+    """``sketches`` written in buckets of their ids: joins by id move the other side only. The table's name goes at the end."""
+    spark, name = sketches.sparkSession, f"sketches_{uuid.uuid4().hex}"
+    sketches.repartition(buckets, "id").write.format("parquet").bucketBy(buckets, "id").option(
         "path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     try:
         yield spark.table(name)
@@ -418,7 +463,7 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(c(id_col).cast("bigint").alias("id"), c(text_col).cast("string").alias("text"))
-    profiles = materialise(rows.mapInArrow(released(_profiles(words)), "kind tinyint, id long, n long, k1 long, k2 long"))
+    profiles = materialise(rows.mapInArrow(released(_profiles(words)), "kind tinyint, id long, n long, k1 long, k2 long, sketch array<long>"))
     own = profiles.filter("kind = 0")
     classes = materialise(own.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size")))
@@ -428,15 +473,23 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     groups = materialise(_groups(leaders))
     met = own.select("id", "n").join(groups.select("id").distinct(), "id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = min(max(-(-met // BUCKET_ELEMENTS), 1), MOST_BUCKETS)
-    # the few others that the filter lets through find no partner below
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    wanted = named.withColumn("bit", bit).mapInArrow(
-        released(_sets_of(words, _filter_bytes(groups.select("id")))), "id long, set array<long>, sketch array<long>")
-    with _in_buckets(wanted, buckets) as sets:
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        # the few others that the filter lets through find no partner below
+        return named.select("id", "text", bit).mapInArrow(released(_sets_of(words, _filter_bytes(ids))), "id long, set array<long>")
+
+    marked = own.filter("n > 0 and id is not null").select("id", "n", "sketch", bit).mapInArrow(
+        _only(_filter_bytes(groups.select("id"))), "id long, n long, sketch array<long>")
+    with _in_buckets(marked, buckets) as sketches:
         meet = groups.select("id", "home", "part").unionByName(groups.select("home", "parts").distinct().select(
             c("home").alias("id"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("part"))).distinct()
-        near = sets.join(meet, "id").select("home", "part", "id", "set").repartition("home", "part").sortWithinPartitions(
-            "home", "part", "id").mapInArrow(released(_link_groups(percent)), "a long, b long")
+        possible = materialise(sketches.join(meet, "id").select("home", "part", "id", "n", "sketch").repartition(
+            "home", "part").sortWithinPartitions("home", "part", "id").mapInArrow(
+            released(_possible(percent)), "home long, part long, id long").distinct())
+        near = sets_of(possible.select("id")).join(possible, "id").select("home", "part", "id", "set").repartition(
+            "home", "part").sortWithinPartitions("home", "part", "id").mapInArrow(
+            released(_link_groups(percent)), "a long, b long")
         edges = materialise(near.unionByName(_same_ids(own, classes)))
         found = materialise(_components(edges))
         entries = lists.join(groups.select("id", "home", "part"), "id").join(found, "id", "left").select(
@@ -445,12 +498,14 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
         pairs = _in_lists(entries, "n", "id").mapInArrow(
             released(_open_pairs(percent)), "a long, b long, n_a long, n_b long").repartition(buckets, "a").distinct()
         # pairs whose parities differ too much can not be linked: sets are moved for the rest alone
-        of = lambda x, *what: sets.select(c("id").alias(x), *[c(w).alias(f"{w}_{x}") for w in what])
-        close = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch", "set"), "b").filter(
-            bits_apart(c("sketch_a"), c("sketch_b")) * (100 + percent) <= (100 - percent) * (c("n_a") + c("n_b"))).select("a", "b", "set_b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        late = materialise(close.join(of("a", "set"), "a").filter(
-            common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct())
+        of = lambda x: sketches.select(c("id").alias(x), c("sketch").alias(f"sketch_{x}"))
+        close = materialise(pairs.join(of("a"), "a").join(of("b"), "b").filter(
+            bits_apart(c("sketch_a"), c("sketch_b")) * (100 + percent) <= (100 - percent) * (c("n_a") + c("n_b"))).select(
+            "a", "b").distinct())
+    sets = sets_of(close.select(c("a").alias("id")).unionByName(close.select(c("b").alias("id"))))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    late = materialise(close.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").filter(
+        common * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct())
     if not late.isEmpty():
         found = materialise(_components(edges.unionByName(late)))
     return _result(own, classes, found, id_col)

@@ -5,11 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stocklens.llm import jaccard_join
-from stocklens.llm.jaccard_join import SKETCH, bits_apart, overlaps, parities, similar_components
+from stocklens.llm import hashed_words, jaccard_join
+from stocklens.llm.jaccard_join import SKETCH, _possible, bits_apart, overlaps, parities, similar_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -130,3 +131,30 @@ def test_parities_never_tell_more_than_the_sets_differ(spark):
         assert r["bits"] <= differ and (r["bits"] - differ) % 2 == 0
         if len(sets[r["a"]]) > 5000 and len(sets[r["b"]]) < 2 * len(sets[r["a"]]):
             assert r["bits"] > 0.3 * differ  # long sets are told apart as well
+
+
+def test_sets_that_meet_by_chance_are_not_moved():
+    """Of a group only sets that may be linked with another one go on, long and short ones side by side."""
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (300, 310, 5, 4000, 4200, 9000, 1020, 40)]
+    linked = [(x, np.sort(x[len(x) // 20:])) for x in (sets[0], sets[3], sets[6])]  # one of them has a shorter sketch
+    linked.append((np.sort(np.append(linked[2][0], rng.integers(0, 1 << 63, 30, dtype=np.uint64))), sets[2]))
+    sets = sets + [y for _, y in linked[:3]] + [linked[3][0]]
+    sizes = np.array([len(x) for x in sets])
+    flat, lengths = parities(np.concatenate(sets), sizes)
+    sketches = [x.view(np.int64).tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])]
+    place = [0] * len(sets)
+    batch = pa.RecordBatch.from_arrays([pa.array(place), pa.array(place), pa.array(range(len(sets))), pa.array(sizes), pa.array(sketches)],
+                                       ["home", "part", "id", "n", "sketch"])
+    found = {i for out in _possible(85)(iter([batch])) for i in out.column(2).to_pylist()}
+    assert found == {i for i, j in itertools.permutations(range(len(sets)), 2)
+                     if len(np.intersect1d(sets[i], sets[j])) * 100 >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert {0, 3, 6, 8, 9, 10, 11} == found
+
+
+def test_words_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = pa.array([None if k % 7 == 0 else " ".join(f"W{rng.randrange(99)}" for _ in range(rng.randrange(60))) for k in range(80)])
+    whole = [[x.tolist() for x in run[1:]] for run in hashed_words.hashed_words(texts)]
+    monkeypatch.setattr(hashed_words, "PIECE_BYTES", 150)
+    assert [[x.tolist() for x in run[1:]] for run in hashed_words.hashed_words(texts)] == whole

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stocklens.llm.labelled import held_out, labelled_sample, logistic
 from stocklens.llm.text import whole
+from stocklens.llm.worker_memory import released, remembers
 
 ROWS_PER_CLASS = 6000  # bound of the training sample
 DICTIONARY_BYTES, PIECE_BYTES = 512 * 1024, 512
@@ -58,6 +59,9 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data)
 
 
+remembers("compression_quality", _compressor.cache_clear)
+
+
 def compressed_sizes(text: str, good: bytes, bad: bytes) -> tuple[int, int, int]:
     """Bytes of the whole text and of its blocks compressed with either dictionary."""
     data = text.encode()
@@ -70,6 +74,9 @@ def sizes_of(good: bytes, bad: bytes):
 
     @F.pandas_udf("n long, size_good long, size_bad long")
     def sizes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(run, "compression_quality")(parts)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             yield pd.DataFrame([compressed_sizes(t or "", good, bad) for t in texts],
                                columns=["n", "size_good", "size_bad"], dtype="int64")

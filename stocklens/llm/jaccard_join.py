@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.llm.hashed_words import hashed_words, mix
+from stocklens.llm.worker_memory import released
 from stocklens.operators.keyed import attach_groups
 from stocklens.operators.near_duplicates import connected_groups
 from stocklens.session import materialise, scratch_dir
@@ -68,15 +69,6 @@ def _arrays(x: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), _signed(x))
 
 
-def released(run):
-    """``run`` over Arrow batches; at its end the worker gives memory that Arrow holds in reserve back to the machine."""
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-
-    return whole
-
-
 def _profiles(words: int):
     """Rows (0, id, n, k1, k2, sketch) of documents; rows (1, null, count, element, null, null) of elements frequent in a task's
     part."""
@@ -480,7 +472,7 @@ def similar_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
         return named.select("id", "text", bit).mapInArrow(released(_sets_of(words, _filter_bytes(ids))), "id long, set array<long>")
 
     marked = own.filter("n > 0 and id is not null").select("id", "n", "sketch", bit).mapInArrow(
-        _only(_filter_bytes(groups.select("id"))), "id long, n long, sketch array<long>")
+        released(_only(_filter_bytes(groups.select("id")))), "id long, n long, sketch array<long>")
     with _in_buckets(marked, buckets) as sketches:
         meet = groups.select("id", "home", "part").unionByName(groups.select("home", "parts").distinct().select(
             c("home").alias("id"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("part"))).distinct()

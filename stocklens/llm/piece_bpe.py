@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
+from stocklens.llm.worker_memory import released, remembers
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, UNUSED, BYTE = 1, 2, 3, 5, 6
 # Latin letters, and signs of ASCII that are no letters.
@@ -28,7 +30,9 @@ LETTERS, OTHERS = "[A-Za-z\u00c0-\u024f]", "[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]"
 BORDER = re.compile(f"(?<={LETTERS})(?={OTHERS})|(?<={OTHERS})(?={LETTERS})")
 # Words of up to so many characters are remembered; of them, and of pairs of pieces, at most twice KEPT
 # in a Python worker.
-WORD_CHARS, KEPT = 48, 250_000
+WORD_CHARS, KEPT = 48, 350_000
+# Rows that are encoded and given back at once: a task holds the ids and texts of so many.
+ROWS = 256
 
 
 class Memory(dict):
@@ -82,7 +86,7 @@ class PieceModel:
         self.automaton.make_automaton()
         short = lambda text: len(text) <= WORD_CHARS
         self.words = Memory(lambda text: self.word(SPACE + text), short)  # by the text behind the blank
-        self.parts = Memory(self._ids, short)
+        self.parts = Memory(self._ids, short)  # of words; a first part behind one blank is a word itself
         # whether the second piece may follow the first (or stand first, if that is empty)
         self.pairs = Memory(lambda ab: self.merged(ab[0] + ab[1]) == [x for x in ab if x])
 
@@ -167,7 +171,14 @@ class PieceModel:
 
     def word(self, text: str) -> bytes:
         """Ids of a run of blanks and what follows it, as 32-bit numbers."""
-        return b"".join(map(self.parts.__getitem__, BORDER.split(text) if self.split else [text]))
+        parts = BORDER.split(text) if self.split else [text]
+        if len(parts) == 1 and self._one_blank(text):
+            return self._ids(text)  # the caller remembers it as a word
+        return b"".join([self.words[p[1:]] if self._one_blank(p) else self.parts[p] for p in parts])
+
+    @staticmethod
+    def _one_blank(text: str) -> bool:
+        return text[0] == SPACE and text[1:2] not in ("", SPACE)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; none for the empty text."""
@@ -209,6 +220,9 @@ def _model(data: bytes) -> PieceModel:
     return PieceModel(data)
 
 
+remembers("piece_bpe", _model.cache_clear)
+
+
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -218,6 +232,12 @@ def _id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(0, batch.num_rows, ROWS):
+            yield batch.slice(row, ROWS)
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids, decoded``: the ids of every whole text and the text that they decode to.
 
@@ -230,7 +250,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
-        for batch in batches:
+        for batch in _small(batches):
             ids = [model.encode(t or "") for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -240,7 +260,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 ["id", "ids", "decoded"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {_id_type(docs, id_col)}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run, "piece_bpe"), f"id {_id_type(docs, id_col)}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -249,9 +269,9 @@ def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
-        for batch in batches:
+        for batch in _small(batches):
             texts = [model.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "decoded"])
 
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
-    return rows.mapInArrow(run, f"id {_id_type(encoded, id_col)}, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run, "piece_bpe"), f"id {_id_type(encoded, id_col)}, decoded string").withColumnRenamed("id", id_col)

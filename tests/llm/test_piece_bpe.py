@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -66,3 +67,17 @@ def test_documents(spark, docs, rows, odd, empty):
     back = decode_ids(encode_documents(docs, PATH).select("doc_id", "ids"), PATH)
     assert {r["doc_id"]: r["decoded"] for r in back.collect()} == {r["doc_id"]: r["text"] for r in rows}
     assert encode_documents(empty, PATH).collect() == []
+
+
+def test_a_word_is_remembered_once():
+    model = PieceModel(model_bytes(PATH))
+    text = "one two, three's one two x-y ‘four’  five (two)  six"
+    assert model.encode(text).tolist() == LIBRARY.encode(text)
+    assert {"one", "two", "three"} <= set(model.words)
+    assert not {p[1:] for p in model.parts if p[0] == "▁"} & set(model.words)
+
+
+def test_rows_of_a_batch_are_given_back_in_parts():
+    batch = pa.RecordBatch.from_pylist([{"k": k} for k in range(1000)])
+    sizes = [x.num_rows for x in piece_bpe._small(iter([batch, batch.slice(0, 0), batch.slice(0, 3)]))]
+    assert sizes == [256, 256, 256, 232, 3]

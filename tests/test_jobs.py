@@ -201,6 +201,29 @@ def test_links_obey_the_rules(spark):
             assert set(rel) <= other
 
 
+def test_broken_link_rules_are_counted(spark):
+    """Itself, another main category, no product, other texts; the own subcategory before another one, or instead of it."""
+    rows = spark.createDataFrame([
+        (i, code, "M" if code < "x" else "N", sub, ["t"] if i % 2 else ["t", "u"]) for i, (code, sub) in enumerate(
+            [("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"), ("e", None), ("d", "1"), ("x", "1")])],
+        "row_idx long, code string, main string, sub string, texts array<string>")
+
+    def broken(related, alternative, row=0):
+        code = rows.filter(F.col("row_idx") == row).first()["code"]
+        links = spark.createDataFrame([(row, code, related, alternative)], "row_idx long, code string, related array<string>, alternative array<string>")
+        return tuple(linking.rules_broken(rows, links).first())
+
+    assert broken(["c", "d", "b", "e"], ["x"]) == (1, 0, 0, 0)
+    assert broken(["c", "b"], ["d"]) == (1, 0, 0, 0)  # the lists share their codes
+    assert broken(["b", "c", "d"], []) == (1, 0, 1, 0)
+    assert broken(["c", "b", "e"], []) == (1, 0, 2, 0)  # d is left
+    assert broken(["b", "e"], [], row=3) == (1, 0, 1, 0)  # a is left, d itself is not
+    assert broken(["a", "b"], ["c"], row=3) == (1, 0, 0, 0)
+    assert broken(["c", "d", "a", "x", "gone"], ["b", "b", "a", "gone"]) == (1, 1, 3, 2)
+    assert broken(["b", "a"], [], row=4) == (1, 0, 0, 0)  # no subcategory is known
+    assert broken(["c"], ["c"], row=6) == (1, 1, 1, 0)
+
+
 def test_link_settings(spark):
     df = catalog(spark, 100)
     only = linking.link_products(df, LinkSettings(alternative=False, related_count=3)).collect()

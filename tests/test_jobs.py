@@ -160,6 +160,25 @@ def test_family_of_similar_texts_needs_few_links(spark, monkeypatch):
     assert sum(seen) < 150 * 149 // 2 // 4
 
 
+def test_audit_reads_texts_once_for_keys_and_word_sets(spark, monkeypatch):
+    from stocklens.operators.issues import AuditParams
+    from stocklens.plans.catalog_audit import audit_issues
+
+    df = spark.createDataFrame(texts(spark, 3), TEXTS).withColumns({"category_text": F.lit("A | B"), "default_category": F.lit("A > B")})
+    want = nd.near_duplicate_issues(df, AuditParams()).collect()
+    monkeypatch.setattr(nd, "product_rows", lambda rows: pytest.fail("the texts are read once more"))
+    got = audit_issues(df, AuditParams()).filter("type = 'near_duplicate'").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 20
+
+
+def test_language_rule_takes_a_text_apart_once(spark):
+    from stocklens.operators import row_rules
+    from stocklens.operators.issues import AuditParams
+
+    rows = row_rules.row_issues(spark.createDataFrame(texts(spark, 3), TEXTS), AuditParams(), ["content"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(language_text") == 1
+
+
 def test_connected_groups(spark, tiny_blocks):
     chain = [(i, i + 1) for i in range(20)] + [(100, 90), (90, 95), (200, 201)]
     got = {r["node"]: r["component"] for r in nd.connected_groups(spark.createDataFrame(chain, "a long, b long")).collect()}
